@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gridloom.plans import repair
+from gridloom.plans import domain, evaluation, repair, reports, windows
 
-MODULES = [repair]
+MODULES = [domain, windows, evaluation, reports, repair]
 
 
 def queries() -> dict[str, Callable]:
