@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.runtime import cut
+from gridloom.runtime import cut, pick
 
 # The header, keys, limits and error codes of the line contract.
 CSV_HEADER = ["schema_version", "sequence_number", "cells"]
@@ -215,6 +215,7 @@ def load_layout_lines(lines: DataFrame, table: str = "layout_import_lines") -> L
     ``import_format_unsupported``; a null job_id or line_number is an offset like any other; redelivered lines count
     once; extra columns are ignored; an empty table gives two empty tables.
     """
+    lines = pick(lines, "job_id", "line_number", "file_format", "raw_line", optional=("received_at",))
     raw = F.coalesce("raw_line", F.lit(b""))
     text = F.decode(F.col("raw_line"), "ISO-8859-1")  # a byte is a character: no line fails here
     lines = lines.select("job_id", "line_number", "file_format", raw.alias("raw_line"), *[c for c in ["received_at"] if c in lines.columns])
@@ -263,6 +264,7 @@ def load_report_lines(lines: DataFrame, table: str = "import_report_lines") -> L
     ``quoting``, ``column_count`` and ``value``, the first that holds. Defined results: a null or blank line has too
     few columns; an unknown record kind fits no number of columns; otherwise as for layout lines.
     """
+    lines = pick(lines, "job_id", "line_number", "record_kind", "raw_line", optional=("received_at",))
     src = lines.select("job_id", "line_number", "record_kind", F.coalesce("raw_line", F.lit("")).alias("raw_line"), *[c for c in ["received_at"] if c in lines.columns])
     src = cut(_once(src, ["job_id", "line_number"], ["record_kind", "raw_line"]), "report-lines")
     group_form = r'^([1-9][0-9]{0,17}),([1-9][0-9]{0,17}),"\[([1-9][0-9]{0,17}(?:,[1-9][0-9]{0,17})*)\]",(true|false)\z'

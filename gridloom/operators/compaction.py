@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import path_key
-from gridloom.runtime import cut, new_path
+from gridloom.runtime import cut, new_path, pick
 
 MAGIC = b"\x28\xb5\x2f\xfd"
 TARGET_BYTES = 128 << 20
@@ -222,7 +222,7 @@ def compact_files(files: DataFrame, target_bytes: int = TARGET_BYTES, id_col: st
     repeated ids with the same record count once as a pair partner; an empty table writes no pack; extra columns are
     ignored.
     """
-    spark = files.sparkSession
+    spark, files = files.sparkSession, pick(files, id_col, path_col, payload_col)
     folder = folder or new_path(spark, "packs")
     payload = F.coalesce(F.col(payload_col), F.lit(b""))
     path = path_key(F.col(path_col))

@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_TEMP: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -75,3 +76,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def pick(df: DataFrame, *names: str, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Only the columns ``names`` (and those of ``optional`` that there are), found by their exact spelling first.
+
+    Other columns may have any names, even equal ones or such that differ in letter case only.
+    """
+    columns = df.columns
+    plain = df.toDF(*[f"_c{i}" for i in range(len(columns))])
+    chosen = []
+    for n in (*names, *optional):
+        at = [i for i, c in enumerate(columns) if c == n] or [i for i, c in enumerate(columns) if c.lower() == n.lower()]
+        if at:
+            chosen.append(F.col(f"_c{at[0]}").alias(n))
+        elif n in names:
+            raise ValueError(f"there is no column {n!r}")
+    return plain.select(*chosen)
