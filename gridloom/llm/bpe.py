@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import pick
+
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 # Fixed value: the published pre-tokenisation pattern of byte-level BPE.
@@ -201,6 +203,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     special tokens in a text are ordinary text. Bytes that are not UTF-8 are read as U+FFFD. Repeated rows and
     ids come out as often as they come in; an empty table gives an empty table. Other columns are not looked at.
     """
+    df = pick(df, id_col, text_col)
     vocabulary = _vocabulary(df, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +237,7 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", tokeniz
 
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """``(id, text)``: the inverse of :func:`encode_corpus`; null ids give a null text."""
+    df = pick(df, id_col, ids_col)
     vocabulary = _vocabulary(df, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import DEFAULT_TOKENIZER, count_tokens
-from gridloom.runtime import cut
+from gridloom.runtime import cut, pick
 
 MAX_SOURCES = 10_000  # of the target table, which a person writes; more is an error
 MAX_STEPS = 60
@@ -72,12 +72,12 @@ def mix_sources(documents: DataFrame, source_targets: DataFrame, id_col: str = "
     documents of their own. Extra columns are ignored. The result is the same in every run with the same seed.
     """
     spark = documents.sparkSession
-    rows = source_targets.groupBy("source").agg(F.max("target_share").alias("share"), F.min("max_repeats").alias("cap")).limit(MAX_SOURCES + 1).collect()
+    rows = pick(source_targets, "source", "target_share", "max_repeats").groupBy("source").agg(F.max("target_share").alias("share"), F.min("max_repeats").alias("cap")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     targets = {r["source"]: (float(r["share"] or 0.0), max(0, int(r["cap"] or 0))) for r in rows if r["source"] is not None}
 
-    counted = documents.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+    counted = pick(documents, id_col, source_col, text_col).select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
     base = cut(count_tokens(counted, ["_id", "_source"], "_text", tokenizer), "mixture-tokens")
     hist = cut(base.groupBy("_source", "n_tokens").agg(F.count("*").alias("n")), "mixture-histogram")
     sums = {r["_source"]: (int(r["docs"]), int(r["tokens"] or 0)) for r in hist.where(F.col("_source").isin(list(targets))).groupBy("_source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("n_tokens")).alias("tokens")).collect()}

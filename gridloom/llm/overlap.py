@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import bare, digest_bytes, fingerprint_words
-from gridloom.runtime import cut
+from gridloom.runtime import cut, pick
 
 BLOCKS, BLOCK_BITS = 8, 16
 EVALUATION = ("validation", "test")
@@ -88,6 +88,7 @@ def cross_split_overlap(samples: DataFrame, max_distance: int = 6) -> Overlap:
     """
     if not 0 <= max_distance < BLOCKS:
         raise ValueError(f"max_distance must be in 0..{BLOCKS - 1}")
+    samples = pick(samples, "sample_id", "split_name", "source_group", "crop_checksum_sha256", "source_image_checksum_sha256", "board_index", "cell_index", "crop_fingerprint")
     split = bare(F.col("split_name"))
     image = digest_bytes(F.col("source_image_checksum_sha256"))
     place = F.when(image.isNotNull() & F.col("board_index").isNotNull() & F.col("cell_index").isNotNull(), F.concat(F.encode(F.concat_ws("/", "board_index", "cell_index", F.lit("")), "UTF-8"), image))

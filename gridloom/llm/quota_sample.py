@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import bare
-from gridloom.runtime import cut
+from gridloom.runtime import cut, pick
 
 BITS = 62
 ROUNDS = 16
@@ -236,7 +236,8 @@ def quota_sample(candidates: DataFrame, targets: DataFrame, size: int | None = N
     sample of ``size`` (0 where that is not given); an empty candidate table gives an empty sample; extra columns
     are ignored.
     """
-    spark = candidates.sparkSession
+    spark, candidates = candidates.sparkSession, pick(candidates, "observation_id", "board_position", "condition_tags", "source_group")
+    targets = pick(targets, "category_kind", "category", "target_share", "min_count", "sample_divisor")
     rows = [(r["category_kind"], r["category"], float(r["target_share"] or 0), int(r["min_count"] or 0), int(r["sample_divisor"] or 0)) for r in targets.collect()]
     norm = {"board_position": lambda s: s.strip(), "condition_tag": lambda s: s.strip().lower().replace("_", "-"), "source_group": lambda s: s.strip().lower()}
     spots: dict[tuple[str, str], int] = {}

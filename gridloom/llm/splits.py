@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import name_key
-from gridloom.runtime import cut, new_path
+from gridloom.runtime import cut, new_path, pick
 
 PROPORTIONS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 SIZE_CLASSES, LOTS = 64, 4096
@@ -117,7 +117,7 @@ class ComponentTable:
         """
         path = path or new_path(self.spark, "splits")
         first = self.path is None
-        base = rows.select(name_key(F.col("sample_id")).alias("s"), name_key(F.col("source_image_id")).alias("i"), name_key(F.col("source_group")).alias("g"))
+        base = pick(rows, "sample_id", "source_image_id", "source_group").select(name_key(F.col("sample_id")).alias("s"), name_key(F.col("source_image_id")).alias("i"), name_key(F.col("source_group")).alias("g"))
         g, i = F.concat(F.lit("g:"), "g"), F.concat(F.lit("i:"), "i")
         if first:
             tagged = base.select("s", i.alias("i"), g.alias("g"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.runtime import cut
+from gridloom.runtime import cut, pick
 
 STAT_BITS = 20
 FEATURE_BITS = 18
@@ -250,7 +250,7 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     of its own; repeated ids and texts are scored one by one; with no text to learn from (an empty table) every
     score is 0. ``declared_col=None`` takes all texts as of their declared length. Other columns are ignored.
     """
-    spark = documents.sparkSession
+    spark, documents = documents.sparkSession, pick(documents, id_col, text_col, source_col, optional=(declared_col,) if declared_col else ())
     declared = F.col(declared_col) if declared_col else F.length(F.col(text_col))
     docs = documents.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(text_col).cast("binary").alias("_text"), F.length(F.col(text_col)).cast("bigint").alias("chars"), declared.cast("bigint").alias("_declared"))
     limits: dict[str, list[int]] = {}
