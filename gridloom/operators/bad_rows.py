@@ -228,8 +228,8 @@ def load_layout_lines(lines: DataFrame, table: str = "layout_import_lines") -> L
     header = (F.col("file_format") == "csv") & (F.col("line_number") == 1)
     form = F.when(header, F.lit(None)).when(F.col("file_format") == "csv", F.lit("csv")).when(F.col("file_format") == "jsonl", F.lit("jsonl"))
     first = lines.withColumn("_form", form).withColumn("_line", plain)
-    pick = lambda n: F.when(F.col("_form") == "csv", body("_line", csv_form, n)).when(F.col("_form") == "jsonl", body("_line", json_form, n))
-    first = first.select("job_id", "line_number", pick(1).alias("_s"), pick(2).alias("_c")).where("_s <> ''")
+    part = lambda n: F.when(F.col("_form") == "csv", body("_line", csv_form, n)).when(F.col("_form") == "jsonl", body("_line", json_form, n))
+    first = first.select("job_id", "line_number", part(1).alias("_s"), part(2).alias("_c")).where("_s <> ''")
     first = first.select("job_id", "line_number", F.col("_s").cast("bigint").alias("sequence_number"), _plain_ints(F.col("_c")).alias("cells"))
     first = cut(first.where(F.forall("cells", lambda c: c <= MAX_CODE)), "lines-loaded")
 
