@@ -21,4 +21,4 @@ def import_stream(spark: SparkSession, path: str, file_format: str, job_id: str,
         rows = got.valid.withColumn("error_code", F.lit(None).cast("string")).unionByName(got.bad.select("job_id", "line_number", F.col("code").alias("error_code")), allowMissingColumns=True)
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
-    return stream_lines(spark, path, batch_lines).writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(availableNow=False, processingTime="0 seconds").start()
+    return stream_lines(spark, path, batch_lines).writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
