@@ -92,7 +92,8 @@ def mix_sources(documents: DataFrame, source_targets: DataFrame, id_col: str = "
 
     def rate(source: Column, n: Column) -> Column:
         tilted = F.exp(F.least(_per_source(multiplier, source) * n / _per_source(mean, source), F.lit(700.0)))
-        return F.when(n > 0, F.coalesce(F.least(_per_source(cap, source), tilted), F.lit(0.0))).otherwise(F.lit(0.0))
+        known = _per_source(multiplier, source).isNotNull()  # least() passes over nulls
+        return F.when((n > 0) & known, F.least(_per_source(cap, source), tilted)).otherwise(F.lit(0.0))
 
     # Ranks are taken inside (source, n_tokens, bucket): a length that very many documents share is split by hash.
     docs = sum(n for n, _ in sums.values())
