@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.measures import safe
 from gridloom.functions.signature import encode_signature
-from gridloom.operators.ordering import next_set, row_numbers, running_sum
+from gridloom.operators.ordering import BLOCK, _block, row_numbers
 
 
 @dataclass(frozen=True)
@@ -111,14 +111,22 @@ def forecast_path(payouts: DataFrame, start: int, count: int, cost: int, limit:
     is not flat falls, or is missing. Sums and the look ahead work in blocks. An impossible input (a missing or
     repeated number, a null or negative payout) is an error, never a partial result.
     """
-    scan = cyclic_window(payouts, start, count, limit)
-    scan = scan.withColumn("payout", F.when(F.coalesce(F.col("payout") < 0, F.lit(True)), F.raise_error(F.lit("payouts must not be negative or null"))).otherwise(F.col("payout")))
+    scan = cyclic_window(payouts, start, count, limit).select("spin", "sequence_number", "payout")
+    bad = F.coalesce(F.col("payout") < 0, F.lit(True))
+    scan = scan.withColumn("payout", F.when(bad, F.raise_error(F.lit("payouts must not be negative or null"))).otherwise(F.col("payout")))
     turn = F.signum((F.col("payout") - cost).cast("double")).cast("int")
-    path = running_sum(scan, F.col("spin"), F.col("payout"), "cumulative_payout")
-    path = next_set(path, F.col("spin"), F.when(turn != 0, turn), "_next")
-    path = path.withColumn("cumulative_payout", safe(F.col("cumulative_payout"), "payout")).withColumn("cumulative_cost", safe(F.col("spin") * cost, "cost"))
+    scan = scan.withColumn("_turn", F.when(turn != 0, turn)).withColumn("_block", _block(F.col("spin"), BLOCK))
+    # A row for each block: what was paid before it, and which way the first turn after it goes.
+    blocks = scan.groupBy("_block").agg(F.sum("payout").alias("_sum"), F.min_by("_turn", F.when(F.col("_turn").isNotNull(), F.col("spin"))).alias("_head"))
+    up = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_before"), F.last("_head", ignorenulls=True).over(down).alias("_after"))
+    forth = Window.partitionBy("_block").orderBy("spin").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("_block").orderBy(F.desc("spin")).rowsBetween(Window.unboundedPreceding, -1)
+    path = scan.withColumn("_inside", F.sum("payout").over(forth)).withColumn("_next", F.last("_turn", ignorenulls=True).over(back)).join(blocks, "_block")
+    path = path.withColumn("_next", F.coalesce("_next", "_after")).withColumn("cumulative_payout", safe(F.col("_before") + F.col("_inside"), "payout")).withColumn("cumulative_cost", safe(F.col("spin") * cost, "cost"))
     path = path.withColumn("net", F.col("cumulative_payout") - F.col("cumulative_cost"))
-    peak = (turn == 1) & (F.coalesce("_next", F.lit(-1)) == -1) & (F.col("net") > 0)
+    peak = F.coalesce(F.col("_turn") == 1, F.lit(False)) & (F.coalesce("_next", F.lit(-1)) == -1) & (F.col("net") > 0)
     return path.select("spin", "sequence_number", "payout", "cumulative_payout", "cumulative_cost", "net", peak.alias("peak"))
 
 

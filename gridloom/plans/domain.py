@@ -61,7 +61,8 @@ QUERIES = {
     "dom_exact_match": _exact,
     "dom_layout_by_sequence": lambda s, d: layouts(s, d).where(F.col("sequence_number") == START).select("sequence_number", "signature"),
     "dom_next_layout": _next,
-    "dom_payout_eval": payouts,
+    "dom_payout_eval": lambda s, d: evaluate_payouts(layouts(s, d), GAME).select("sequence_number", "payout", "match_count"),
+    "dom_payout_batch": payouts,
     "dom_payout_matches": _matches,
     "dom_payout_readiness": _readiness,
     "dom_cyclic_payouts": lambda s, d: cyclic_window(payouts(s, d), START, _n(s, d), 500).select("spin", "sequence_number", "payout"),
@@ -92,6 +93,7 @@ SELECT p.signature, CASE WHEN count(b.signature) = 0 THEN 'not_found' WHEN count
     "dom_layout_by_sequence": f"WITH {LAYOUTS} SELECT sequence_number, signature FROM boards WHERE sequence_number = {START}",
     "dom_next_layout": f"""WITH {LAYOUTS} SELECT a.sequence_number, a.signature, b.sequence_number AS next_number, b.signature AS next_signature FROM boards a JOIN boards b ON b.sequence_number = a.sequence_number % (SELECT count(*) FROM orders) + 1""",
     "dom_payout_eval": f"WITH {PAYOUTS} SELECT * FROM payouts",
+    "dom_payout_batch": f"WITH {PAYOUTS} SELECT * FROM payouts",
     "dom_payout_matches": f"WITH {PAYOUTS} SELECT * FROM matches",
     "dom_payout_readiness": f"""WITH {PAYOUTS} SELECT count(*) AS layouts, count(*) FILTER (payout > 0) AS paying, 0 AS audit_differences,
  concat_ws(',', CASE WHEN count(*) = 0 THEN 'empty' END, CASE WHEN count(*) FILTER (payout > 0) < count(*) THEN 'missing' END) AS issues FROM payouts""",

@@ -129,7 +129,7 @@ def _late(s, d):
     """Groups (boards by the first two cells) of which every third is resolved: an open one is closed by the first
     resolved one of the same range after it."""
     g = layouts(s, d).select("sequence_number", F.substring("signature", 1, 4).alias("range"))
-    w = Window.partitionBy("range").orderBy("sequence_number").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("range").orderBy(F.desc("sequence_number")).rowsBetween(Window.unboundedPreceding, -1)
     done = F.when(F.col("sequence_number") % 3 == 0, F.col("sequence_number"))
     return g.withColumn("closed_by", F.min(done).over(w)).where("sequence_number % 3 <> 0 and closed_by is not null").select("sequence_number", "closed_by")
 

@@ -12,7 +12,7 @@ from gridloom.operators.bad_rows import load_layout_lines
 from gridloom.plans.common import GAME, LAYOUTS, layouts
 from gridloom.plans.evaluation import CELLS, cells
 from gridloom.plans.windows import BOARDS, boards
-from gridloom.runtime import table
+from gridloom.runtime import cut, table
 
 ALLOWED = list(range(1, 12))
 
@@ -21,7 +21,7 @@ def _imported(s, d):
     """All import lines as staged rows, the bad ones with their code, checked against the game."""
     got = load_layout_lines(table(s, d, "layout_import_lines"))
     rows = got.valid.select("job_id", "line_number", "sequence_number", "cells", F.lit(None).cast("string").alias("error_code")).unionByName(got.bad.select("job_id", "line_number", F.col("code").alias("error_code")), allowMissingColumns=True)
-    return I.normalize_rows(rows, 15, ALLOWED, 2)
+    return cut(I.normalize_rows(rows, 15, ALLOWED, 2), "normalized")
 
 
 def _damaged(s, d):
@@ -30,7 +30,7 @@ def _damaged(s, d):
     kept = b.where("sequence_number % 97 <> 0")
     twice = b.where("sequence_number % 89 = 0")
     cells_ = F.when(F.col("sequence_number") % 83 == 0, F.slice("cells", 1, 14)).when(F.col("sequence_number") % 79 == 0, F.concat(F.slice("cells", 1, 14), F.array(F.lit(12)))).otherwise(F.col("cells"))
-    return kept.unionByName(twice).withColumn("cells", cells_)
+    return cut(kept.unionByName(twice).withColumn("cells", cells_), "damaged")
 
 
 def _dataset(s, d):
