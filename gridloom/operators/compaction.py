@@ -146,7 +146,8 @@ class _Packs:
 @dataclass(frozen=True)
 class Compaction:
     """``index``: a row for each record, with its pack, place in it, length and checksum, the smallest and largest
-    id of the files that hold it and their number. ``files``: (file_id, record) of the input."""
+    id of the files that hold it and their number (and, where that is above two, ``record``, the digest of place and
+    content). ``files``: (file_id, record) of the input."""
 
     index: DataFrame
     files: DataFrame
@@ -251,5 +252,7 @@ def compact_files(files: DataFrame, target_bytes: int = TARGET_BYTES, id_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *columns], names=[x.split()[0] for x in INDEX.split(", ")])
         packs.close()
 
-    index = cut(once.mapInArrow(run, INDEX), "compaction-index")
+    packed = once.mapInArrow(run, INDEX)
+    # The digest of place and content is looked up again only where more than two files hold a record.
+    index = cut(packed.withColumn("record", F.when(F.col("stored_files") > 2, F.col("record"))), "compaction-index")
     return Compaction(index, src.select("file_id", "record"), folder)
