@@ -11,7 +11,7 @@ A record is a place (the resolved path) with a content. Stored copies of a recor
 by the SHA-256 of place and content, with a partial aggregation before the only shuffle, so that a record with very
 many copies costs no more than any other. Every task then writes packs of ``target_bytes`` under a temporary name,
 renames them when complete, and returns an index row for every record; a task that is run again after a loss
-writes its packs again. A second pass reads every pack back by its index and compares lengths and checksums.
+writes its packs again, and only the index says which packs count (``remove_strays`` deletes the others). A second pass reads every pack back by its index and compares lengths and checksums.
 """
 
 from __future__ import annotations
@@ -165,6 +165,17 @@ class Compaction:
         a, b = more.select("record", F.col("file_id").alias("file_id_a")), more.select("record", F.col("file_id").alias("file_id_b"))
         return two.unionByName(a.join(b, "record").where("file_id_a < file_id_b").select("file_id_a", "file_id_b").distinct())
 
+    def remove_strays(self) -> list[str]:
+        """Delete what attempts of lost tasks left in the folder: files that no index row names. Returns their names."""
+        from pyarrow import fs
+
+        named = {r["pack"].rsplit("/", 1)[1] for r in self.index.select("pack").distinct().collect()}  # packs, not records
+        where, root = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+        gone = [f for f in where.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name not in named]
+        for f in gone:
+            where.delete_file(f.path)
+        return sorted(f.base_name for f in gone)
+
     def validate(self) -> DataFrame:
         """``(pack, records, pack_bytes, wrong)``: every record is cut out of its pack again; ``wrong`` counts those
         whose length or SHA-256 differs, and places of a pack that no record or several records cover."""

@@ -15,8 +15,9 @@ from gridloom.plans.windows import BOARDS, boards
 from gridloom.runtime import new_path, table
 from gridloom.sources import sinks
 from gridloom.sources.generators import affine_layouts, mock_layouts
-from gridloom.sources.lines import read_lines
-from gridloom.streaming.grouping import group_observations
+from gridloom.sources.lines import prefix_chains, read_lines
+from gridloom.streaming.grouping import group_observations, resumed
+from gridloom.streaming.imports import import_stream
 
 
 def _local(path):
@@ -140,12 +141,71 @@ def _finalize(s, d):
     return b.groupBy("source_image_id").agg(F.count("*").alias("candidates"), F.count_distinct("sequence_number").alias("numbers"), F.min_by("id", "rank").alias("best")).withColumn("conflict", F.col("numbers") > 1)
 
 
+def _payout_version(s, d):
+    """Payouts of one version triple replaced by dynamic partition overwrite; the other versions stay."""
+    folder = new_path(s, "payout-versions")
+    p = payouts(s, d).select("sequence_number", "payout")
+    for v in (1, 2):
+        p.withColumn("rules_version", F.lit(v)).write.mode("append").partitionBy("rules_version").parquet(folder)
+    p.withColumn("payout", F.col("payout") * 2).withColumn("rules_version", F.lit(2)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rules_version").parquet(folder)
+    return s.read.parquet(folder).groupBy("rules_version").agg(F.count("*").alias("n"), F.sum("payout").alias("total"))
+
+
 def _affine(s, d):
     g = affine_layouts(s, 20_000)
     return g.select("sequence_number", encode_signature(F.col("cells"), 2).alias("signature"))
 
 
+def _raw(s, d):
+    lines = table(s, d, "layout_import_lines")
+    return R.latest_by(lines.select("job_id", "line_number", "raw_line", "received_at"), ["job_id", "line_number"], F.col("received_at"), F.col("raw_line"))
+
+
+def _decode(s, d):
+    """Lines of every job: all, those that are no UTF-8, and those that begin with a byte order mark."""
+    bom = F.substring("raw_line", 1, 3) == F.lit(b"\xef\xbb\xbf")
+    return _raw(s, d).groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(~F.is_valid_utf8(F.col("raw_line").cast("string"))).alias("no_utf8"), F.count_if(bom).alias("with_bom"))
+
+
+def _dispatch(s, d):
+    """Valid and refused lines by the format that the line names."""
+    got = load_layout_lines(table(s, d, "layout_import_lines"))
+    kinds = table(s, d, "layout_import_lines").select("job_id", "line_number", "file_format").distinct()
+    both = got.valid.select("job_id", "line_number", F.lit(1).alias("ok")).unionByName(got.bad.select("job_id", "line_number", F.lit(0).alias("ok")))
+    return both.join(kinds, ["job_id", "line_number"]).groupBy("file_format").agg(F.sum("ok").alias("valid"), F.sum(1 - F.col("ok")).alias("refused"))
+
+
+def _import(s, d):
+    """The smallest CSV job imported as a stream of micro-batches of 100 lines, and what is staged then."""
+    import glob
+    import os
+
+    path = min(glob.glob(f"{_files(s, d, 'csv')}/*.csv"), key=lambda p: (os.path.getsize(p), p))
+    target = new_path(s, "staged")
+    q = import_stream(s, path, "csv", "job", target, new_path(s, "stream-checkpoint"), batch_lines=100)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return s.read.parquet(target).select("line_number", "sequence_number", "error_code")
+
+
+def _resume(s, d):
+    """Grouping in two halves of every run, the second going on from the first's open state, against one pass."""
+    runs = _runs(s, d)
+    whole = group_observations(runs)
+    half = runs.groupBy("run").agg(F.percentile_approx("order", 0.5).alias("middle"))
+    return resumed(runs.join(half, "run")).join(whole.select("run", "group_order", "first_order", "last_order"), ["run", "group_order", "first_order", "last_order"], "left").groupBy("run").agg(F.count("*").alias("groups"), F.count_if(F.col("last_order").isNull()).alias("different"))
+
+
 QUERIES = {
+    "src_decode_utf8": _decode,
+    "src_format_dispatch": _dispatch,
+    "src_prefix_chain": lambda s, d: prefix_chains(_raw(s, d), "job_id", "line_number", "raw_line"),
+    "snk_upsert_payouts": lambda s, d: _payout_version(s, d),
+    "snk_upsert_normalized": lambda s, d: R.upsert(boards(s, d).where("position_index < 5").select("source_image_id", "position_index", "id"), boards(s, d).where("position_index >= 3").select("source_image_id", "position_index", F.upper("id").alias("id")), ["source_image_id", "position_index"]),
+    "stm_microbatch_import": _import,
+    "stm_checkpoint_resume": _resume,
     "src_csv_layouts": lambda s, d: _parsed(s, d, "csv"),
     "src_jsonl_layouts": lambda s, d: _parsed(s, d, "jsonl"),
     "src_line_stream": lambda s, d: read_lines(s, _files(s, d, "csv"), split_bytes=1000).groupBy(F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1).alias("job_id")).agg(F.count("*").alias("n"), F.max("line_number").alias("last_line"), F.max("byte_offset_end").alias("bytes")),
@@ -171,6 +231,10 @@ QUERIES = {
 }
 
 SQL = {
+    "src_decode_utf8": "WITH l AS (SELECT job_id, line_number, arg_max(raw_line, (received_at, raw_line)) AS r FROM layout_import_lines GROUP BY 1, 2) SELECT job_id, count(*) AS n, count(*) FILTER (try(decode(r)) IS NULL) AS no_utf8, count(*) FILTER (hex(r) LIKE 'EFBBBF%') AS with_bom FROM l GROUP BY 1",
+    "src_prefix_chain": "WITH l AS (SELECT job_id, line_number, arg_max(raw_line, (received_at, raw_line)) AS r FROM layout_import_lines GROUP BY 1, 2) SELECT job_id, count(*) AS lines, list_reduce(list_prepend('', list(sha256(r) ORDER BY line_number)), lambda a, x: sha256(a || x)) AS chain FROM l GROUP BY 1",
+    "snk_upsert_payouts": f"WITH {PAYOUTS} SELECT v AS rules_version, count(*) AS n, sum(payout * v)::bigint AS total FROM payouts, (VALUES (1), (2)) t(v) GROUP BY 1",
+    "snk_upsert_normalized": f"WITH {BOARDS} SELECT source_image_id, position_index, id FROM rb a WHERE position_index < 5 AND NOT EXISTS (SELECT 1 FROM rb b WHERE b.source_image_id = a.source_image_id AND b.position_index = a.position_index AND b.position_index >= 3) UNION ALL SELECT source_image_id, position_index, upper(id) FROM rb WHERE position_index >= 3",
     "src_line_stream": "WITH l AS (SELECT job_id, line_number, arg_max(raw_line, (received_at, raw_line)) AS r FROM layout_import_lines WHERE file_format = 'csv' GROUP BY 1, 2) SELECT job_id, count(*) AS n, count(*) AS last_line, sum(octet_length(r) + 1)::bigint AS bytes FROM l GROUP BY 1",
     "src_table_scan_keyset": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY 1 LIMIT 1000",
     "src_image_files": "WITH i AS (SELECT DISTINCT nullif(regexp_replace(lower(trim(checksum_sha256, ' ' || chr(9) || chr(10) || chr(13))), '^sha256:', ''), '') AS digest, id FROM source_images) SELECT digest, min(id) AS first, count(*) AS copies FROM i WHERE digest IS NOT NULL GROUP BY 1",

@@ -9,6 +9,7 @@ from gridloom.functions.signature import cell_width, cyclic_next, decode_signatu
 from gridloom.operators import integrity as I
 from gridloom.operators import relational as R
 from gridloom.operators.bad_rows import load_layout_lines
+from gridloom.operators.selection import select_batch
 from gridloom.plans.common import GAME, LAYOUTS, layouts
 from gridloom.plans.evaluation import CELLS, cells
 from gridloom.plans.windows import BOARDS, boards
@@ -111,6 +112,14 @@ def _suggest(s, d):
     return one.agg(F.count("*").alias("queries"), F.count_if(F.col("k") > 0).alias("covered"), F.count_if(F.col("t1")).alias("top1"), F.count_if(F.col("t3")).alias("top3"))
 
 
+def _active(s, d):
+    """Ten vectors by uncertainty (entropy of their softmax), diversity, unseen label and rarity of the label."""
+    e = table(s, d, "embeddings")
+    rare = e.groupBy("label").agg((1.0 / F.count("*")).alias("rarity"))
+    c = e.join(rare, "label").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("source"), F.round(M.entropy(M.softmax(F.transform("embedding", lambda x: x.cast("double")), 0.1)), 9).alias("uncertainty"), "rarity")
+    return select_batch(c, 10)
+
+
 def _n(s, d):
     return table(s, d, "orders").count()
 
@@ -125,6 +134,7 @@ QUERIES = {
     "dom_source_selection": lambda s, d: R.latest_by(boards(s, d).where("sequence_number is not null").select("sequence_number", "id", "board_confidence", "sequence_confidence"), ["sequence_number"], F.col("board_confidence"), F.col("sequence_confidence"), F.col("id")).select("sequence_number", "id"),
     "dom_symbol_bootstrap": _bootstrap,
     "dom_suggest_eval": _suggest,
+    "dom_active_learning": _active,
     "dom_reopen_conflicts": lambda s, d: boards(s, d).join(I.continuity_issues(boards(s, d)).where("kind = 'duplicate'").select(F.col("value").alias("sequence_number")), "sequence_number", "left_semi").select("id", "sequence_number"),
     "dom_cleanup_preview": lambda s, d: table(s, d, "cell_observations").groupBy("import_job_id").agg(F.count("*").alias("rows"), F.count_distinct("crop_relative_path").alias("paths")),
     "fn_signature": _signatures,

@@ -158,3 +158,28 @@ def stream_lines(spark: SparkSession, path: str, batch_lines: int = 1000, max_li
     register(spark)
     df = spark.readStream.format("physical_lines").option("batch_lines", batch_lines).option("max_line_bytes", max_line_bytes).load(path)
     return df.select("path", F.col("line_in_range").alias("line_number"), "byte_offset_end", "raw_line", "too_large")
+
+
+def prefix_chains(lines: DataFrame, file_col: str, order_col: str, line_col: str) -> DataFrame:
+    """``(file, lines, chain)``: the chained digest of every file's lines, ``chain = sha256(chain + sha256(line))`` in
+    hex, from the empty string on. The chain is sequential, so a file is one task's; its lines are streamed in order,
+    as 32-byte digests that were made before the shuffle."""
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        name, n, chain, out = None, 0, "", []
+        for batch in batches:
+            for file, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file != name or n == 0:
+                    if n:
+                        out.append((name, n, chain))
+                    name, n, chain = file, 0, ""
+                n, chain = n + 1, hashlib.sha256((chain + digest).encode()).hexdigest()
+        if n:
+            out.append((name, n, chain))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=[file_col, "lines", "chain"])
+
+    src = lines.select(F.col(file_col).cast("string").alias("f"), F.sha2(F.coalesce(F.col(line_col), F.lit(b"")), 256).alias("h"), F.col(order_col).alias("o"))
+    return src.repartition("f").sortWithinPartitions("f", "o").select("f", "h").mapInArrow(run, f"`{file_col}` string, lines bigint, chain string")

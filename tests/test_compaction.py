@@ -29,6 +29,8 @@ def test_everything_comes_back_once(spark, tmp_path):
             f.seek(r["pack_offset"])
             data = restored(r["how"], header, f.read(r["stored_bytes"]), r["record_bytes"])
         assert data == content[r["file_id"]] and hashlib.sha256(data).digest() == bytes(r["sha256"])
+    (tmp_path / "packs" / "pack-lost.zst").write_bytes(b"x")
+    assert c.remove_strays() == ["pack-lost.zst"] and sum(r["records"] for r in c.validate().collect()) == len(index)
     frames = next(r["pack"] for r in index if r["how"] == "framed")
     assert unframed(open(frames, "rb").read())  # a pack of frames is a zstandard file
     packs = [open(p, "rb").read() for p in {r["pack"] for r in index if r["how"] == "headed"}]

@@ -110,3 +110,21 @@ def test_keys_and_measures(spark):
     assert tuple(r) == (0.0, 1.0, 0.0, 1.0)
     names = spark.createDataFrame([("b10",), ("b9",), ("B1",)], "n string")
     assert [x[0] for x in names.orderBy(M.natural_key(F.col("n"))).collect()] == ["B1", "b9", "b10"]
+
+
+def test_batch_selection_against_plain_greedy(spark):
+    from gridloom.operators.selection import select_batch
+
+    rng = random.Random(5)
+    pool = [(i, [rng.gauss(0, 1) for _ in range(3)], rng.choice(["a", "b", None]), rng.random(), rng.random()) for i in range(30)] + [(30, None, "c", None, None)]
+    got = [(r["id"]) for r in select_batch(spark.createDataFrame(pool, "id bigint, vector array<double>, source string, uncertainty double, rarity double"), 6).orderBy("round").collect()]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    taken = []
+    for _ in range(6):
+        def score(r):
+            div = 0.0 if r[1] is None else 1.0 - max([cos(r[1], t[1]) for t in taken if t[1]], default=0.0)
+            nov = 0.0 if r[2] is None or r[2] in {t[2] for t in taken} else 1.0
+            return 0.65 * (r[3] or 0) + 0.15 * div + 0.15 * nov + 0.05 * (r[4] or 0)
+        taken.append(max((r for r in pool if r not in taken), key=lambda r: (round(score(r), 9), -r[0])))
+    assert got == [t[0] for t in taken]
+    assert select_batch(spark.createDataFrame([], "id bigint, vector array<double>, source string, uncertainty double, rarity double"), 3).count() == 0
