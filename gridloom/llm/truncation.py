@@ -256,8 +256,8 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     limits: dict[str, list[int]] = {}
     for r in length_limits(docs).collect():
         limits.setdefault(r["source"] or "", []).append(int(r["chars"]))
-    stats = word_statistics(docs.select("_text")).toPandas()
-    scorer = Scorer(stats["slot"].to_numpy(np.int32), stats["total"].to_numpy(np.int64), stats["ends"].to_numpy(np.int64), limits)
+    stats = word_statistics(docs.select("_text")).toArrow()  # at most 2**STAT_BITS rows of 20 bytes
+    scorer = Scorer(*(stats[c].to_numpy() for c in ("slot", "total", "ends")), limits)
 
     lot = F.xxhash64(F.lit(seed), F.col("_id"))
     usable = docs.where((F.col("chars") > 0) & ((F.col("_declared") == F.col("chars")) | F.col("_declared").isNull()))
