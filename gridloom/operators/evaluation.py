@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.measures import wilson_lower
 
+SWEEP_BLOCKS = 4096  # of the unit interval
+
 
 def confusion(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """``(actual, predicted, n)``; rows with a null on either side are left out."""
@@ -46,9 +48,15 @@ def threshold_sweep(df: DataFrame, confidence: str = "confidence", correct: str
     """For every distinct confidence, as the least accepted one: accepted rows, hits, coverage, precision, and the
     lower Wilson bound. Rows are first counted by confidence, so the running sum goes over distinct values only."""
     by = df.where(F.col(confidence).isNotNull()).groupBy(F.col(confidence).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("int")).alias("k"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(F.lit(1))
-    out = by.select("threshold", F.sum("n").over(down).alias("accepted"), F.sum("k").over(down).alias("hits"), (F.sum("n").over(down) / F.sum("n").over(everything)).alias("coverage"))
+    # No global window over the values: blocks of the confidence are summed, accumulated, and finished inside.
+    by = by.withColumn("_block", F.floor(F.col("threshold") * SWEEP_BLOCKS))
+    before = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = by.groupBy("_block").agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"))
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    sums = sums.select("_block", upto("_n").alias("_n0"), upto("_k").alias("_k0"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    down = Window.partitionBy("_block").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    out = by.withColumn("_n", F.sum("n").over(down)).withColumn("_k", F.sum("k").over(down)).join(sums, "_block")
+    out = out.select("threshold", (F.col("_n0") + F.col("_n")).alias("accepted"), (F.col("_k0") + F.col("_k")).alias("hits"), ((F.col("_n0") + F.col("_n")) / F.col("_all")).alias("coverage"))
     return out.withColumn("precision", F.col("hits") / F.col("accepted")).withColumn("wilson", wilson_lower(F.col("hits"), F.col("accepted"), z))
 
 

@@ -146,7 +146,7 @@ QUERIES = {
     "fn_hamming": _hamming,
     "fn_cyclic": lambda s, d: layouts(s, d).select("sequence_number", cyclic_next(F.col("sequence_number"), _n(s, d), 7).alias("seventh"), M.safe(F.col("sequence_number") * 1000).alias("checked")),
     "fn_wilson": lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("k"), F.count("*").alias("n")).select("user_id", F.round(M.wilson_lower(F.col("k"), F.col("n")), 6).alias("wilson")),
-    "fn_map": lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_partkey", "p_size"))).alias("m")).select("p_brand", F.size("m").alias("n"), F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")),
+    "fn_map": lambda s, d: layouts(s, d).select("sequence_number", F.map_from_entries(F.transform(F.array_distinct("cells"), lambda c: F.struct(c.alias("k"), F.size(F.filter("cells", lambda x: x == c)).alias("v")))).alias("m")).select("sequence_number", F.size("m").alias("symbols"), F.array_max(F.map_values("m")).alias("most")),
 }
 
 _DMG = f"""{LAYOUTS}, damaged AS (SELECT sequence_number, signature, CASE WHEN sequence_number % 83 = 0 THEN cells[1:14] WHEN sequence_number % 79 = 0 THEN list_append(cells[1:14], 12) ELSE cells END AS cells
@@ -185,5 +185,5 @@ SELECT sequence_number, array_to_string(line, ',') AS line, coalesce(nullif(list
     "fn_hamming": "WITH f AS (SELECT DISTINCT lower(crop_fingerprint) AS f FROM symbol_crop_samples WHERE crop_fingerprint IS NOT NULL) SELECT f, (" + " + ".join(f"bit_count(xor(('0x' || substr(f, {1 + 8 * i}, 8))::bigint, ('0x' || substr('{'0123456789abcdef' * 2}', {1 + 8 * i}, 8))::bigint))" for i in range(4)) + ") / 128.0::double AS distance FROM f",
     "fn_cyclic": f"WITH {LAYOUTS} SELECT sequence_number, (sequence_number + 6) % (SELECT count(*) FROM orders) + 1 AS seventh, sequence_number * 1000 AS checked FROM boards",
     "fn_wilson": "WITH x AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS k, count(*) AS n FROM events GROUP BY 1), y AS (SELECT user_id, k / n AS p, n FROM x) SELECT user_id, round(greatest(0, (p + 1.96*1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96*1.96 / (4.0 * n * n))) / (1 + 1.96*1.96 / n)), 6) AS wilson FROM y",
-    "fn_map": "SELECT p_brand, count(DISTINCT p_partkey)::int AS n, sum(p_size)::bigint AS total FROM part GROUP BY 1",
+    "fn_map": f"WITH {LAYOUTS}, c AS (SELECT sequence_number, unnest(cells) AS s FROM boards), g AS (SELECT sequence_number, s, count(*) AS n FROM c GROUP BY 1, 2) SELECT sequence_number, count(*)::int AS symbols, max(n)::int AS most FROM g GROUP BY 1",
 }

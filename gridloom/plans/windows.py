@@ -100,7 +100,7 @@ QUERIES = {
     "page_bidirectional": lambda s, d: _page(s, d, (300000.0, 0), True),
     "page_desc_float_cursor": lambda s, d: _page(s, d, (300000.0, 0)),
     "page_cursor_codec": _cursor_codec,
-    "sample_bounded": lambda s, d: table(s, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p")).select("l_suppkey", F.concat_ws(",", F.transform(F.slice("p", 1, 100), lambda x: x.cast("string"))).alias("sample"), (F.size("p") > 100).alias("truncated")),
+    "sample_bounded": lambda s, d: R.top_k(table(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct(), ["l_suppkey"], 101, F.asc("l_partkey")).groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("p")).select("l_suppkey", F.concat_ws(",", F.transform(F.slice("p", 1, 100), lambda x: x.cast("string"))).alias("sample"), (F.size("p") > 100).alias("truncated")),
     # sets
     "set_union_all_cyclic": lambda s, d: payouts(s, d).where("sequence_number > 777").select(F.lit(0).alias("segment"), "sequence_number", "payout").unionByName(payouts(s, d).where("sequence_number < 777").select(F.lit(1).alias("segment"), "sequence_number", "payout")),
     "set_union_all_refs": lambda s, d: table(s, d, "symbol_crop_samples").select(F.lit("sample").alias("kind"), F.col("crop_relative_path").alias("path")).unionByName(table(s, d, "cell_observations").select(F.lit("cell").alias("kind"), F.col("crop_relative_path").alias("path"))).unionByName(table(s, d, "recognized_boards").select(F.lit("board").alias("kind"), F.col("board_relative_path").alias("path"))).where("path is not null").groupBy("kind").agg(F.count("*").alias("refs"), F.count_distinct("path").alias("paths")),
