@@ -101,6 +101,23 @@ class Target:
     floor: int
 
 
+def _draw(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """A random split of ``take`` over cells as if records were drawn from them together. Beyond the counts that the
+    generator can handle, the exact shares are taken, and only what rounding leaves is drawn."""
+    total = int(counts.sum())
+    if take >= total:
+        return counts.copy()
+    if total < 10**9:
+        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+    exact = [int(c) * take for c in counts]
+    out = np.array([e // total for e in exact], dtype=np.int64)
+    rest = np.array([e % total for e in exact], dtype=np.float64)
+    left = take - int(out.sum())
+    if left:
+        out[rng.choice(len(counts), left, replace=False, p=rest / rest.sum())] += 1
+    return out
+
+
 def cell_quotas(members: np.ndarray, counts: np.ndarray, targets: list[Target], size: int, seed: int = 42, rounds: int = ROUNDS) -> np.ndarray:
     """How many records of each cell to draw. ``members``: cells x targets, whether the cell has the category."""
     rng = np.random.default_rng(seed)
@@ -159,7 +176,7 @@ def cell_quotas(members: np.ndarray, counts: np.ndarray, targets: list[Target],
                 same = cells[unit[cells] == level]
                 take = min(left, int(counts[same].sum()))
                 if take:
-                    x[same] = counts[same] if take == counts[same].sum() else rng.multivariate_hypergeometric(counts[same], take, method="marginals")
+                    x[same] = _draw(rng, counts[same], take)
                 left -= take
         cost = total_cost(x)
         if cost < best_cost:

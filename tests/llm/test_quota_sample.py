@@ -68,3 +68,24 @@ def test_many_categories_need_several_words(spark):
     t = spark.createDataFrame([("condition_tag", f"t{k}", 0.01, 1, 4) for k in range(100)], TARGETS)
     q = quota_sample(frame(spark, data), t)
     assert {r["drawn"] for r in q.report.collect()} == {1} and q.sample.count() == 100
+
+
+def test_very_full_cells_are_ranked_in_buckets(spark, monkeypatch):
+    from gridloom.llm import quota_sample as module
+
+    monkeypatch.setattr(module, "ROWS_PER_RANK", 20)
+    data = [(f"o{i}", 0, None, None) for i in range(500)] + [(f"p{i}", 1, None, None) for i in range(7)]
+    t = spark.createDataFrame([("board_position", "0", 0.95, 1, 3), ("board_position", "1", 0.05, 5, 3)], TARGETS)
+    q = quota_sample(frame(spark, data), t)
+    ids = [r["observation_id"] for r in q.sample.collect()]
+    assert len(ids) == len(set(ids)) == 169 and sum(i[0] == "p" for i in ids) == 7
+
+
+def test_draws_from_very_large_counts():
+    from gridloom.llm.quota_sample import _draw
+
+    rng = np.random.default_rng(1)
+    counts = np.array([10**12, 3 * 10**12, 5], dtype=np.int64)
+    x = _draw(rng, counts, 10**12 + 1)
+    assert x.sum() == 10**12 + 1 and (x <= counts).all() and abs(int(x[0]) - 25 * 10**10) <= 2
+    assert (_draw(rng, counts, int(counts.sum())) == counts).all()
