@@ -6,7 +6,7 @@ features of the closing characters, the punctuation, the form of the last line,
 elsewhere in the corpus, and the distance to the source's length limits is fitted on a bounded sample of these
 and then scores every record.
 
-What is bounded: ``train_rows`` documents are collected for the fit; the word statistics, which cover every word
+What is bounded: ``train_rows`` documents of at most ``TRAIN_CHARS`` characters are taken for the fit; the word statistics, which cover every word
 of every text, are kept in ``2**STAT_BITS`` counters (a hashed sketch) however large the corpus is; limits are a
 few for a source.
 """
@@ -28,6 +28,7 @@ from gridloom.runtime import cut, pick
 STAT_BITS = 20
 FEATURE_BITS = 18
 TRAIN_ROWS = 20_000
+TRAIN_CHARS = 20_000
 THRESHOLD = 0.5
 FLUSH = 200_000
 
@@ -58,14 +59,16 @@ def _shape(line: str) -> str:
 def word_events(text: str) -> Iterator[tuple[int, int]]:
     """(slot, 1 if a sentence or line ends right after) of every word and word pair but the last word's, of which
     nobody knows whether it is whole."""
-    before, spans = "", list(_WORD.finditer(text))
-    for here, following in zip(spans, spans[1:], strict=False):
-        w = _norm(here[0])
-        ends = 1 if _STOP.search(text, here.end(), following.start()) else 0
-        yield _slot("w", w), ends
-        if before:
-            yield _slot("b", before, w), ends
-        before = "" if ends else w
+    before, here = "", None
+    for following in _WORD.finditer(text):
+        if here is not None:
+            w = _norm(here[0])
+            ends = 1 if _STOP.search(text, here.end(), following.start()) else 0
+            yield _slot("w", w), ends
+            if before:
+                yield _slot("b", before, w), ends
+            before = "" if ends else w
+        here = following
 
 
 def word_statistics(texts: DataFrame) -> DataFrame:
@@ -260,7 +263,7 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     scorer = Scorer(*(stats[c].to_numpy() for c in ("slot", "total", "ends")), limits)
 
     lot = F.xxhash64(F.lit(seed), F.col("_id"))
-    usable = docs.where((F.col("chars") > 0) & ((F.col("_declared") == F.col("chars")) | F.col("_declared").isNull()))
+    usable = docs.where(F.col("chars").between(1, TRAIN_CHARS) & ((F.col("_declared") == F.col("chars")) | F.col("_declared").isNull()))
     sample = usable.select("source", "_text", lot.alias("_lot")).orderBy("_lot").limit(train_rows).repartition(max(8, spark.sparkContext.defaultParallelism))
     shared = spark.sparkContext.broadcast(scorer)
     weights = _train(_training_pairs(sample, shared).toArrow())
