@@ -9,7 +9,7 @@ min-cost flow is solved,
 whose arcs from the source and into the sink carry the margins: a floor (very dear to miss), the target, and slack
 beyond either, so an unreachable target shows up as flow on a slack arc. Tags overlap and cannot be nodes of the
 path; they are prices on the cell arcs, raised and lowered until their margins fit, and what is left over is removed
-by cancelling cycles of the residual network. Cells of equal cost share their quota by a random (hypergeometric)
+by exchanges between any two cells (cycles of the residual network) until none helps. Cells of equal cost share their quota by a random (hypergeometric)
 draw, and the records of a cell are drawn by hash.
 """
 
@@ -29,6 +29,7 @@ BITS = 62
 ROUNDS = 16
 FLOOR_COST = 1_000.0
 ROWS_PER_RANK = 200_000
+PAIRS = 1 << 21
 KINDS = ("board_position", "condition_tag", "source_group")
 
 
@@ -190,27 +191,44 @@ def cell_quotas(members: np.ndarray, counts: np.ndarray, targets: list[Target],
     return _cancel(best, members.astype(np.int64), counts, goal, np.minimum(floor, members.T @ counts))
 
 
-def _cancel(x: np.ndarray, members: np.ndarray, counts: np.ndarray, goal: np.ndarray, floor: np.ndarray, steps: int = 20_000, width: int = 40) -> np.ndarray:
-    """Move units from one cell to another (a cycle of the residual network) while that lowers the cost."""
+def _best_exchange(members: np.ndarray, shared: np.ndarray, into: np.ndarray, out: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[float, int, int]:
+    """The least change of cost by one unit into a cell of ``rows`` and out of one of ``columns``, and these cells. What
+    both cells have does not change, so its ``shared`` cost is taken off; the pairs are looked at in blocks."""
+    best, right = (math.inf, -1, -1), members[columns].T.astype(np.float64)
+    step = max(1, PAIRS // max(1, len(columns)))
+    for at in range(0, len(rows) if len(columns) else 0, step):
+        own = rows[at : at + step]
+        gain = into[own][:, None] + out[columns][None, :] - (members[own] * shared) @ right
+        i, j = np.unravel_index(np.argmin(gain), gain.shape)
+        if gain[i, j] < best[0]:
+            best = float(gain[i, j]), int(own[i]), int(columns[j])
+    return best
+
+
+def _cancel(x: np.ndarray, members: np.ndarray, counts: np.ndarray, goal: np.ndarray, floor: np.ndarray, width: int = 40) -> np.ndarray:
+    """Move units from one cell to another (a cycle of the residual network) until no such exchange lowers the cost.
+
+    The ``width`` cells that look best by themselves are tried first; only where they have no exchange that helps, all
+    pairs of cells are, so the end is one for all pairs. The cost is whole and falls with every move.
+    """
     x = x.copy()
     got = x @ members
 
     def cost(g):
         return np.abs(g - goal) + FLOOR_COST * np.maximum(0, floor - g)
 
-    for _ in range(steps):
+    while True:
         here = cost(got)
         up, down = cost(got + 1) - here, cost(got - 1) - here
-        into, out = np.where(x < counts, members @ up, np.inf), np.where(x > 0, members @ down, np.inf)
-        a, b = (np.argsort(v, kind="stable")[:width] for v in (into, out))
-        change = members[a][:, None, :] - members[b][None, :, :]
-        gain = np.where(change == 1, up, np.where(change == -1, down, 0.0)).sum(2)
-        gain[np.isinf(into[a])] = np.inf
-        gain[:, np.isinf(out[b])] = np.inf
-        i, j = np.unravel_index(np.argmin(gain), gain.shape)
-        if not gain[i, j] < -1e-9:
-            break
-        step, i, j = change[i, j], a[i], b[j]
+        into, out = members @ up, members @ down
+        rows, columns = np.flatnonzero(x < counts), np.flatnonzero(x > 0)
+        few = rows[np.argsort(into[rows], kind="stable")[:width]], columns[np.argsort(out[columns], kind="stable")[:width]]
+        gain, i, j = _best_exchange(members, up + down, into, out, *few)
+        if not gain < -1e-9:
+            gain, i, j = _best_exchange(members, up + down, into, out, rows, columns)
+        if not gain < -1e-9:
+            return x
+        step = members[i] - members[j]
         most = min(int(counts[i] - x[i]), int(x[j]))
         for kink in (goal, floor):  # as far as no category passes its target or floor
             far = (kink - got)[step == 1]
@@ -219,7 +237,6 @@ def _cancel(x: np.ndarray, members: np.ndarray, counts: np.ndarray, goal: np.nda
         x[i] += most
         x[j] -= most
         got = got + most * step
-    return x
 
 
 @dataclass(frozen=True)

@@ -89,3 +89,26 @@ def test_draws_from_very_large_counts():
     x = _draw(rng, counts, 10**12 + 1)
     assert x.sum() == 10**12 + 1 and (x <= counts).all() and abs(int(x[0]) - 25 * 10**10) <= 2
     assert (_draw(rng, counts, int(counts.sum())) == counts).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_exchange_between_any_two_of_many_cells_is_left(seed):
+    rng = np.random.default_rng(seed)
+    kinds = [("board_position", 9), ("condition_tag", 8), ("source_group", 8)]
+    targets = [Target(k, str(i), float(share), 2) for k, n in kinds for i, share in enumerate(rng.dirichlet(np.ones(n)) * (1.8 if k == "condition_tag" else 1.0))]
+    cells = sorted({(int(rng.integers(9)), int(rng.integers(1, 256)), int(rng.integers(8))) for _ in range(600)})
+    members = np.array([[p == i for i in range(9)] + [bool(t >> i & 1) for i in range(8)] + [g == i for i in range(8)] for p, t, g in cells], dtype=bool)
+    counts = rng.integers(1, 8, len(cells))
+    size = int(counts.sum()) // 3
+    goal = np.array([round(t.share * size) for t in targets])
+    floor = np.minimum([t.floor for t in targets], members.T @ counts)
+
+    def cost(got):
+        return np.abs(got - goal).sum(-1) + 1000 * np.maximum(0, floor - got).sum(-1)
+
+    x = cell_quotas(members, counts, targets, size)
+    assert len(cells) > 500 and x.sum() == size and (x <= counts).all() and (x >= 0).all()
+    m = members.astype(np.int64)
+    got = x @ m
+    best = min(cost(got + m[i][None, :] - m[x > 0]).min() for i in np.flatnonzero(x < counts))
+    assert best >= cost(got)
