@@ -103,15 +103,16 @@ def evaluate_payouts(layouts: DataFrame, game: Game = Game()) -> DataFrame:
 # --- forecast ---------------------------------------------------------------------------------------------------
 
 
-def forecast_path(payouts: DataFrame, start: int, count: int, cost: int, limit: int = 500_000) -> DataFrame:
+def forecast_path(payouts: DataFrame, start: int, count: int, cost: int, limit: int | None = None) -> DataFrame:
     """(spin, sequence_number, payout, cumulative_payout, cumulative_cost, net, peak) after ``start``, in cyclic
-    order. ``peak``: a positive local maximum of the net; of a plateau the first spin, and an open rise at the end.
+    order: all ``count - 1`` spins, or the first ``limit`` of them. ``peak``: a positive local maximum of the net; of a
+    plateau the first spin, and an open rise at the end.
 
     Whether the net rises or falls at a spin depends on its payout only, so a peak is a rise whose next spin that
     is not flat falls, or is missing. Sums and the look ahead work in blocks. An impossible input (a missing or
     repeated number, a null or negative payout) is an error, never a partial result.
     """
-    scan = cyclic_window(payouts, start, count, limit).select("spin", "sequence_number", "payout")
+    scan = cyclic_window(payouts, start, count, max(1, count - 1) if limit is None else limit).select("spin", "sequence_number", "payout")
     bad = F.coalesce(F.col("payout") < 0, F.lit(True))
     scan = scan.withColumn("payout", F.when(bad, F.raise_error(F.lit("payouts must not be negative or null"))).otherwise(F.col("payout")))
     turn = F.signum((F.col("payout") - cost).cast("double")).cast("int")

@@ -75,6 +75,14 @@ def test_forecast_refuses_negative_payouts(spark):
         forecast_path(df, 1, 2, 10).collect()
 
 
+def test_forecast_without_a_limit_takes_every_spin(spark):
+    n = 500_003
+    df = spark.range(1, n + 1).select(F.col("id").alias("sequence_number"), F.when(F.col("id") == n - 1, 100).otherwise(10).cast("bigint").alias("payout"))
+    path = forecast_path(df, n, n, 10)
+    assert tuple(forecast_summary(path).first()) == (n - 1, 10 * (n - 1) + 90, 10 * (n - 1), 90, 1)
+    assert [r["spin"] for r in path.where("peak").collect()] == [n - 1]
+
+
 def test_signatures(spark):
     df = spark.createDataFrame([([1, 10, 3],), ([],), (None,), ([1, None, 3],), ([1, None, None],), ([0, 1, 2],), ([100, 1, 2],)], "c array<int>")
     got = df.select(encode_signature(F.col("c"), 2), encode_prefix(F.col("c"), 2)).collect()
