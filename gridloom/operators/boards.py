@@ -110,25 +110,35 @@ def forecast_path(payouts: DataFrame, start: int, count: int, cost: int, limit:
 
     Whether the net rises or falls at a spin depends on its payout only, so a peak is a rise whose next spin that
     is not flat falls, or is missing. Sums and the look ahead work in blocks. An impossible input (a missing or
-    repeated number, a null or negative payout) is an error, never a partial result.
+    repeated number, a null or negative payout) is an error, never a partial result. Blocks are checked for their
+    number of rows, and within them every spin for its place.
     """
-    scan = cyclic_window(payouts, start, count, max(1, count - 1) if limit is None else limit).select("spin", "sequence_number", "payout")
+    limit = max(1, count - 1) if limit is None else limit
+    spins = min(limit, count - 1)
+    scan = cyclic_window(payouts, start, count, limit).select("spin", "sequence_number", "payout")
     bad = F.coalesce(F.col("payout") < 0, F.lit(True))
     scan = scan.withColumn("payout", F.when(bad, F.raise_error(F.lit("payouts must not be negative or null"))).otherwise(F.col("payout")))
     turn = F.signum((F.col("payout") - cost).cast("double")).cast("int")
     scan = scan.withColumn("_turn", F.when(turn != 0, turn)).withColumn("_block", _block(F.col("spin"), BLOCK))
     # A row for each block: what was paid before it, and which way the first turn after it goes.
-    blocks = scan.groupBy("_block").agg(F.sum("payout").alias("_sum"), F.min_by("_turn", F.when(F.col("_turn").isNotNull(), F.col("spin"))).alias("_head"))
+    blocks = scan.groupBy("_block").agg(F.count("*").alias("_rows"), F.sum("payout").alias("_sum"), F.min_by("_turn", F.when(F.col("_turn").isNotNull(), F.col("spin"))).alias("_head"))
+    # Every block that there must be, so that one without any row is noticed.
+    blocks = payouts.sparkSession.range(-(-(spins + 1) // BLOCK) if spins > 0 else 0).select(F.col("id").alias("_block")).join(blocks, "_block", "left")
     up = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_before"), F.last("_head", ignorenulls=True).over(down).alias("_after"))
+    blocks = blocks.select("_block", "_rows", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_before"), F.last("_head", ignorenulls=True).over(down).alias("_after"))
     forth = Window.partitionBy("_block").orderBy("spin").rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy("_block").orderBy(F.desc("spin")).rowsBetween(Window.unboundedPreceding, -1)
-    path = scan.withColumn("_inside", F.sum("payout").over(forth)).withColumn("_next", F.last("_turn", ignorenulls=True).over(back)).join(blocks, "_block")
+    path = scan.withColumn("_inside", F.sum("payout").over(forth)).withColumn("_next", F.last("_turn", ignorenulls=True).over(back)).withColumn("_place", F.row_number().over(forth)).join(blocks, "_block", "right")
+    first = F.greatest(F.col("_block") * BLOCK, F.lit(1))
+    whole = (F.col("_rows") == F.least((F.col("_block") + 1) * BLOCK - 1, F.lit(spins)) - first + 1) & (F.col("_place") == F.col("spin") - first + 1)
+    checked = lambda c: F.when(F.coalesce(whole, F.lit(False)), c).otherwise(F.raise_error(F.lit("sequence numbers must not be missing or repeated")).cast("boolean"))
+    path = path.where(checked(F.lit(True)))
     path = path.withColumn("_next", F.coalesce("_next", "_after")).withColumn("cumulative_payout", safe(F.col("_before") + F.col("_inside"), "payout")).withColumn("cumulative_cost", safe(F.col("spin") * cost, "cost"))
     path = path.withColumn("net", F.col("cumulative_payout") - F.col("cumulative_cost"))
     peak = F.coalesce(F.col("_turn") == 1, F.lit(False)) & (F.coalesce("_next", F.lit(-1)) == -1) & (F.col("net") > 0)
-    return path.select("spin", "sequence_number", "payout", "cumulative_payout", "cumulative_cost", "net", peak.alias("peak"))
+    # Again in the peak: a filter on it would be split and take rows away before they are checked.
+    return path.select("spin", "sequence_number", "payout", "cumulative_payout", "cumulative_cost", "net", checked(peak).alias("peak"))
 
 
 def forecast_summary(path: DataFrame) -> DataFrame:

@@ -75,6 +75,28 @@ def test_forecast_refuses_negative_payouts(spark):
         forecast_path(df, 1, 2, 10).collect()
 
 
+def _steps(spark, numbers):
+    return spark.createDataFrame([(i, 10) for i in numbers], "sequence_number bigint, payout bigint")
+
+
+@pytest.mark.parametrize("numbers", [[1, 2, 4, 5], [1, 2, 3, 3, 4, 5], [1, 2, 2, 4, 5], [1, 2, 3, 4], [1], []])
+@pytest.mark.parametrize("of", [lambda p: p, forecast_summary, lambda p: p.where("peak"), lambda p: p.select("spin")])
+def test_forecast_refuses_missing_and_repeated_numbers(spark, numbers, of):
+    with pytest.raises(Exception, match="missing or repeated"):
+        of(forecast_path(_steps(spark, numbers), 1, 5, 10)).collect()
+
+
+def test_forecast_checks_every_block(spark):
+    n = 40_000
+    df = spark.range(1, n + 1).select(F.col("id").alias("sequence_number"), F.lit(10).cast("bigint").alias("payout"))
+    assert forecast_path(df, 1, n, 10).count() == n - 1
+    for lost in ("sequence_number <> 20000", "sequence_number <> 16384", "sequence_number <> 40000", "sequence_number not between 16385 and 32768", "sequence_number < 32769"):
+        with pytest.raises(Exception, match="missing or repeated"):
+            forecast_summary(forecast_path(df.where(lost), 1, n, 10)).collect()
+    assert forecast_path(df.where("sequence_number < 20000"), 1, n, 10, 18_000).count() == 18_000  # nothing is lost within the limit
+    assert forecast_path(df.limit(0), 1, 1, 10).count() == 0
+
+
 def test_forecast_without_a_limit_takes_every_spin(spark):
     n = 500_003
     df = spark.range(1, n + 1).select(F.col("id").alias("sequence_number"), F.when(F.col("id") == n - 1, 100).otherwise(10).cast("bigint").alias("payout"))
