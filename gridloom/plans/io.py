@@ -24,11 +24,11 @@ def _local(path):
     return path.removeprefix("file://")
 
 
-def _files(s, d, kind):
+def _files(s, d, kind, folder=None):
     """The import files of the table as real files, one a job, and their lines read back by the line source."""
     lines = table(s, d, "layout_import_lines").where(F.col("file_format") == kind)
     lines = R.latest_by(lines.select("job_id", "line_number", "raw_line", "received_at"), ["job_id", "line_number"], F.col("received_at"), F.col("raw_line"))
-    folder = _local(new_path(s, f"files-{kind}"))
+    folder = folder or _local(new_path(s, f"files-{kind}"))
     sinks.write_line_files(lines, folder, "job_id", "line_number", "raw_line", kind)
     return folder
 
@@ -176,18 +176,16 @@ def _dispatch(s, d):
 
 
 def _import(s, d):
-    """The smallest CSV job imported as a stream of micro-batches of 100 lines, and what is staged then."""
-    import glob
-    import os
-
-    path = min(glob.glob(f"{_files(s, d, 'csv')}/*.csv"), key=lambda p: (os.path.getsize(p), p))
-    target = new_path(s, "staged")
-    q = import_stream(s, path, "csv", "job", target, new_path(s, "stream-checkpoint"), batch_lines=100)
+    """Every job of both formats imported as one stream of micro-batches, of each file 100 lines, and what is staged
+    then."""
+    target, folder = new_path(s, "staged"), _files(s, d, "csv")
+    _files(s, d, "jsonl", folder)
+    q = import_stream(s, folder, None, None, target, new_path(s, "stream-checkpoint"), batch_lines=100)
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    return s.read.parquet(target).select("line_number", "sequence_number", "error_code")
+    return s.read.parquet(target).select("job_id", "line_number", "sequence_number", "error_code")
 
 
 def _resume(s, d):

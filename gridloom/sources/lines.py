@@ -18,6 +18,8 @@ def line_source() -> type:
     """The data source class. It is made in here, so that it is pickled by value and needs nothing on a worker."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+    HELD = 64 << 20
+
     class Range(InputPartition):
         def __init__(self, path: str, start: int, end: int):
             self.path, self.start, self.end = path, start, end
@@ -41,6 +43,8 @@ def line_source() -> type:
         import glob
         import os
 
+        if os.path.isfile(path):
+            return [path]
         found = [p for p in sorted(glob.glob(path)) if os.path.isfile(p)] if not os.path.isdir(path) else []
         if os.path.isdir(path):
             found = sorted(os.path.join(r, n) for r, _, names in os.walk(path) for n in names if not n.startswith(("_", ".")))
@@ -79,47 +83,67 @@ def line_source() -> type:
                         return
 
     class Stream(SimpleDataSourceStreamReader):
-        """Micro-batches of one growing file. The offset holds the chained digest of all lines before it: a file that
-        was changed before the offset is noticed when the stream is resumed."""
+        """Micro-batches of growing files, of each ``batch_lines`` lines; past ``HELD`` bytes the rest waits for the next
+        batch. The offset holds, for every file, the chained digest of all lines before it: a file that was changed
+        before the offset is noticed when the stream is resumed."""
 
         def __init__(self, options):
             self.path, self.size = options["path"], int(options.get("batch_lines", 1000))
-            self.most, self.checked = int(options.get("max_line_bytes", 1 << 20)), False
+            self.most, self.checked = int(options.get("max_line_bytes", 1 << 20)), set()
 
         def initialOffset(self):
-            return {"bytes": 0, "line": 0, "chain": ""}
+            return {"files": {}}
 
         def _chain(self, chain: str, line, used: int) -> str:
             import hashlib
 
             return hashlib.sha256(f"{chain}|{used}|".encode() + (line if line is not None else b"")).hexdigest()
 
-        def _read(self, start, end_bytes=None):
-            rows, at, number, chain = [], start["bytes"], start["line"], start["chain"]
-            with open(self.path, "rb") as f:
-                if not self.checked and at:
-                    known, seen = "", 0
-                    for line, _, used in physical(f, self.most):
-                        if seen >= at:
+        def _places(self, offset) -> dict:
+            """(bytes, lines, chain) by file; offsets of one file were stored without its name."""
+            return offset["files"] if "files" in offset else {self.path: [offset["bytes"], offset["line"], offset["chain"]]}
+
+        def _read(self, start, end=None):
+            import os
+
+            places = dict(self._places(start))
+            stops = None if end is None else self._places(end)
+            names = (files(self.path) or ([] if os.path.isdir(self.path) else [self.path])) if stops is None else stops
+            rows, held = [], 0
+            for name in sorted({*names, *places} if end is None else names):
+                if end is None and held >= HELD:
+                    break
+                at, number, chain = places.get(name, (0, 0, ""))
+                stop, taken = None if stops is None else stops[name][0], 0
+                with open(name, "rb") as f:
+                    if name not in self.checked and at:
+                        known, seen = "", 0
+                        for line, _, used in physical(f, self.most):
+                            if seen >= at:
+                                break
+                            known, seen = self._chain(known, line, used), seen + used
+                        if known != chain:
+                            raise ValueError("the file was changed before the checkpoint; import it again from its beginning")
+                    self.checked.add(name)
+                    f.seek(at)
+                    lines = physical(f, self.most)
+                    while (taken < self.size and held < HELD) if stop is None else at < stop:
+                        line, large, used = next(lines, (None, False, 0))
+                        if not used:
                             break
-                        known, seen = self._chain(known, line, used), seen + used
-                    if known != chain:
-                        raise ValueError("the file was changed before the checkpoint; import it again from its beginning")
-                self.checked = True
-                f.seek(at)
-                for line, large, used in physical(f, self.most):
-                    number, at, chain = number + 1, at + used, self._chain(chain, line, used)
-                    rows.append((self.path, 0, number, at, line, large))
-                    if len(rows) >= self.size if end_bytes is None else at >= end_bytes:
-                        break
-            return rows, {"bytes": at, "line": number, "chain": chain}
+                        number, at, chain = number + 1, at + used, self._chain(chain, line, used)
+                        taken, held = taken + 1, held + len(line or b"")
+                        rows.append((name, 0, number, at, line, large))
+                if at:
+                    places[name] = [at, number, chain]
+            return rows, {"files": places}
 
         def read(self, start):
             rows, end = self._read(start)
-            return iter(rows), end
+            return iter(rows), end if rows else start
 
         def readBetweenOffsets(self, start, end):
-            return iter(self._read(start, end["bytes"])[0] if end["bytes"] > start["bytes"] else [])
+            return iter(self._read(start, end)[0])
 
     class PhysicalLines(DataSource):
         @classmethod
@@ -154,7 +178,8 @@ def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20, max_
 
 
 def stream_lines(spark: SparkSession, path: str, batch_lines: int = 1000, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """The lines of one growing file as a stream of micro-batches."""
+    """The lines of growing files (a file, a folder or a pattern) as a stream of micro-batches, each with up to
+    ``batch_lines`` lines of every file. Files that come later are read from their beginning."""
     register(spark)
     df = spark.readStream.format("physical_lines").option("batch_lines", batch_lines).option("max_line_bytes", max_line_bytes).load(path)
     return df.select("path", F.col("line_in_range").alias("line_number"), "byte_offset_end", "raw_line", "too_large")

@@ -1,4 +1,4 @@
-"""Importing a growing line file in micro-batches, exactly once."""
+"""Importing growing line files in micro-batches, exactly once."""
 
 from __future__ import annotations
 
@@ -9,15 +9,19 @@ from gridloom.operators.bad_rows import load_layout_lines
 from gridloom.sources.lines import stream_lines
 
 
-def import_stream(spark: SparkSession, path: str, file_format: str, job_id: str, target: str, checkpoint: str, batch_lines: int = 1000):
+def import_stream(spark: SparkSession, path: str, file_format: str | None, job_id: str | None, target: str, checkpoint: str, batch_lines: int = 1000):
     """Start a query that stages the lines of ``path`` as (job_id, line_number, sequence_number, cells, error_code).
+    ``path`` may be a folder of files; where ``job_id`` is None, a file's job is its name without the
+    extension, and where ``file_format`` is None, its format is the extension.
 
     A micro-batch overwrites the folder of its own id, so that one which is run again after a failure leaves its
-    rows once. The offset, the line number and the digest chain are in the checkpoint.
+    rows once. The offset, the line number and the digest chain of every file are in the checkpoint.
     """
+    job = F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1) if job_id is None else F.lit(job_id)
+    kind = F.regexp_extract("path", r"\.([a-z]+)$", 1) if file_format is None else F.lit(file_format)
 
     def stage(lines: DataFrame, batch: int) -> None:
-        got = load_layout_lines(lines.select(F.lit(job_id).alias("job_id"), "line_number", F.lit(file_format).alias("file_format"), F.when(F.col("too_large"), F.lit(b"too large")).otherwise(F.col("raw_line")).alias("raw_line")))
+        got = load_layout_lines(lines.select(job.alias("job_id"), "line_number", kind.alias("file_format"), F.when(F.col("too_large"), F.lit(b"too large")).otherwise(F.col("raw_line")).alias("raw_line")))
         rows = got.valid.withColumn("error_code", F.lit(None).cast("string")).unionByName(got.bad.select("job_id", "line_number", F.col("code").alias("error_code")), allowMissingColumns=True)
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 

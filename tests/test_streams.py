@@ -55,6 +55,39 @@ def test_stream_import_resumes(spark, tmp_path):
     assert [r["line_number"] for r in got.where("error_code is not null").collect()] == [25]
 
 
+def test_stream_import_of_a_folder_takes_every_file(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    line = lambda i: b'1,%d,"[1,2]"\n' % i
+    head = b"schema_version,sequence_number,cells\n"
+    for name, n in (("a", 1), ("b", 11), ("c", 4)):
+        (folder / f"{name}.csv").write_bytes(head + b"".join(map(line, range(1, n + 1))))
+
+    def run():
+        q = import_stream(spark, str(folder), "csv", None, str(tmp_path / "out"), str(tmp_path / "ck"), batch_lines=4)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted((r["job_id"], r["line_number"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    want = [(name, k) for name, n in (("a", 1), ("b", 11), ("c", 4)) for k in range(2, n + 2)]
+    assert run() == want
+    with open(folder / "a.csv", "ab") as f:
+        f.write(line(2))
+    (folder / "d.csv").write_bytes(head + line(1))
+    assert run() == sorted([*want, ("a", 3), ("d", 2)])
+
+
+def test_import_query_stages_every_job(spark, data):
+    import __spark_entry__ as entry
+
+    pick = lambda df: rows(df.select("job_id", "line_number", "sequence_number", "error_code"))
+    q = entry.queries()
+    got = pick(q["stm_microbatch_import"](spark, data))
+    assert got == sorted(pick(q["src_csv_layouts"](spark, data)) + pick(q["src_jsonl_layouts"](spark, data)), key=repr)
+
+
 def _observations(seed, n=200):
     rng = random.Random(seed)
     base, out = 0, []
