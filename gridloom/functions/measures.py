@@ -72,6 +72,12 @@ def wilson_lower(hits: Column, n: Column, z: float = 1.96) -> Column:
 
 
 def natural_key(name: Column, digits: int = 12) -> Column:
-    """Sort key in which runs of digits compare as numbers (up to ``digits`` digits) and text without case."""
+    """Sort key in which runs of digits compare as numbers and text without case. Longer ones than ``digits`` come after
+    those, by their length and then their digits."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.concat_ws("", F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.ltrim(p, F.lit("0")), digits, "0")).otherwise(p)))
+
+    def number(p: Column) -> Column:
+        n = F.ltrim(p, F.lit("0"))
+        return F.when(F.length(n) <= digits, F.lpad(n, digits, "0")).otherwise(F.concat(F.lit(":"), F.lpad(F.length(n).cast("string"), 10, "0"), n))
+
+    return F.concat_ws("", F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)))

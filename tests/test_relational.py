@@ -128,3 +128,11 @@ def test_batch_selection_against_plain_greedy(spark):
         taken.append(max((r for r in pool if r not in taken), key=lambda r: (round(score(r), 9), -r[0])))
     assert got == [t[0] for t in taken]
     assert select_batch(spark.createDataFrame([], "id bigint, vector array<double>, source string, uncertainty double, rarity double"), 3).count() == 0
+
+
+def test_natural_keys_of_long_numbers(spark):
+    from gridloom.functions.measures import natural_key
+
+    names = ["a2", "a10", "a999999999999", "a1000000000000", "a1000000000001", "a0002000000000000", "a10000000000000", "b1"]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "name string")
+    assert [r[0] for r in df.orderBy(natural_key(F.col("name")), "name").collect()] == names
