@@ -1,5 +1,10 @@
 import random
+import re
+from collections import Counter
 
+from pyspark.sql import functions as F
+
+import gridloom.llm.truncation as T
 from gridloom.llm.truncation import find_truncated, length_limits, word_events
 
 DOCS = "doc_id bigint, text string, source string, n_chars bigint, score string, TEXT string"
@@ -63,8 +68,60 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_limits_and_events(spark):
-    rows = [("s", 100)] * 30 + [("s", 60 + i % 80) for i in range(80)] + [(None, 50)] * 12
-    got = sorted((r["source"] or "", r["chars"]) for r in length_limits(spark.createDataFrame(rows, "source string, chars bigint")).collect())
-    assert got == [("", 50), ("s", 100)]
-    events = list(word_events("One two. Three"))
-    assert [e for _, e in events] == [0, 1, 1]
+    rows = [("s", 100)] * 30 + [("s", 60 + i % 80) for i in range(80)] + [(None, 50)] * 12 + [("few", 300)] * 4 + [("few", 40 + 9 * i) for i in range(20)]
+    hist = spark.createDataFrame(rows, "source string, chars bigint").groupBy("source", "chars").agg(F.count("*").alias("n"))
+    got = sorted((r["source"] or "", r["chars"]) for r in length_limits(hist).collect())
+    assert got == [("", 50), ("few", 300), ("s", 100)]
+    assert [e for _, e in word_events("One two. Three")] == [0, 1, 1]
+
+
+def plain_events(text):
+    """Word events as one would write them down."""
+    out, before, found = [], "", list(re.finditer(r"\w+", text))
+    for here, following in zip(found, found[1:], strict=False):
+        w = re.sub(r"\d+", "0", here[0].lower())
+        ends = bool(re.search(r"[.!?…][\"'”“’»)\]]*(\s|$)|\n|\r", text[here.end() : following.start()]))
+        out += [(("", w), ends)] + ([((before, w), ends)] if before else [])
+        before = "" if ends else w
+    return out
+
+
+def test_events_as_arrays_are_those_of_the_plain_form(monkeypatch):
+    rng = random.Random(5)
+    alphabet = ["word", "Wort", "x1", "2024", "3.5", "ż", " ", " ", "  ", ".", "!) ", "…", "\n", "\r\n", ",", "(", '"', "É", "_a", "٣", "\x00"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    slots = {}
+    for text in texts:  # words come before pairs, both in the order of the text
+        want, got = sorted(plain_events(text), key=lambda e: e[0][0] != ""), word_events(text)
+        assert [e for _, e in want] == [e for _, e in got], text
+        for (key, _), (slot, _) in zip(want, got, strict=True):
+            assert slots.setdefault(key, slot) == slot
+    assert len(set(slots.values())) > 0.99 * len(slots)
+    whole = Counter(e for text in texts for e in word_events(text))
+    monkeypatch.setattr(T, "CHUNK", 50)
+    monkeypatch.setattr(T, "MARGIN", 30)
+    pieces = Counter()
+    for part, low, high in T._pieces(texts):
+        slot, ends = T._Words(part).events(low, high)
+        pieces.update(zip(slot.tolist(), map(int, ends), strict=True))
+    assert pieces == whole
+
+
+def test_the_fit_takes_about_as_many_texts_as_it_was_told(spark):
+    data, _ = corpus(3, 3000)
+    same = [(10_000 + i, data[0][1], data[0][2], len(data[0][1]), "x", "y") for i in range(1500)]
+    docs = spark.createDataFrame(data + same, DOCS)
+    taken = []
+    before = T._training_pairs
+
+    def watch(sample, shared):
+        taken.append(sample.count())
+        return before(sample, shared)
+
+    T._training_pairs = watch
+    try:
+        scores = find_truncated(docs, train_rows=800).scores
+    finally:
+        T._training_pairs = before
+    assert 300 < taken[0] < 900
+    assert scores.where("doc_id >= 10000").select("score").distinct().count() == 1
