@@ -9,7 +9,7 @@ and then scores every record.
 Texts are worked on as arrays of code points, many texts at a time: words are runs of word characters, their hashes
 are differences of one running polynomial hash, and all features of a batch come out as one integer matrix.
 
-What is bounded: about ``train_rows`` distinct texts of at most ``TRAIN_CHARS`` characters are taken for the fit, by
+What is bounded: about ``train_rows`` records of at most ``TRAIN_CHARS`` characters are taken for the fit, by
 their hash; the word statistics, which cover every word of every text, are kept in ``2**STAT_BITS`` counters (a hashed
 sketch) however large the corpus is; limits are a few for a source.
 """
@@ -38,6 +38,7 @@ MARGIN = 1 << 16  # context around a piece of a text longer than a chunk
 TAIL = 1024  # characters before the end that the features of words and lines look at
 
 _FINAL = re.compile(r"[.!?][\"'”“’»)\]]*\s*$")
+_CUT_MARKS = ("…", "...", " [...]")
 _NUMBER_LEFT = re.compile(r"\d+\s*?(\n|$)")
 _HEAD = re.compile(r"\s*(- |-- |\(|\[|\{|\"|```|\d{4}-\d\d-\d\d|[A-Za-zÀ-ž]+:)?")
 _HEADS = {"": 0, "-": 1, "--": 2, "(": 3, "[": 4, "{": 5, '"': 6, "```": 7}
@@ -231,7 +232,7 @@ def word_statistics(texts: DataFrame) -> DataFrame:
     return parts.groupBy("slot").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
 
 
-def length_limits(hist: DataFrame, surprise: float = 12.0, times: float = 6.0) -> DataFrame:
+def length_limits(hist: DataFrame, surprise: float = 18.0, times: float = 6.0) -> DataFrame:
     """``(source, chars)`` of a histogram (source, chars, n): lengths at which far more texts of a source end than at the
     lengths around.
 
@@ -378,7 +379,7 @@ def artificial(text: str, seed: int, limits: list[int]) -> list[tuple[str, int]]
     if rng.random() < 0.1:
         out.append((bare + ["\n", " ", "\r\n", "  "][rng.integers(4)], 0))
     places = [int(rng.integers(1, len(bare))) for _ in range(2)] if len(bare) > 12 else []
-    places += [x for x in limits if x < len(bare)][:1]
+    places += [x for x in limits if x < len(bare)][:2]
     for at in places:
         head, rest = bare[:at], bare[at:]
         kept = head.rstrip()
@@ -392,8 +393,9 @@ def artificial(text: str, seed: int, limits: list[int]) -> list[tuple[str, int]]
             head += ["\n", " ", "\r\n", "  "][rng.integers(4)]
         elif at in limits and head != kept and rng.random() < 0.5:
             head = kept
-        elif at in limits and rng.random() < 0.1:
-            head = head[:-1] + "…"
+        elif at in limits and rng.random() < 0.3:  # some fields mark what they cut, within the limit
+            sign = _CUT_MARKS[rng.integers(len(_CUT_MARKS))]
+            head = head[: -len(sign)] + sign
         out.append((head, 1))
     return out
 
@@ -430,12 +432,12 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Training takes texts as intact that have their declared length and no length limit, or end a sentence; after a
     first fit, those which it holds for cut are left out and it is fitted again. Of these texts those are taken whose
-    hash is below the share that gives about ``train_rows``, each distinct text once; all where there are fewer.
+    hash (of id and text) is below the share that gives about ``train_rows``; all where there are fewer. Rows of equal id
+    and text are taken once.
 
     Defined results: null, empty and blank texts have the score 0 and are never flagged; a null source is a source
-    of its own; repeated ids and texts are scored one by one, equal texts of a source alike; with no text to learn from
-    (an empty table) every score is 0. ``declared_col=None`` takes all texts as of their declared length. Other columns
-    are ignored.
+    of its own; repeated ids and texts are scored one by one; with no text to learn from (an empty table) every
+    score is 0. ``declared_col=None`` takes all texts as of their declared length. Other columns are ignored.
     """
     spark, documents = documents.sparkSession, pick(documents, id_col, text_col, source_col, optional=(declared_col,) if declared_col else ())
     declared = F.col(declared_col) if declared_col else F.length(F.col(text_col))
@@ -450,7 +452,7 @@ def find_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     stats = word_statistics(docs.select("_text")).toArrow()  # at most 2**STAT_BITS rows of 20 bytes
     scorer = Scorer(*(stats[c].to_numpy() for c in ("slot", "total", "ends")), limits)
 
-    lot = F.xxhash64(F.lit(seed), F.col("_text"))
+    lot = F.xxhash64(F.lit(seed), F.col("_id"), F.col("_text"))
     sample = docs.where(usable).select("source", "_text", lot.alias("_lot"))
     if there > train_rows:
         sample = sample.where(F.col("_lot") < int(-(2**63) + 2**64 * train_rows / there))
@@ -492,7 +494,7 @@ def _training_pairs(sample: DataFrame, shared) -> DataFrame:
             limit = own.below_limit(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)), sources)
             made: list[tuple[str, str | None, int, int]] = []
             for text, source, number, at in zip(texts, sources, lots, limit.tolist(), strict=True):
-                if text.strip() and (at != 0 or _FINAL.search(text)):
+                if text.strip() and (at != 0 or _FINAL.search(text) and not text.endswith(_CUT_MARKS)):
                     made += [(t, source, number, y) for t, y in artificial(text, number & 0xFFFFFFFF, own.limits.get(source or "", np.empty(0, np.int64)).tolist())]
             for at in range(0, len(made), 1024):
                 some = made[at : at + 1024]

@@ -68,7 +68,7 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_limits_and_events(spark):
-    rows = [("s", 100)] * 30 + [("s", 60 + i % 80) for i in range(80)] + [(None, 50)] * 12 + [("few", 300)] * 4 + [("few", 40 + 9 * i) for i in range(20)]
+    rows = [("s", 100)] * 30 + [("s", 60 + i % 80) for i in range(80)] + [(None, 50)] * 12 + [("few", 300)] * 5 + [("few", 40 + 9 * i) for i in range(20)]
     hist = spark.createDataFrame(rows, "source string, chars bigint").groupBy("source", "chars").agg(F.count("*").alias("n"))
     got = sorted((r["source"] or "", r["chars"]) for r in length_limits(hist).collect())
     assert got == [("", 50), ("few", 300), ("s", 100)]
@@ -109,7 +109,7 @@ def test_events_as_arrays_are_those_of_the_plain_form(monkeypatch):
 
 def test_the_fit_takes_about_as_many_texts_as_it_was_told(spark):
     data, _ = corpus(3, 3000)
-    same = [(10_000 + i, data[0][1], data[0][2], len(data[0][1]), "x", "y") for i in range(1500)]
+    same = [(10_000, "Sent again and again.", "notes", 21, "x", "y")] * 1500
     docs = spark.createDataFrame(data + same, DOCS)
     taken = []
     before = T._training_pairs
