@@ -1,16 +1,24 @@
 """A sample whose shares by several kinds of categories match targets.
 
 Observations are cross-classified: a cell is the set of target categories that an observation has. Only cell counts
-reach the driver, and there are at most as many cells as the target table allows combinations. On the cells a
-min-cost flow is solved,
+reach the driver, at most ``MAX_CELLS`` of them. Two min-cost flows are solved on them.
+
+*What can be had at all.* Every target category is a node that demands its share or its minimum, whichever is larger:
+
+    source -> category (demand) -> its cells (availability) -> sink,    category -> sink (shortage, dear).
+
+What an unreachable target lacks is the flow on its shortage arc, and the report reads it there.
+
+*What to draw.* The cells are arcs of
 
     source -> board position -> (cells, as capacities) -> source group -> sink,
 
-whose arcs from the source and into the sink carry the margins: a floor (very dear to miss), the target, and slack
-beyond either, so an unreachable target shows up as flow on a slack arc. Tags overlap and cannot be nodes of the
-path; they are prices on the cell arcs, raised and lowered until their margins fit, and what is left over is removed
-by exchanges between any two cells (cycles of the residual network) until none helps. Cells of equal cost share their quota by a random (hypergeometric)
-draw, and the records of a cell are drawn by hash.
+whose arcs from the source and into the sink carry the margins: a floor (very dear to miss), the target, and the
+surplus beyond it. Tags overlap and cannot be nodes of the path; they are prices on the cell arcs, raised and lowered
+until their margins fit, and what is left over is removed by exchanges between any two cells (cycles of the residual
+network) until none helps. Prices between -1 and 1 make each flow a lower bound of the deviation that any choice of
+cells has, so the report says how far from the least possible one the sample is at most. Cells of equal cost share
+their quota by a random (hypergeometric) draw, and the records of a cell are drawn by hash.
 """
 
 from __future__ import annotations
@@ -28,6 +36,8 @@ from gridloom.runtime import cut, pick
 BITS = 62
 ROUNDS = 16
 FLOOR_COST = 1_000.0
+SHORTAGE_COST = 1.0  # of a unit on a shortage arc; what is available costs nothing
+MAX_CELLS = 1 << 20  # more distinct sets of target categories are an error
 ROWS_PER_RANK = 200_000
 PAIRS = 1 << 21
 KINDS = ("board_position", "condition_tag", "source_group")
@@ -119,12 +129,33 @@ def _draw(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray
     return out
 
 
+def shortages(available: list[int], demands: list[int], cost: float = SHORTAGE_COST) -> list[int]:
+    """What each category lacks of its demand: the flow on its shortage arc."""
+    n = len(demands)
+    sink = 1 + 2 * n
+    arcs: dict[tuple[int, int], Convex] = {}
+    for i, (there, demand) in enumerate(zip(available, demands, strict=True)):
+        category, cells = 1 + i, 1 + n + i
+        arcs[0, category] = Convex([0.0], [demand])
+        arcs[category, cells] = Convex([0.0], [there])
+        arcs[cells, sink] = Convex([0.0], [there])
+        arcs[category, sink] = Convex([cost], [demand])
+    min_cost_flow(sink + 1, arcs, 0, sink, sum(demands))
+    return [int(arcs[1 + i, sink].used) for i in range(n)]
+
+
 def cell_quotas(members: np.ndarray, counts: np.ndarray, targets: list[Target], size: int, seed: int = 42, rounds: int = ROUNDS) -> np.ndarray:
     """How many records of each cell to draw. ``members``: cells x targets, whether the cell has the category."""
+    return solve_cells(members, counts, targets, size, seed, rounds)[0]
+
+
+def solve_cells(members: np.ndarray, counts: np.ndarray, targets: list[Target], size: int, seed: int = 42, rounds: int = ROUNDS) -> tuple[np.ndarray, int, int]:
+    """(quotas, deviation, lower bound): the deviation is the sum of what categories are above or below their share, and
+    ``FLOOR_COST`` for each unit below an attainable floor; no choice of quotas has one below the bound."""
     rng = np.random.default_rng(seed)
     size = int(min(size, counts.sum()))
     if size <= 0 or not len(counts):
-        return np.zeros(len(counts), dtype=np.int64)
+        return np.zeros(len(counts), dtype=np.int64), 0, 0
     goal = np.array([round(t.share * size) for t in targets], dtype=np.int64)
     floor = np.array([t.floor for t in targets], dtype=np.int64)
     by_kind = {k: [i for i, t in enumerate(targets) if t.kind == k] for k in KINDS}
@@ -140,24 +171,26 @@ def cell_quotas(members: np.ndarray, counts: np.ndarray, targets: list[Target],
     np_, ng = len(by_kind[KINDS[0]]) + 1, len(by_kind[KINDS[2]]) + 1
     tags = by_kind[KINDS[1]]
 
+    attainable = np.minimum(floor, members.T @ counts)
+
     def margin(kind: str, j: int) -> Convex:
         own = by_kind[kind]
-        if j == len(own):  # what has no category of this kind: free, unless the targets leave no room for it
-            free = max(0, size - int(goal[own].sum())) if own else size
-            return Convex([0.0, 1.0], [free, size])
-        f, t = int(min(floor[own[j]], size)), int(goal[own[j]])
-        return Convex([-FLOOR_COST, -1.0, 1.0], [f, max(0, t - f), size])
+        if j == len(own):  # what has no category of this kind
+            return Convex([0.0], [size])
+        f, t = int(min(attainable[own[j]], size)), int(goal[own[j]])
+        return Convex([-FLOOR_COST - 1, 1 - FLOOR_COST, -1.0, 1.0], [min(f, t), max(0, f - t), max(0, t - f), size])
 
     pairs = {}
     for i, key in enumerate(zip(position.tolist(), group.tolist(), strict=True)):
         pairs.setdefault(key, []).append(i)
     pairs = {k: np.array(v) for k, v in pairs.items()}
     price = np.zeros(len(tags))
-    best, best_cost = None, math.inf
+    best, best_cost, bound = None, math.inf, 0.0
+    placed = [i for i in range(len(targets)) if i not in tags]
 
-    def total_cost(x: np.ndarray) -> float:
+    def costs(x: np.ndarray) -> np.ndarray:
         got = x @ members
-        return float(np.abs(got - goal).sum() + FLOOR_COST * np.maximum(0, np.minimum(floor, members.T @ counts) - got).sum())
+        return np.abs(got - goal) + FLOOR_COST * np.maximum(0, attainable - got)
 
     for r in range(rounds):
         unit = np.round(members[:, tags] @ price, 6) if tags else np.zeros(len(counts))
@@ -179,16 +212,18 @@ def cell_quotas(members: np.ndarray, counts: np.ndarray, targets: list[Target],
                 if take:
                     x[same] = _draw(rng, counts[same], take)
                 left -= take
-        cost = total_cost(x)
-        if cost < best_cost:
-            best, best_cost = x, cost
-        if not tags:
-            break
-        off = (x @ members)[tags] - goal[tags]
-        if not off.any():
+        cost, off = costs(x), (x @ members)[tags] - goal[tags]
+        if cost.sum() < best_cost:
+            best, best_cost = x, float(cost.sum())
+        if not tags or np.abs(price).max() <= 1:
+            bound = max(bound, float(cost[placed].sum()) + (float(price @ off) if tags else 0.0))
+        if not tags or not off.any():
             break
-        price = np.clip(price + off / np.maximum(goal[tags], 1) / (1 + r / 2), -3, 3)
-    return _cancel(best, members.astype(np.int64), counts, goal, np.minimum(floor, members.T @ counts))
+        # The first half keeps to prices that give bounds, the second may go beyond for a better start.
+        most = 1 if r < rounds // 2 else 3
+        price = np.clip(price + off / np.maximum(goal[tags], 1) / (1 + r / 2), -most, most)
+    best = _cancel(best, members.astype(np.int64), counts, goal, attainable)
+    return best, int(costs(best).sum()), max(0, math.ceil(bound - 1e-3))
 
 
 def _best_exchange(members: np.ndarray, shared: np.ndarray, into: np.ndarray, out: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[float, int, int]:
@@ -247,7 +282,7 @@ class QuotaSample:
     report: DataFrame
 
     def unreachable(self) -> DataFrame:
-        """``(category_kind, category)`` of the targets whose availability leaves flow on the slack arc."""
+        """``(category_kind, category)`` of the targets that leave flow on their shortage arc."""
         return self.report.where("slack > 0").select("category_kind", "category")
 
 
@@ -260,9 +295,10 @@ def quota_sample(candidates: DataFrame, targets: DataFrame, size: int | None = N
 
     An observation has a category if any of its rows has it. Tags and groups are compared in lower case without
     surrounding blanks, tags with ``-`` for ``_``. The report has, for each row of ``targets``: ``available``
-    observations, ``wanted`` (the larger of share times size and ``min_count``), ``slack`` (what ``wanted`` exceeds
-    ``available`` by, rounded up), ``drawn``, ``reached_share``, and ``missed`` (what the drawn sample lacks of
-    ``wanted``, which joint constraints can make larger than the slack).
+    observations, ``wanted`` (the larger of share times size and ``min_count``), ``slack`` (the flow on the category's
+    shortage arc; its demand is ``wanted`` rounded up), ``drawn``, ``reached_share``, ``missed`` (what the drawn sample
+    lacks of ``wanted``, which joint constraints can make larger than the slack), and, alike in all rows, ``deviation``
+    and ``least_deviation`` of :func:`solve_cells`.
 
     Defined results: rows with a null observation id are left out; null positions, tags, tag lists and groups are no
     category; repeated rows and ids count once; a target of an unknown kind has nothing available; repeated target
@@ -292,9 +328,11 @@ def quota_sample(candidates: DataFrame, targets: DataFrame, size: int | None = N
     names = [f"m{w}" for w in range(words)]
     masks = candidates.where("observation_id is not null").select("observation_id", *[mask(w).alias(n) for w, n in enumerate(names)])
     obs = cut(masks.groupBy("observation_id").agg(*[F.bit_or(n).alias(n) for n in names]), "quota-observations")
-    cells = obs.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
-    counts = np.array([r["n"] for r in cells], dtype=np.int64)
-    members = np.array([[bool(r[names[i // BITS]] >> (i % BITS) & 1) for i in range(len(spots))] for r in cells], dtype=bool).reshape(len(cells), len(spots))
+    cells = obs.groupBy(*names).agg(F.count("*").alias("n")).limit(MAX_CELLS + 1).toArrow().sort_by([(n, "ascending") for n in names])
+    if cells.num_rows > MAX_CELLS:
+        raise ValueError(f"the observations have more than {MAX_CELLS} distinct sets of target categories")
+    counts, words_of = cells["n"].to_numpy().astype(np.int64), [cells[n].to_numpy() for n in names]
+    members = np.array([words_of[i // BITS] >> (i % BITS) & 1 for i in range(len(spots))], dtype=bool).T.reshape(len(counts), len(spots))
     there = int(counts.sum())
     divisor = next((d for *_, d in rows if d > 0), 0)
     size = (there // divisor if divisor else 0) if size is None else size
@@ -302,11 +340,11 @@ def quota_sample(candidates: DataFrame, targets: DataFrame, size: int | None = N
     for row in rows:
         if row[0] in norm and row[1] is not None:
             first.setdefault(spots[row[0], norm[row[0]](row[1])], row)
-    quotas = cell_quotas(members, counts, [Target(k, c, *first[i][2:4]) for (k, c), i in spots.items()], size, seed)
+    quotas, deviation, least = solve_cells(members, counts, [Target(k, c, *first[i][2:4]) for (k, c), i in spots.items()], size, seed)
 
     # Of a cell, the records with the smallest hashes. Very full cells are ranked in buckets of the hash.
     buckets = max(1, math.ceil(there / ROWS_PER_RANK))
-    plan = spark.createDataFrame([(*[int(r[n]) for n in names], int(q)) for r, q in zip(cells, quotas, strict=True) if q], ", ".join(f"{n} bigint" for n in names) + ", quota bigint")
+    plan = spark.createDataFrame([(*[int(w[i]) for w in words_of], int(quotas[i])) for i in np.flatnonzero(quotas)], ", ".join(f"{n} bigint" for n in names) + ", quota bigint")
     lot = F.xxhash64(F.lit(seed), "observation_id")
     width = F.lit(float(2**64 // buckets + 1))
     live = obs.join(plan, names).withColumn("_lot", lot).withColumn("_bucket", F.floor((F.col("_lot").cast("double") + F.lit(float(2**63))) / width))
@@ -317,11 +355,13 @@ def quota_sample(candidates: DataFrame, targets: DataFrame, size: int | None = N
     sample = ranked.where(F.col("_before") + F.col("_k") <= F.col("quota")).select("observation_id", *names)
 
     available, drawn = members.T @ counts, members.T @ quotas
+    index = [spots.get((kind, norm[kind](category))) if kind in norm and category is not None else None for kind, category, *_ in rows]
+    have = [0 if i is None else int(available[i]) for i in index]
+    wanted = [max(float(floor), share * size) for _, _, share, floor, _ in rows]
+    slack = shortages(have, [math.ceil(w) for w in wanted])
     report, taken = [], int(quotas.sum())
-    for kind, category, share, floor, _ in rows:
-        i = spots.get((kind, norm[kind](category))) if kind in norm and category is not None else None
-        a, d = (0, 0) if i is None else (int(available[i]), int(drawn[i]))
-        wanted = max(float(floor), share * size)
-        report.append((kind, category, share, floor, size, a, wanted, math.ceil(max(0.0, wanted - a)), d, round(d / taken, 6) if taken else 0.0, math.ceil(max(0.0, wanted - d))))
-    schema = "category_kind string, category string, target_share double, min_count int, sample_size bigint, available bigint, wanted double, slack bigint, drawn bigint, reached_share double, missed bigint"
+    for (kind, category, share, floor, _), i, a, w, short in zip(rows, index, have, wanted, slack, strict=True):
+        d = 0 if i is None else int(drawn[i])
+        report.append((kind, category, share, floor, size, a, w, short, d, round(d / taken, 6) if taken else 0.0, math.ceil(max(0.0, w - d)), deviation, least))
+    schema = "category_kind string, category string, target_share double, min_count int, sample_size bigint, available bigint, wanted double, slack bigint, drawn bigint, reached_share double, missed bigint, deviation bigint, least_deviation bigint"
     return QuotaSample(sample, spark.createDataFrame(report, schema))

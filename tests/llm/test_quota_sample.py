@@ -3,7 +3,8 @@ import itertools
 import numpy as np
 import pytest
 
-from gridloom.llm.quota_sample import Target, cell_quotas, quota_sample
+import gridloom.llm.quota_sample as Q
+from gridloom.llm.quota_sample import Target, cell_quotas, quota_sample, shortages, solve_cells
 
 SCHEMA = "observation_id string, board_position int, condition_tags array<string>, source_group string, m0 string, BOARD_POSITION int"
 TARGETS = "category_kind string, category string, target_share double, min_count int, sample_divisor int"
@@ -55,6 +56,42 @@ def test_quotas_against_all_choices(seed):
     assert cost(got) <= best + 1
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_the_bound_holds_and_the_deviation_is_reported(seed):
+    rng = np.random.default_rng(100 + seed)
+    targets = [Target("board_position", "0", 0.5, int(rng.integers(0, 3))), Target("condition_tag", "a", float(rng.choice([0.2, 0.5])), 1), Target("condition_tag", "b", float(rng.choice([0.3, 0.6])), 0), Target("source_group", "g", 0.4, 2)]
+    members = np.array(list(itertools.product((0, 1), repeat=4)), dtype=bool)[rng.permutation(16)[:6]]
+    counts = rng.integers(0, 4, len(members))
+    size = int(min(5, counts.sum()))
+    goal = np.array([round(t.share * size) for t in targets])
+    floor = np.minimum([t.floor for t in targets], members.T @ counts)
+
+    def cost(x):
+        got = np.array(x) @ members
+        return int(np.abs(got - goal).sum() + 1000 * np.maximum(0, floor - got).sum())
+
+    x, deviation, least = solve_cells(members, counts, targets, size)
+    best = min((cost(x) for x in itertools.product(*[range(c + 1) for c in counts]) if sum(x) == size), default=0)
+    assert least <= best <= deviation and (size == 0 or deviation == cost(x)) and deviation - best <= 2
+
+
+def test_unreachable_targets_come_from_the_shortage_arcs(spark, monkeypatch):
+    assert shortages([5, 0, 3, 7], [4, 2, 3, 9]) == [0, 2, 0, 2] and shortages([], []) == []
+    assert shortages([5, 0], [4, 2], cost=-1.0) == [4, 2]  # a shortage that pays is taken first
+    data = [(f"o{i}", i % 2, None, "g") for i in range(8)]
+    targets = spark.createDataFrame([("board_position", "0", 0.5, 1, 2), ("board_position", "5", 0.1, 1, 2)], TARGETS)
+    assert [tuple(r) for r in quota_sample(frame(spark, data), targets).unreachable().collect()] == [("board_position", "5")]
+    monkeypatch.setattr(Q.shortages, "__defaults__", (-1.0,))
+    assert quota_sample(frame(spark, data), targets).unreachable().count() == 2
+
+
+def test_too_many_cells_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(Q, "MAX_CELLS", 3)
+    data = [(f"o{i}", i, None, None) for i in range(9)]
+    with pytest.raises(ValueError, match="more than 3"):
+        quota_sample(frame(spark, data), spark.createDataFrame([("board_position", str(i), 0.1, 1, 2) for i in range(9)], TARGETS))
+
+
 def test_empty_and_untargeted(spark):
     t = spark.createDataFrame([("board_position", "0", 0.5, 1, 5)], TARGETS)
     q = quota_sample(frame(spark, []), t)
