@@ -2,31 +2,38 @@
 
 Three kinds of link tie an evaluation sample to a training sample: the same crop digest, the same place (image
 digest, board, cell), or fingerprints that differ in few bits. The first two are equalities. The third is an exact
-prefix-filter join: a fingerprint of 128 bits is a set of 8 positional shingles of 16 bits. Two fingerprints at a
-distance of at most 6 share at least ``8 - 6 = 2`` of them, so, both sorted from rare to frequent, they share one
-of the first ``8 - 2 + 1 = 7``. The evaluation side's prefixes are the index, the training side probes it, the
-length filter keeps fingerprints of one length together, the position filter drops meetings after which too few
-shingles are left, and the distance itself decides. Nothing is lost: the filters are implied by the distance.
-
-Fingerprints are joined once each, however many samples carry them. Should the shingles be so common that the join
-would make far more candidates than there are fingerprints, pairs of shingles (28 of 32 bits; at least one is
-shared) take their place; that is exact too.
+prefix-filter join. A fingerprint of 128 bits is cut into ``B`` blocks, and its shingles are the pairs of blocks with
+their positions. Within a distance of ``d`` at least ``B - d`` blocks agree, so at least ``(B - d)(B - d - 1) / 2`` of
+the ``B (B - 1) / 2`` shingles do, and both fingerprints, sorted from rare to frequent, share one of a prefix that
+leaves out one shingle less than these. ``B`` follows from the distance asked for and from nothing else, so the join
+works in the same way at every size: for ``d = 6`` there are 9 blocks and shingles of 28 to 30 bits, of which the 34
+rarest of 36 are the prefix, so a shingle that very many fingerprints share is met only by those that have little else.
+
+How rare a shingle is is told by how often its two blocks occur, from a table of at most ``B * 2**16`` counters. The
+evaluation side's prefixes are the index, the training side probes it, the length filter keeps fingerprints of one
+length together (others have no distance), the position filter drops meetings after which too few shingles are left,
+and the distance itself decides. Nothing is lost: the filters are implied by the distance. Fingerprints are joined once
+each, however many samples carry them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import bare, digest_bytes, fingerprint_words
 from gridloom.runtime import cut, pick
 
-BLOCKS, BLOCK_BITS = 8, 16
+BITS, BLOCK_BITS = 128, 16
+MOST_DISTANCE = 20  # beyond it shingles would be too short to tell fingerprints apart
 EVALUATION = ("validation", "test")
-CANDIDATES_PER_ROW = 200  # beyond so many expected candidates a fingerprint, shingle pairs are used
 
 
 @dataclass(frozen=True)
@@ -86,8 +93,8 @@ def cross_split_overlap(samples: DataFrame, max_distance: int = 6) -> Overlap:
     sample id are left out, as no pair can name them; empty tables give empty results; columns beyond those read
     are ignored.
     """
-    if not 0 <= max_distance < BLOCKS:
-        raise ValueError(f"max_distance must be in 0..{BLOCKS - 1}")
+    if not 0 <= max_distance <= MOST_DISTANCE:
+        raise ValueError(f"max_distance must be in 0..{MOST_DISTANCE}")
     samples = pick(samples, "sample_id", "split_name", "source_group", "crop_checksum_sha256", "source_image_checksum_sha256", "board_index", "cell_index", "crop_fingerprint")
     split = bare(F.col("split_name"))
     image = digest_bytes(F.col("source_image_checksum_sha256"))
@@ -101,52 +108,100 @@ def cross_split_overlap(samples: DataFrame, max_distance: int = 6) -> Overlap:
     return Overlap(norm, cut(near_pairs(norm.where("is_eval"), norm.where("is_train"), max_distance), "overlap-near"))
 
 
-def _blocks(hi: Column, lo: Column) -> list[Column]:
-    """The 8 blocks, each with its position: position * 2**16 + value."""
-    return [F.shiftrightunsigned(w, 48 - BLOCK_BITS * i).bitwiseAND(F.lit(0xFFFF)).cast("int") + F.lit((k * 4 + i) << BLOCK_BITS) for k, w in enumerate((hi, lo)) for i in range(4)]
+@dataclass(frozen=True)
+class Shingles:
+    """The blocks and shingles for a distance."""
+
+    max_distance: int
+
+    @property
+    def blocks(self) -> int:
+        return max(BITS // BLOCK_BITS, self.max_distance + 3)
+
+    @property
+    def size(self) -> int:
+        return comb(self.blocks, 2)
+
+    @property
+    def shared(self) -> int:
+        """How many shingles two fingerprints within the distance share at least."""
+        return comb(self.blocks - self.max_distance, 2)
+
+    @property
+    def prefix(self) -> int:
+        return self.size - self.shared + 1
+
+    def codes(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """(fingerprints x blocks): position and value of each block as one number."""
+        hi, lo = hi.view(np.uint64), lo.view(np.uint64)
+        out = np.empty((len(hi), self.blocks), dtype=np.int64)
+        start = 0
+        for i in range(self.blocks):
+            width = BITS // self.blocks + (i < BITS % self.blocks)
+            end = start + width
+            if end <= 64:
+                value = hi >> np.uint64(64 - end)
+            elif start >= 64:
+                value = lo >> np.uint64(BITS - end)
+            else:
+                value = (hi << np.uint64(end - 64)) | (lo >> np.uint64(BITS - end))
+            out[:, i] = (value & np.uint64((1 << width) - 1)).astype(np.int64) + (i << BLOCK_BITS)
+            start = end
+        return out
+
+
+def _block_counts(prints: DataFrame, kind: Shingles) -> tuple[np.ndarray, np.ndarray]:
+    """How many fingerprints of the evaluation side, and of both sides, have each block."""
+    n = kind.blocks << BLOCK_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, n), dtype=np.int64)
+        for batch in batches:
+            side, hi, lo = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            code = kind.codes(hi, lo)
+            counts[0] += np.bincount(code[side == 1].ravel(), minlength=n)
+            counts[1] += np.bincount(code.ravel(), minlength=n)
+        there = np.flatnonzero(counts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(counts[0][there]), pa.array(counts[1][there])], names=["block", "e", "n"])
+
+    got = prints.mapInArrow(run, "block int, e bigint, n bigint").groupBy("block").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).toArrow()  # at most B * 2**16 rows
+    out = np.zeros((2, n), dtype=np.int64)
+    out[:, got["block"].to_numpy()] = got["e"].to_numpy(), got["n"].to_numpy()
+    return out[0], out[1]
+
+
+def _prefixes(prints: DataFrame, kind: Shingles, counts) -> DataFrame:
+    """``(hi, lo, at, shingle)``: the prefix of each fingerprint, from rare to frequent, with 1-based places. Shingles
+    with a block that no evaluation fingerprint has keep their places but do not come out."""
+    first, second = np.array(list(combinations(range(kind.blocks), 2))).T
+    length = kind.prefix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, n = counts.value
+        often = n.astype(np.float64)
+        for batch in batches:
+            hi, lo = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            code = kind.codes(hi, lo)
+            a, b = code[:, first], code[:, second]
+            order = np.lexsort((b, a, often[a] * often[b]), axis=1)[:, :length]
+            a, b = np.take_along_axis(a, order, 1), np.take_along_axis(b, order, 1)
+            shingle = np.where((e[a] > 0) & (e[b] > 0), (a << 32) | b, -1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, shingle.size + 1, length), pa.int32()), pa.array(shingle.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["hi", "lo", "shingles"])
+
+    out = prints.mapInArrow(run, "hi bigint, lo bigint, shingles array<bigint>")
+    return out.select("hi", "lo", F.posexplode("shingles").alias("at", "shingle")).where("shingle >= 0").select("hi", "lo", (F.col("at") + 1).cast("int").alias("at"), "shingle")
 
 
 def near_pairs(evaluation: DataFrame, training: DataFrame, max_distance: int = 6) -> DataFrame:
     """``(e_hi, e_lo, t_hi, t_lo)``: all pairs of distinct fingerprints within ``max_distance`` bits."""
+    kind = Shingles(max_distance)
     e = cut(evaluation.where("hi is not null").select("hi", "lo").distinct(), "overlap-eval-fingerprints")
     t = cut(training.where("hi is not null").select("hi", "lo").distinct(), "overlap-train-fingerprints")
-    counted = e.withColumn("side", F.lit(1)).unionByName(t.withColumn("side", F.lit(0)))
-    counted = counted.select("side", F.explode(F.array(*_blocks(F.col("hi"), F.col("lo")))).alias("shingle"))
-    # At most 8 * 2**16 rows, whatever the number of fingerprints: this is the table that may be broadcast.
-    df = cut(counted.groupBy("shingle").agg(F.sum("side").alias("e"), F.sum(1 - F.col("side")).alias("t")), "overlap-shingle-counts")
-    load = df.agg(F.sum(F.col("e").cast("double") * F.col("t")), F.sum(F.col("e") + F.col("t"))).first()
-    rows = (load[1] or 0) / BLOCKS
-    single = (load[0] or 0.0) <= CANDIDATES_PER_ROW * max(rows, 1)
-    index, probe = (_rare_prefix(x, df, max_distance) if single else _shingle_pairs(x, max_distance) for x in (e, t))
-    need = BLOCKS - max_distance if single else max(1, comb(BLOCKS - max_distance, 2))
-    size = BLOCKS if single else comb(BLOCKS, 2)
-    a, b = index.alias("a"), probe.alias("b")
-    possible = F.lit(1) + F.least(F.lit(size) - F.col("a.at"), F.lit(size) - F.col("b.at")) >= F.lit(need)
+    both = e.select(F.lit(1).alias("side"), "hi", "lo").unionByName(t.select(F.lit(0).alias("side"), "hi", "lo"))
+    counts = e.sparkSession.sparkContext.broadcast(_block_counts(both, kind))
+    a, b = _prefixes(e, kind, counts).alias("a"), _prefixes(t, kind, counts).alias("b")
+    possible = F.lit(1) + F.least(F.lit(kind.size) - F.col("a.at"), F.lit(kind.size) - F.col("b.at")) >= F.lit(kind.shared)
     distance = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
-    met = a.join(b, (F.col("a.bits") == F.col("b.bits")) & (F.col("a.shingle") == F.col("b.shingle")) & possible & (distance <= max_distance))
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & possible & (distance <= max_distance))
     return met.select(F.col("a.hi").alias("e_hi"), F.col("a.lo").alias("e_lo"), F.col("b.hi").alias("t_hi"), F.col("b.lo").alias("t_lo")).distinct()
-
-
-def _rare_prefix(prints: DataFrame, df: DataFrame, max_distance: int) -> DataFrame:
-    """``(hi, lo, bits, shingle, at)``: the prefix of each fingerprint in the global order (evaluation count,
-    shingle), with 1-based places. Shingles that no evaluation fingerprint has fill the prefix but are not joined."""
-    length = max_distance + 1 if max_distance < BLOCKS - 1 else BLOCKS
-    out = prints
-    for i, block in enumerate(_blocks(F.col("hi"), F.col("lo"))):
-        counts = df.where((F.col("shingle") >= i << BLOCK_BITS) & (F.col("shingle") < (i + 1) << BLOCK_BITS) & (F.col("e") > 0)).select(F.col("shingle").alias(f"s{i}"), F.col("e").cast("int").alias(f"n{i}"))
-        out = out.withColumn(f"s{i}", block).join(F.broadcast(counts), f"s{i}", "left")  # at most 2**16 rows
-    ranked = F.array_sort(F.array(*[F.struct(F.coalesce(f"n{i}", F.lit(0)).alias("n"), F.col(f"s{i}").alias("shingle")) for i in range(BLOCKS)]))
-    out = out.select("hi", "lo", F.posexplode(F.slice(ranked, 1, length)).alias("at", "x")).where("x.n > 0")
-    return out.select("hi", "lo", F.lit(2 * 64).alias("bits"), F.col("x.shingle").cast("bigint").alias("shingle"), (F.col("at") + 1).alias("at"))
-
-
-def _shingle_pairs(prints: DataFrame, max_distance: int) -> DataFrame:
-    """The same with unordered pairs of blocks as shingles; the prefix is what ``max_distance`` leaves."""
-    blocks = [b.cast("bigint") for b in _blocks(F.col("hi"), F.col("lo"))]
-    pairs = [F.shiftleft(blocks[i], 32).bitwiseOR(blocks[j]) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
-    need = max(1, comb(BLOCKS - max_distance, 2))
-    if BLOCKS - max_distance < 2:
-        raise ValueError("pairs of shingles need a distance of at most 6")
-    ordered = F.array_sort(F.array(*pairs))
-    out = prints.select("hi", "lo", F.posexplode(F.slice(ordered, 1, len(pairs) - need + 1)).alias("at", "shingle"))
-    return out.select("hi", "lo", F.lit(2 * 64).alias("bits"), "shingle", (F.col("at") + 1).alias("at"))

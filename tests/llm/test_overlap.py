@@ -1,9 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from gridloom.llm import overlap
-from gridloom.llm.overlap import cross_split_overlap
+from gridloom.llm.overlap import Shingles, cross_split_overlap, near_pairs
 from tests.conftest import rows
 
 SCHEMA = "sample_id string, split_name string, source_group string, crop_checksum_sha256 string, source_image_checksum_sha256 string, board_index int, cell_index int, crop_fingerprint string, hi string, DIGEST string"
@@ -46,22 +46,52 @@ def plain(data, most=6):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("pairs_of_shingles", [False, True])
-def test_against_all_pairs(spark, monkeypatch, seed, pairs_of_shingles):
-    if pairs_of_shingles:
-        monkeypatch.setattr(overlap, "CANDIDATES_PER_ROW", -1)
-    else:
-        monkeypatch.setattr(overlap, "CANDIDATES_PER_ROW", 10**9)
+def test_against_all_pairs(spark, seed):
     data = made_up(seed)
     assert rows(cross_split_overlap(frame(spark, data)).pairs()) == plain(data)
 
 
-def test_smaller_distances(spark):
+def test_other_distances(spark):
     data = made_up(5, 80)
-    for most in (0, 3):
+    for most in (0, 3, 7, 12):
         assert rows(cross_split_overlap(frame(spark, data), most).pairs()) == plain(data, most)
     with pytest.raises(ValueError):
-        cross_split_overlap(frame(spark, data), 8)
+        cross_split_overlap(frame(spark, data), 21)
+
+
+def test_many_fingerprints_at_a_larger_distance(spark):
+    rng = np.random.default_rng(3)
+    bases = rng.integers(-(2**63), 2**63, (60, 2))
+    near = np.repeat(bases, 100, axis=0)
+    for _ in range(5):
+        at = rng.integers(0, 128, len(near))
+        near[np.arange(len(near)), at // 64] ^= np.left_shift(np.int64(1), at % 64)
+    side = lambda x: spark.createDataFrame([(int(h), int(l)) for h, l in x], "hi bigint, lo bigint")
+    e, t = near[:3000], near[3000:]
+    t = np.concatenate([t, e[:200], [[0, 0]]])
+    u, v = np.unique(e, axis=0), np.unique(t, axis=0)
+    far = np.bitwise_count((u[:, None, :] ^ v[None, :, :]).view(np.uint64)).sum(-1)
+    want = sorted((*map(int, u[i]), *map(int, v[j])) for i, j in zip(*np.nonzero(far <= 7), strict=True))
+    assert len(want) > 200 and rows(near_pairs(side(e), side(t), 7)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("distance", range(0, 21))
+def test_fingerprints_within_the_distance_share_enough_of_the_prefix(distance):
+    kind, rng = Shingles(distance), np.random.default_rng(distance)
+    x = rng.integers(-(2**63), 2**63, (200, 2))
+    y = x.copy()
+    for i in range(len(y)):
+        for at in rng.choice(128, distance, replace=False):
+            y[i, at // 64] ^= np.left_shift(np.int64(1), np.int64(at % 64))
+    a, b = (kind.codes(z[:, 0].copy(), z[:, 1].copy()) for z in (x, y))
+    assert ((a == b).sum(1) >= kind.blocks - distance).all() and (a < kind.blocks << 16).all() and 1 <= kind.prefix <= kind.size
+    bits = [128 // kind.blocks + (i < 128 % kind.blocks) for i in range(kind.blocks)]
+    whole = [int(np.uint64(h)) << 64 | int(np.uint64(l)) for h, l in x.view(np.uint64)]
+    for row, value in zip(a, whole, strict=True):
+        again = 0
+        for i, w in enumerate(bits):
+            again = again << w | int(row[i]) - (i << 16)
+        assert again == value
 
 
 def test_report(spark):
