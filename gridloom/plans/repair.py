@@ -29,8 +29,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_packs(spark: SparkSession, sf: str) -> DataFrame:
-    """The packs, each read back and compared with the index."""
-    return compact_files(table(spark, sf, "crop_files")).validate()
+    """What the packs hold, each read back and compared with the index: records, their bytes, records that are wrong,
+    and bytes of packs that are no record's (there must be none of either)."""
+    c = compact_files(table(spark, sf, "crop_files"))
+    read = c.validate().agg(F.sum("records").alias("records"), F.sum("wrong").alias("wrong"))
+    return read.join(c.packs().agg(F.sum("record_bytes").alias("record_bytes")))  # a row each
 
 
 def p4_missing(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,6 +53,9 @@ SQL = {
     "p4_found": f"""
 WITH f AS (SELECT file_id, {_PLACE.format(c='crop_relative_path')} AS p, payload FROM crop_files)
 SELECT DISTINCT a.file_id AS file_id_a, b.file_id AS file_id_b FROM f a JOIN f b ON a.p = b.p AND a.payload = b.payload AND a.file_id < b.file_id""",
+    "p4_packs": f"""
+WITH f AS (SELECT DISTINCT {_PLACE.format(c='crop_relative_path')} AS p, payload FROM crop_files WHERE crop_relative_path IS NOT NULL)
+SELECT count(*) AS records, 0 AS wrong, sum(octet_length(payload))::bigint AS record_bytes FROM f""",
     "p4_missing": f"""
 WITH n AS (SELECT crop_relative_path AS c FROM symbol_crop_samples UNION ALL SELECT crop_relative_path FROM cell_observations),
   m AS (SELECT {_PLACE.format(c='c')} AS path, count(*) AS named FROM n WHERE c IS NOT NULL GROUP BY ALL)

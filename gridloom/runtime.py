@@ -39,10 +39,11 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that every executor can reach.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, a laptop) a folder of our
-    own is made: on a local master in the temporary directory, else beside the warehouse.
+    It is ``spark.checkpoint.dir`` of the session, or the folder that ``setCheckpointDir`` was called with. Only where
+    neither is set (tests, a laptop) a folder of our own is made: on a local master in the temporary directory, else
+    beside the warehouse.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -55,6 +56,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_TEMP[app]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark resolves it on, as a URI that Arrow reads too."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file:///") else full
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
