@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from gridloom.llm import splits
 from gridloom.llm.splits import ComponentTable, assign_splits, connected
 from tests.conftest import rows
 
@@ -97,6 +100,41 @@ def test_incremental(spark):
     third = assign_splits(frame(spark, []), two)  # an empty batch
     assert rows(third.assignment()) == rows(two.assignment())
     assert rows(ComponentTable(spark, two.path).assignment()) == rows(two.assignment())  # the table persists
+    whole = two.compacted()
+    assert rows(whole.assignment()) == rows(two.assignment()) and len(whole.paths) == 1 and whole.alias.count() == 0
+    # A delivery is written as such: what was there before is not written again.
+    assert spark.read.parquet(f"{two.path}/samples").count() == 4 and spark.read.parquet(f"{two.path}/components").count() < 8
+    assert {r["sample_id"] for r in spark.read.parquet(f"{two.path}/samples").collect()} == {"new1", "new2", "new3", "new4"}
+
+
+def test_deliveries_one_after_the_other_find_the_same_components(spark):
+    data = made_up(11, 120)
+    table, kept = None, {}
+    for at in range(0, len(data), 30):
+        table = assign_splits(frame(spark, data[at : at + 30]), table)
+        so_far = data[: at + 30]
+        assert rows(table.group_pairs()) == pairs(so_far)
+        got = {r["sample_id"]: r for r in table.assignment().collect()}
+        samples = [[v for k, v in c if k == "s"] for c in components(so_far)]
+        assert sorted(got) == sorted(x for c in samples for x in c)
+        for c in samples:
+            assert len({got[x]["component"] for x in c}) <= 1 and len({got[x]["split_name"] for x in c}) <= 1
+        for x, split in kept.items():
+            assert got[x]["split_name"] == split or got[x]["status"] == "quarantined"
+        kept = {x: r["split_name"] for x, r in got.items() if r["split_name"]}
+        counted = {r["comp"]: r["samples"] for r in table.components.collect()}
+        real = {}
+        for r in got.values():
+            real[r["component"]] = real.get(r["component"], 0) + 1
+        assert {c: n for c, n in counted.items() if n} == real
+    assert rows(table.compacted().group_pairs()) == pairs(data)
+
+
+def test_unsettled_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MAX_ROUNDS", 2)
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(60)], "u string, v string")
+    with pytest.raises(RuntimeError):
+        connected(edges)
 
 
 def test_empty_table(spark):
