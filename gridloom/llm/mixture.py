@@ -21,7 +21,8 @@ from gridloom.runtime import cut, pick
 
 MAX_SOURCES = 10_000  # of the target table, which a person writes; more is an error
 MAX_STEPS = 60
-TOLERANCE = 1e-9
+TOLERANCE = 1e-9  # of the goal, at which a source is done
+ENOUGH = 1e-6  # of the goal, that a source may miss after all steps; more is an error
 ROWS_PER_RANK = 200_000  # documents that one ranking group holds on average at most
 
 
@@ -101,9 +102,13 @@ def mix_sources(documents: DataFrame, source_targets: DataFrame, id_col: str = "
     lot = F.xxhash64(F.lit(seed), F.col("_id"))
     cells = base.withColumn("_lot", lot).withColumn("_bucket", F.pmod(F.col("_lot"), F.lit(buckets))).withColumn("rate", rate(F.col("_source"), F.col("n_tokens")))
     active = cells.where("rate > 0")
-    along = Window.partitionBy("_source").orderBy("n_tokens", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = active.groupBy("_source", "n_tokens", "_bucket").agg((F.count("*") * F.first("rate")).alias("_mass"))
-    start = start.withColumn("_before", F.coalesce(F.sum("_mass").over(along), F.lit(0.0))).drop("_mass")
+    # Where each of them starts: prefix sums over the lengths of a source, of which there are as many as its longest text
+    # has tokens at most, and within a length over its buckets. No window holds more than one of the two.
+    start = cut(active.groupBy("_source", "n_tokens", "_bucket").agg((F.count("*") * F.first("rate")).alias("_mass")), "mixture-masses")
+    upto = lambda keys, order: F.coalesce(F.sum("_mass").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    lengths = start.groupBy("_source", "n_tokens").agg(F.sum("_mass").alias("_mass")).withColumn("_first", upto(["_source"], "n_tokens")).drop("_mass")
+    start = start.withColumn("_inner", upto(["_source", "n_tokens"], "_bucket")).join(lengths, ["_source", "n_tokens"])
+    start = start.select("_source", "n_tokens", "_bucket", (F.col("_first") + F.col("_inner")).alias("_before"))
     offset = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_source")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     ranked = active.withColumn("_k", F.row_number().over(Window.partitionBy("_source", "n_tokens", "_bucket").orderBy("_lot", "_id")))
     here = F.col("_before") + offset
@@ -116,10 +121,11 @@ def mix_sources(documents: DataFrame, source_targets: DataFrame, id_col: str = "
 
 def _solve(hist: DataFrame, targets: dict, available: dict[str, float], docs: dict[str, int], goal: dict[str, float]) -> tuple[dict[str, float], int]:
     """The dual's multipliers by source, and the number of Newton rounds. One distributed sum a round for all
-    sources together; on the driver there are four numbers for a source of the target table."""
+    sources together; on the driver there are four numbers for a source of the target table. Multipliers that still miss
+    a goal after ``MAX_STEPS`` rounds are an error."""
     lam = {s: 0.0 for s in available if available[s] > 0 and goal.get(s, 0.0) > 0}
     low, high = dict.fromkeys(lam, -math.inf), dict.fromkeys(lam, math.inf)
-    done = set()
+    done, miss = set(), {}
     for s in lam:
         if goal[s] >= targets[s][1] * available[s] * (1 - 1e-12):
             lam[s] = 1e6  # everything at the cap
@@ -138,6 +144,7 @@ def _solve(hist: DataFrame, targets: dict, available: dict[str, float], docs: di
         ).collect()
         for r in got:
             s, off = r["_source"], r["value"] - goal[r["_source"]]
+            miss[s] = abs(off) / max(1.0, goal[s])
             if abs(off) <= TOLERANCE * max(1.0, goal[s]):
                 done.add(s)
                 continue
@@ -154,6 +161,9 @@ def _solve(hist: DataFrame, targets: dict, available: dict[str, float], docs: di
                 done.add(s)
             lam[s] = new
         done |= set(todo) - {r["_source"] for r in got}
+    wrong = sorted(s for s in lam if s not in done and miss.get(s, 0.0) > ENOUGH)
+    if wrong:
+        raise RuntimeError(f"the rates of {wrong} do not meet their shares after {MAX_STEPS} steps")
     return lam, MAX_STEPS
 
 

@@ -49,6 +49,15 @@ def test_one_length_for_all_is_split_by_hash(spark, monkeypatch):
     assert abs(s["a"]["tokens_reached"] - 300) <= 3 and abs(s["b"]["tokens_reached"] - 300) <= 3
 
 
+def test_rates_that_are_not_found_are_an_error(spark, monkeypatch):
+    from gridloom.llm import mixture
+
+    monkeypatch.setattr(mixture, "MAX_STEPS", 1)
+    data = docs(200, "a", 30) + docs(50, "b", 30, 1000)
+    with pytest.raises(RuntimeError, match="do not meet"):
+        mix_sources(frame(spark, data), spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 5)], TARGETS))
+
+
 def test_empty(spark):
     t = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     m = mix_sources(frame(spark, []), t)
