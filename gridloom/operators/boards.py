@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.measures import safe
 from gridloom.functions.signature import encode_signature
-from gridloom.operators.ordering import BLOCK, _block, row_numbers
+from gridloom.operators.ordering import _block, block_size, row_numbers
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ def derive_layouts(orders: DataFrame, game: Game = Game()) -> DataFrame:
     """Layouts from a key table: (sequence_number, cells, signature), boards by integer arithmetic on the key."""
     k = F.col("o_orderkey")
     cells = F.transform(F.sequence(F.lit(0), F.lit(game.rows * game.columns - 1)), lambda i: (F.pmod(k * 7919 + i * i * 104729 + k * i * 31, F.lit(1000003)) % 11 + 1).cast("int"))
-    numbered = row_numbers(orders.select("o_orderkey"), k, "sequence_number")
+    numbered = row_numbers(orders.select("o_orderkey"), k, name="sequence_number")
     return numbered.select("sequence_number", cells.alias("cells")).withColumn("signature", encode_signature(F.col("cells"), game.width))
 
 
@@ -58,12 +58,19 @@ def exact_match(layouts: DataFrame, signatures: DataFrame, most: int = 20) -> Da
     return probes.join(hits, "signature", "left").join(few, "signature", "left").select("signature", kind.alias("kind"), F.coalesce("n", F.lit(0)).alias("candidate_count"), "at")
 
 
-def cyclic_window(df: DataFrame, start: int, count: int, limit: int) -> DataFrame:
-    """The ``min(limit, count - 1)`` rows after ``start`` in cyclic order, with ``spin`` 1, 2, ..."""
-    if not 1 <= limit:
+def cyclic_window(df: DataFrame, start: int, count: int, limit: int | None = None) -> DataFrame:
+    """The rows after ``start`` in cyclic order, with ``spin`` 1, 2, ...: all ``count - 1``, or the first ``limit``.
+
+    They are one or two ranges of the number, which the scan can skip by. Numbers outside of 1..``count`` are no rows.
+    """
+    if limit is not None and limit < 1:
         raise ValueError("limit must be positive")
-    spin = F.pmod(F.col("sequence_number") - start, F.lit(count))
-    return df.where(spin.between(1, min(limit, count - 1))).withColumn("spin", spin.cast("bigint"))
+    last = start + min(count - 1 if limit is None else limit, count - 1)
+    n = F.col("sequence_number")
+    inside = n.between(start + 1, min(last, count))
+    if last > count:
+        inside = inside | n.between(1, last - count)
+    return df.where(inside).withColumn("spin", F.pmod(n - start, F.lit(count)).cast("bigint"))
 
 
 # --- payouts ----------------------------------------------------------------------------------------------------
@@ -113,25 +120,25 @@ def forecast_path(payouts: DataFrame, start: int, count: int, cost: int, limit:
     repeated number, a null or negative payout) is an error, never a partial result. Blocks are checked for their
     number of rows, and within them every spin for its place.
     """
-    limit = max(1, count - 1) if limit is None else limit
-    spins = min(limit, count - 1)
+    spins = count - 1 if limit is None else min(limit, count - 1)
+    size = block_size(spins)
     scan = cyclic_window(payouts, start, count, limit).select("spin", "sequence_number", "payout")
     bad = F.coalesce(F.col("payout") < 0, F.lit(True))
     scan = scan.withColumn("payout", F.when(bad, F.raise_error(F.lit("payouts must not be negative or null"))).otherwise(F.col("payout")))
     turn = F.signum((F.col("payout") - cost).cast("double")).cast("int")
-    scan = scan.withColumn("_turn", F.when(turn != 0, turn)).withColumn("_block", _block(F.col("spin"), BLOCK))
+    scan = scan.withColumn("_turn", F.when(turn != 0, turn)).withColumn("_block", _block(F.col("spin"), size))
     # A row for each block: what was paid before it, and which way the first turn after it goes.
     blocks = scan.groupBy("_block").agg(F.count("*").alias("_rows"), F.sum("payout").alias("_sum"), F.min_by("_turn", F.when(F.col("_turn").isNotNull(), F.col("spin"))).alias("_head"))
     # Every block that there must be, so that one without any row is noticed.
-    blocks = payouts.sparkSession.range(-(-(spins + 1) // BLOCK) if spins > 0 else 0).select(F.col("id").alias("_block")).join(blocks, "_block", "left")
+    blocks = payouts.sparkSession.range(-(-(spins + 1) // size) if spins > 0 else 0).select(F.col("id").alias("_block")).join(blocks, "_block", "left")
     up = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_block", "_rows", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_before"), F.last("_head", ignorenulls=True).over(down).alias("_after"))
     forth = Window.partitionBy("_block").orderBy("spin").rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy("_block").orderBy(F.desc("spin")).rowsBetween(Window.unboundedPreceding, -1)
     path = scan.withColumn("_inside", F.sum("payout").over(forth)).withColumn("_next", F.last("_turn", ignorenulls=True).over(back)).withColumn("_place", F.row_number().over(forth)).join(blocks, "_block", "right")
-    first = F.greatest(F.col("_block") * BLOCK, F.lit(1))
-    whole = (F.col("_rows") == F.least((F.col("_block") + 1) * BLOCK - 1, F.lit(spins)) - first + 1) & (F.col("_place") == F.col("spin") - first + 1)
+    first = F.greatest(F.col("_block") * size, F.lit(1))
+    whole = (F.col("_rows") == F.least((F.col("_block") + 1) * size - 1, F.lit(spins)) - first + 1) & (F.col("_place") == F.col("spin") - first + 1)
     checked = lambda c: F.when(F.coalesce(whole, F.lit(False)), c).otherwise(F.raise_error(F.lit("sequence numbers must not be missing or repeated")).cast("boolean"))
     path = path.where(checked(F.lit(True)))
     path = path.withColumn("_next", F.coalesce("_next", "_after")).withColumn("cumulative_payout", safe(F.col("_before") + F.col("_inside"), "payout")).withColumn("cumulative_cost", safe(F.col("spin") * cost, "cost"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.signature import encode_signature
+from gridloom.operators.ordering import _block, block_size, previous_value
+from gridloom.runtime import cut
 
 SAMPLE = 100
 
@@ -21,38 +23,58 @@ def normalize_rows(rows: DataFrame, cells_needed: int, allowed: list[int], width
     return out.withColumn("signature", F.when(F.col("error_code").isNull(), encode_signature(c, width)))
 
 
-def _bounded(c: Column) -> Column:
-    return F.concat_ws(",", F.transform(F.slice(F.array_sort(F.collect_list(c)), 1, SAMPLE), lambda x: x.cast("string")))
+def _text(numbers: Column) -> Column:
+    return F.concat_ws(",", F.transform(F.array_sort(numbers), lambda x: x.cast("string")))
+
+
+def missing_sample(numbers: DataFrame, expected: int, most: int = SAMPLE) -> DataFrame:
+    """``(sequence_number)``: the first ``most`` of 1..``expected`` that the distinct bigints ``sequence_number`` lack.
+
+    Numbers are counted in blocks. A block that is not full lacks at least one, so the first ``most`` such blocks hold
+    the sample, and only these are listed."""
+    size = block_size(expected)
+    block = _block(F.col("sequence_number") - 1, size)
+    here = numbers.where(F.col("sequence_number").between(1, expected)).select("sequence_number", block.alias("_block"))
+    every = numbers.sparkSession.range(-(-expected // size)).select(F.col("id").alias("_block"))
+    due = F.least(F.lit(size), F.lit(expected) - F.col("_block") * size)
+    short = every.join(here.groupBy("_block").agg(F.count("*").alias("n")), "_block", "left").where(F.coalesce("n", F.lit(0)) < due)
+    short = short.orderBy("_block").limit(most).select("_block")
+    first = F.col("_block") * size + 1
+    listed = short.select("_block", F.explode(F.sequence(first, F.least(first + size - 1, F.lit(expected).cast("bigint")))).alias("sequence_number"))
+    return listed.join(here, ["_block", "sequence_number"], "left_anti").select("sequence_number").orderBy("sequence_number").limit(most)
 
 
 def dataset_report(layouts: DataFrame, expected: int, declared: int, cells_needed: int, allowed: list[int], width: int) -> DataFrame:
     """``(check_code, status, issue_count, sample)``: eight checks of (sequence_number, cells, signature).
 
     ``sample`` holds the first 100 numbers concerned. Repeated signatures are a warning, all else blocks. Missing
-    numbers are counted against ``expected``, so a missing tail shows.
+    numbers are counted against ``expected``, so a missing tail shows. The boards are read once and grouped by number;
+    a second grouping, by signature, finds the repeated ones.
     """
     n, c = F.col("sequence_number"), F.col("cells")
-    inside = layouts.where(n.between(1, expected)).select("sequence_number").distinct()
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((max(expected, 1) - 1) // 65536)))
-    every = layouts.sparkSession.range(1).select(blocks.alias("b")).select(F.explode(F.sequence(F.col("b") * 65536 + 1, F.least((F.col("b") + 1) * 65536, F.lit(expected).cast("bigint")))).alias("sequence_number"))
     wrong_size = F.coalesce(F.size(c), F.lit(0)) != cells_needed
     foreign = F.exists(c, lambda x: ~F.coalesce(x.isin(*allowed), F.lit(False)))
-    parts = {
-        "missing": every.join(inside, "sequence_number", "left_anti"),
-        "out_of_range": layouts.where(~n.between(1, expected)).select("sequence_number").distinct(),
-        "duplicate_sequence": layouts.groupBy("sequence_number").agg(F.count("*").alias("k")).where("k > 1").select("sequence_number"),
-        "cell_count": layouts.where(wrong_size).select("sequence_number"),
-        "foreign_symbol": layouts.where(foreign).select("sequence_number"),
-        "signature": layouts.where(~F.coalesce(encode_signature(c, width) == F.col("signature"), F.lit(False))).select("sequence_number"),
-    }
-    out = layouts.agg(F.count("*").alias("k")).select(F.lit("count").alias("check_code"), F.when(F.col("k") == declared, 0).otherwise(F.abs(F.col("k") - declared)).cast("bigint").alias("issue_count"), F.lit("").alias("sample"))
-    for code, df in parts.items():
-        few = df.orderBy("sequence_number").limit(SAMPLE).agg(_bounded(F.col("sequence_number")).alias("sample"))
-        out = out.unionByName(df.agg(F.count("*").alias("issue_count")).join(few).select(F.lit(code).alias("check_code"), "issue_count", "sample"))
+    unlike = ~F.coalesce(encode_signature(c, width) == F.col("signature"), F.lit(False))
+    flags = layouts.select(n.cast("bigint").alias("sequence_number"), wrong_size.alias("cell_count"), foreign.alias("foreign_symbol"), unlike.alias("signature"))
+    own = ["cell_count", "foreign_symbol", "signature"]
+    by = cut(flags.groupBy("sequence_number").agg(F.count("*").alias("k"), *[F.count_if(F.col(x)).alias(x) for x in own]), "dataset-numbers")
+    outside = F.coalesce(~n.between(1, expected), F.lit(False))
+    counts = by.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("count"), (F.lit(expected) - F.count_if(n.between(1, expected))).alias("missing"), F.count_if(outside).alias("out_of_range"),
+        F.count_if(F.col("k") > 1).alias("duplicate_sequence"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in own],
+    ).withColumn("count", F.abs(F.col("count") - declared))
+    names = ["count", "missing", "out_of_range", "duplicate_sequence", *own]
+    counts = counts.select(F.explode(F.array(*[F.struct(F.lit(x).alias("check_code"), F.col(x).cast("bigint").alias("issue_count")) for x in names])).alias("x")).select("x.*")
+    # A number stands in the sample once for every row with the fault, and never more often than the sample is long.
+    times = {"out_of_range": outside.cast("int"), "duplicate_sequence": (F.col("k") > 1).cast("int"), **{x: F.least(F.col(x), F.lit(SAMPLE)).cast("int") for x in own}}
+    faults = by.select("sequence_number", F.explode(F.flatten(F.array(*[F.array_repeat(F.lit(x), t) for x, t in times.items()]))).alias("check_code"))
+    few = faults.withColumn("_k", F.row_number().over(Window.partitionBy("check_code").orderBy("sequence_number"))).where(F.col("_k") <= SAMPLE).select("check_code", "sequence_number")
+    few = few.unionByName(missing_sample(by.select("sequence_number"), expected).withColumn("check_code", F.lit("missing")))
+    sample = few.groupBy("check_code").agg(_text(F.collect_list("sequence_number")).alias("sample"))
     twice = layouts.where("signature is not null").groupBy("signature").agg(F.count("*").alias("k")).where("k > 1").agg(F.count("*").alias("issue_count"))
-    out = out.unionByName(twice.select(F.lit("duplicate_signature").alias("check_code"), "issue_count", F.lit("").alias("sample")))
+    out = counts.join(sample, "check_code", "left").unionByName(twice.select(F.lit("duplicate_signature").alias("check_code"), "issue_count", F.lit(None).cast("string").alias("sample")))
     status = F.when(F.col("issue_count") == 0, "ok").when(F.col("check_code") == "duplicate_signature", "warning").otherwise("blocked")
-    return out.withColumn("status", status)
+    return out.select("check_code", "issue_count", F.coalesce("sample", F.lit("")).alias("sample"), status.alias("status"))
 
 
 def import_report(rows: DataFrame) -> DataFrame:
@@ -71,19 +93,19 @@ def import_report(rows: DataFrame) -> DataFrame:
 def continuity_issues(numbers: DataFrame, column: str = "sequence_number") -> DataFrame:
     """``(kind, value, n)``: repeated numbers with their count, and gaps between the smallest and the largest (value
     the first missing number, n how many); one row ``empty`` where there is no number."""
-    from gridloom.operators.relational import previous_number
-
     n = numbers.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("v"))
     twice = n.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("kind"), F.col("v").alias("value"), "n")
-    gaps = previous_number(n.distinct(), "v", "p").where("p < v - 1").select(F.lit("gap").alias("kind"), (F.col("p") + 1).alias("value"), (F.col("v") - F.col("p") - 1).alias("n"))
+    gaps = previous_value(n.distinct(), "v", "p").where("p < v - 1").select(F.lit("gap").alias("kind"), (F.col("p") + 1).alias("value"), (F.col("v") - F.col("p") - 1).alias("n"))
     none = n.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("empty").alias("kind"), F.lit(None).cast("bigint").alias("value"), "n")
     return twice.unionByName(gaps).unionByName(none)
 
 
 def completeness(numbers: DataFrame, expected: int, column: str = "sequence_number") -> DataFrame:
-    """One row: accepted numbers, distinct in 1..expected, missing, repeated and out of range."""
-    c = F.col(column)
+    """One row: accepted numbers, distinct in 1..expected, missing, repeated and out of range, and the first 100 missing
+    ones."""
+    c = F.col(column).cast("bigint")
     inside = c.between(1, expected)
     a = numbers.agg(F.count(c).alias("accepted"), F.count_distinct(F.when(inside, c)).alias("unique_in_range"), F.count_if(~inside).alias("out_of_range"))
     d = numbers.where(c.isNotNull()).groupBy(column).count().where("count > 1").agg(F.count("*").alias("duplicates"))
-    return a.join(d).withColumn("missing", F.lit(expected) - F.col("unique_in_range"))
+    few = missing_sample(numbers.where(inside).select(c.alias("sequence_number")).distinct(), expected).agg(_text(F.collect_list("sequence_number")).alias("first_missing"))
+    return a.join(d).join(few).withColumn("missing", F.lit(expected) - F.col("unique_in_range"))  # a row each

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ordering import BLOCK, _block
+from gridloom.operators.ordering import previous_value
 
 
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -23,15 +23,6 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column, rank: str = "r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def previous_number(df: DataFrame, column: str, name: str, block: int = BLOCK) -> DataFrame:
-    """``df`` of distinct bigints with ``name``: the next smaller one, found inside blocks and between them."""
-    b = df.withColumn("_block", _block(F.col(column), block))
-    tops = b.groupBy("_block").agg(F.max(column).alias("_top"))
-    tops = tops.withColumn("_before", F.lag("_top").over(Window.orderBy("_block"))).drop("_top")
-    inside = F.lag(column).over(Window.partitionBy("_block").orderBy(column))
-    return b.join(tops, "_block").withColumn(name, F.coalesce(inside, F.col("_before"))).drop("_block", "_before")
-
-
 def gap_ranges(df: DataFrame, column: str, expected: int | None = None) -> DataFrame:
     """``(gap_from, gap_to)`` of the numbers from 1 that ``column`` lacks, up to its largest or to ``expected``.
 
@@ -39,7 +30,7 @@ def gap_ranges(df: DataFrame, column: str, expected: int | None = None) -> DataF
     """
     n = df.where(F.col(column) >= 1) if expected is None else df.where(F.col(column).between(1, expected))
     n = n.select(F.col(column).cast("bigint").alias("n")).distinct()
-    before = previous_number(n, "n", "p").select((F.coalesce("p", F.lit(0)) + 1).alias("gap_from"), (F.col("n") - 1).alias("gap_to")).where("gap_from <= gap_to")
+    before = previous_value(n, "n", "p").select((F.coalesce("p", F.lit(0)) + 1).alias("gap_from"), (F.col("n") - 1).alias("gap_to")).where("gap_from <= gap_to")
     if expected is None:
         return before
     tail = n.agg((F.coalesce(F.max("n"), F.lit(0)) + 1).alias("gap_from"), F.lit(expected).cast("bigint").alias("gap_to")).where("gap_from <= gap_to")

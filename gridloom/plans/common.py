@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators.boards import Game, derive_layouts, evaluate_payouts
-from gridloom.runtime import exists, new_path, table
+from gridloom.runtime import exists, new_path, stamp, table
 
 GAME = Game()
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str, str], str] = {}
 
 
 def _stored(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
-    """A derived table, written once an application and input folder, as a published data set would be; the queries
+    """A derived table, written once an application and state of the input, as a published data set would be; the queries
     then scan it with pushed-down filters and pruned columns."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, stamp(spark, f"{sf}/orders.parquet"))
     path = _STORED.get(key)
     if path is None or not exists(spark, path):
         path = _STORED[key] = new_path(spark, name)

@@ -65,7 +65,7 @@ QUERIES = {
     "dom_payout_batch": payouts,
     "dom_payout_matches": _matches,
     "dom_payout_readiness": _readiness,
-    "dom_cyclic_payouts": lambda s, d: cyclic_window(payouts(s, d), START, _n(s, d), 500).select("spin", "sequence_number", "payout"),
+    "dom_cyclic_payouts": lambda s, d: cyclic_window(payouts(s, d), START, _n(s, d)).select("spin", "sequence_number", "payout"),
     "dom_cyclic_integrity": lambda s, d: check_sequence(layouts(s, d), _n(s, d)),
     "dom_forecast": lambda s, d: _forecast(s, d).where("peak").drop("peak"),
     "dom_forecast_path": lambda s, d: _forecast(s, d).drop("peak"),
@@ -97,7 +97,7 @@ SELECT p.signature, CASE WHEN count(b.signature) = 0 THEN 'not_found' WHEN count
     "dom_payout_matches": f"WITH {PAYOUTS} SELECT * FROM matches",
     "dom_payout_readiness": f"""WITH {PAYOUTS} SELECT count(*) AS layouts, count(*) FILTER (payout > 0) AS paying, 0 AS audit_differences,
  concat_ws(',', CASE WHEN count(*) = 0 THEN 'empty' END, CASE WHEN count(*) FILTER (payout > 0) < count(*) THEN 'missing' END) AS issues FROM payouts""",
-    "dom_cyclic_payouts": f"WITH {_FORECAST} SELECT spin, sequence_number, payout FROM scan WHERE spin <= 500",
+    "dom_cyclic_payouts": f"WITH {_FORECAST} SELECT spin, sequence_number, payout FROM scan",
     "dom_cyclic_integrity": f"""WITH {LAYOUTS} SELECT count(*) AS rows, count(DISTINCT sequence_number) AS numbers, min(sequence_number) AS lowest, max(sequence_number) AS highest,
  count(*) = (SELECT count(*) FROM orders) AND count(DISTINCT sequence_number) = count(*) AND min(sequence_number) = 1 AND max(sequence_number) = count(*) AS complete FROM boards""",
     "dom_forecast": f"WITH {_FORECAST} SELECT spin, sequence_number, payout, cumulative_payout, cumulative_cost, cumulative_payout - cumulative_cost AS net FROM walk WHERE spin IN (SELECT spin FROM peaks) AND cumulative_payout > cumulative_cost",

@@ -100,10 +100,10 @@ def _metric_dims(s, d):
 
 
 def _boundary(s, d):
-    """Groups of events by type changes (expected) against groups of five (found), per user of the first hundred."""
+    """Groups of events by type changes (expected) against groups of five (found), per user."""
     from pyspark.sql import Window
 
-    e = table(s, d, "events").where("user_id < 100").select("user_id", "event_id", "event_type")
+    e = table(s, d, "events").select("user_id", "event_id", "event_type")
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = e.withColumn("k", F.row_number().over(w)).withColumn("new", F.coalesce((F.lag("event_type").over(w) != F.col("event_type")).cast("int"), F.lit(1)))
     e = e.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -112,12 +112,25 @@ def _boundary(s, d):
     return E.compare_boundaries(expected, found, ["user_id"])
 
 
+def set_digest(row):
+    """Aggregates of a digest of all rows that does not depend on their order: the SHA-256 of each row's text is cut into
+    five numbers, which are summed; the sums and the count are hashed again. Sums have partial steps, so no rows are
+    brought together."""
+    h = F.sha2(row, 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(5)]
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256)
+
+
 def _checksum(s, d):
-    """A digest of all payouts that does not depend on their order: per-block SHA-256 of the sorted rows, then of
-    the blocks (a row for 65536 layouts)."""
-    p = payouts(s, d).withColumn("b", F.floor((F.col("sequence_number") - 1) / 65536))
-    per = p.groupBy("b").agg(F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("sequence_number", "payout"))), lambda x: F.concat_ws(":", x["sequence_number"].cast("string"), x["payout"].cast("string")))), 256).alias("h"), F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("rows"), F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])), 256).alias("digest"))
+    """A digest of all payouts, and their number."""
+    row = F.concat_ws(":", F.col("sequence_number").cast("string"), F.col("payout").cast("string"))
+    return payouts(s, d).agg(F.count("*").alias("rows"), set_digest(row).alias("digest"))
+
+
+def _source_state(s, d):
+    """A digest of the images of every job, which changes when any of its records does."""
+    row = F.concat_ws("|", "id", F.coalesce("checksum_sha256", F.lit("")), F.coalesce("status", F.lit("")), F.coalesce(F.col("width").cast("string"), F.lit("")))
+    return images(s, d).groupBy("import_job_id").agg(set_digest(row).alias("state"))
 
 
 def _ext(c):
@@ -186,15 +199,16 @@ QUERIES = {
     "agg_error_catalog": lambda s, d: cells(s, d).select(F.when(F.col("predicted").isNull(), "absent").when(F.col("actual").isNull(), "unknown").when(F.col("correct"), "exact").when(F.levenshtein("predicted", "actual") <= 2, "close").otherwise("other").alias("kind")).groupBy("kind").agg(F.count("*").alias("n")),
     "agg_geometry_quality": _geometry,
     "agg_checksum": _checksum,
-    "agg_source_state": lambda s, d: table(s, d, "nation").agg(F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat_ws(":", x["n_nationkey"].cast("string"), x["n_name"]))), 256).alias("state")),
+    "agg_source_state": _source_state,
     "agg_storage_inventory": lambda s, d: table(s, d, "crop_files").groupBy(F.element_at(F.split(path_key(F.col("crop_relative_path")), "/"), 1).alias("namespace")).agg(F.count("*").alias("files"), F.sum("byte_size").alias("bytes")),
-    "dom_sequence_check": lambda s, d: check_sequence(boards(s, d), 1000).withColumn("complete", F.coalesce("complete", F.lit(False))),
+    "dom_sequence_check": lambda s, d: check_sequence(boards(s, d), table(s, d, "orders").count()).withColumn("complete", F.coalesce("complete", F.lit(False))),
 }
 
 _P = """regexp_replace({c}, '(^|/)(\\./)+', '\\1', 'g')"""
 from gridloom.plans.repair import _PLACE  # noqa: E402
 
 _DIG = "nullif(regexp_replace(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13))), '^sha256:', ''), '')"
+_SET = "sha256(concat_ws(':', count(*)::varchar, " + ", ".join(f"sum(('0x' || substr(h, {1 + 12 * i}, 12))::hugeint)::varchar" for i in range(5)) + "))"
 _DIM = "count(*) AS n, max(board_confidence) AS most, round(quantile_cont(board_confidence, 0.5), 6) AS p50, round(quantile_cont(board_confidence, 0.95), 6) AS p95"
 
 SQL = {
@@ -256,7 +270,7 @@ SELECT count(*) AS n, (SELECT round(sum(n * gap) / sum(n), 6) FROM bb) AS ece, r
     "agg_metric_by_dims": f"WITH {BOARDS}, x AS (SELECT * FROM rb WHERE board_confidence IS NOT NULL) SELECT 'all' AS dim, '' AS value, {_DIM} FROM x UNION ALL SELECT 'position_index', coalesce(position_index::varchar, ''), {_DIM} FROM x GROUP BY 2 UNION ALL SELECT 'status', coalesce(status, ''), {_DIM} FROM x GROUP BY 2",
     "agg_complete_groups": f"WITH {CELLS}, x AS (SELECT recognized_board_id, count(DISTINCT row_index * 5 + column_index) AS cells, count(*) FILTER (NOT correct) AS wrong FROM cells GROUP BY 1) SELECT cells = 15 AS complete, wrong > 0 AS corrected, count(*) AS boards FROM x GROUP BY 1, 2",
     "agg_top3_alternatives": f"WITH {CELLS}, x AS (SELECT recognized_board_id, predicted, row_number() OVER (PARTITION BY recognized_board_id ORDER BY confidence DESC, predicted, id) AS k FROM cells WHERE predicted IS NOT NULL AND confidence IS NOT NULL) SELECT recognized_board_id, string_agg(predicted, ',' ORDER BY k) AS top3 FROM x WHERE k <= 3 GROUP BY 1",
-    "agg_boundary_eval": """WITH e AS (SELECT user_id, row_number() OVER w AS k, coalesce((lag(event_type) OVER w <> event_type)::int, 1) AS new FROM events WHERE user_id < 100 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    "agg_boundary_eval": """WITH e AS (SELECT user_id, row_number() OVER w AS k, coalesce((lag(event_type) OVER w <> event_type)::int, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 g AS (SELECT user_id, k, sum(new) OVER (PARTITION BY user_id ORDER BY k) AS g, max(k) OVER (PARTITION BY user_id) AS n FROM e), a AS (SELECT user_id, max(k) AS b FROM g GROUP BY user_id, g), f AS (SELECT user_id, max(k) AS b FROM g GROUP BY user_id, (k - 1) // 5)
 SELECT coalesce(a.user_id, f.user_id) AS user_id, count(a.b) AS expected, count(f.b) AS found, count(*) FILTER (a.b IS NOT NULL AND f.b IS NOT NULL) AS common, count(a.b) - count(*) FILTER (a.b IS NOT NULL AND f.b IS NOT NULL) AS false_merges, count(f.b) - count(*) FILTER (a.b IS NOT NULL AND f.b IS NOT NULL) AS false_splits FROM a FULL JOIN f ON a.user_id = f.user_id AND a.b = f.b GROUP BY 1""",
     "agg_argmax_candidate": "SELECT p_brand, first(p_partkey ORDER BY p_retailprice DESC, p_size DESC, p_partkey) AS best FROM part GROUP BY 1",
@@ -269,8 +283,8 @@ SELECT coalesce(a.user_id, f.user_id) AS user_id, count(a.b) AS expected, count(
     "agg_geometry_quality": """WITH c AS (SELECT DISTINCT observation_id, board_position AS p, source_image_width AS w, source_image_height AS h, detected_source_quad AS q FROM board_candidates WHERE board_position BETWEEN 0 AND 8 AND source_image_width > 0 AND source_image_height > 0),
 e AS (SELECT p AS board_position, round(CASE WHEN len(q) = 4 THEN sqrt(power(list_sum(list_transform(q, lambda k: k.x)) / 4 - ((p % 3) * w / 3 + w / 6), 2) + power(list_sum(list_transform(q, lambda k: k.y)) / 4 - ((p // 3) * h / 3 + h / 6), 2)) / sqrt(w * w + h * h) ELSE 1 END, 6) AS err FROM c)
 SELECT board_position, count(*) AS n, round(avg(err), 5) AS mean_error, quantile_disc(err, 0.95) AS p95 FROM e GROUP BY 1""",
-    "agg_checksum": f"WITH {PAYOUTS}, h AS (SELECT (sequence_number - 1) // 65536 AS b, sha256(string_agg(sequence_number || ':' || payout, '|' ORDER BY sequence_number)) AS h, count(*) AS n FROM payouts GROUP BY 1) SELECT sum(n)::bigint AS rows, sha256(string_agg(h, '|' ORDER BY b)) AS digest FROM h",
-    "agg_source_state": "SELECT sha256(string_agg(n_nationkey || ':' || n_name, '|' ORDER BY n_nationkey)) AS state FROM nation",
+    "agg_checksum": f"WITH {PAYOUTS}, h AS (SELECT sha256(sequence_number || ':' || payout) AS h FROM payouts) SELECT count(*) AS rows, {_SET} AS digest FROM h",
+    "agg_source_state": f"WITH {IMAGES}, h AS (SELECT import_job_id, sha256(concat_ws('|', id, coalesce(checksum_sha256, ''), coalesce(status, ''), coalesce(width::varchar, ''))) AS h FROM si) SELECT import_job_id, {_SET} AS state FROM h GROUP BY 1",
     "agg_storage_inventory": f"SELECT string_split({_PLACE.format(c='crop_relative_path')}, '/')[1] AS namespace, count(*) AS files, sum(byte_size)::bigint AS bytes FROM crop_files GROUP BY 1",
-    "dom_sequence_check": f"WITH {BOARDS} SELECT count(*) AS rows, count(DISTINCT sequence_number) AS numbers, min(sequence_number) AS lowest, max(sequence_number) AS highest, coalesce(count(*) = 1000 AND count(DISTINCT sequence_number) = 1000 AND min(sequence_number) = 1 AND max(sequence_number) = 1000, false) AS complete FROM rb",
+    "dom_sequence_check": f"WITH {BOARDS} SELECT count(*) AS rows, count(DISTINCT sequence_number) AS numbers, min(sequence_number) AS lowest, max(sequence_number) AS highest, coalesce(count(*) = any_value(n.n) AND count(DISTINCT sequence_number) = any_value(n.n) AND min(sequence_number) = 1 AND max(sequence_number) = any_value(n.n), false) AS complete FROM rb, (SELECT count(*) AS n FROM orders) n",
 }

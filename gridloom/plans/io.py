@@ -15,7 +15,7 @@ from gridloom.plans.windows import BOARDS, boards
 from gridloom.runtime import new_path, table
 from gridloom.sources import sinks
 from gridloom.sources.generators import affine_layouts, mock_layouts
-from gridloom.sources.lines import prefix_chains, read_lines
+from gridloom.sources.lines import judged_line, prefix_chains, read_lines
 from gridloom.streaming.grouping import group_observations, resumed
 from gridloom.streaming.imports import import_stream
 
@@ -36,7 +36,7 @@ def _files(s, d, kind, folder=None):
 def _parsed(s, d, kind):
     got = read_lines(s, _files(s, d, kind), split_bytes=4096)
     job = F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1)
-    loaded = load_layout_lines(got.select(job.alias("job_id"), "line_number", F.lit(kind).alias("file_format"), "raw_line"))
+    loaded = load_layout_lines(got.select(job.alias("job_id"), "line_number", F.lit(kind).alias("file_format"), judged_line().alias("raw_line")))
     ok = loaded.valid.select("job_id", "line_number", "sequence_number", F.concat_ws(",", F.transform("cells", lambda c: c.cast("string"))).alias("cells"), F.lit(None).cast("string").alias("error_code"))
     return ok.unionByName(loaded.bad.select("job_id", "line_number", F.col("code").alias("error_code")), allowMissingColumns=True)
 
@@ -152,7 +152,7 @@ def _payout_version(s, d):
 
 
 def _affine(s, d):
-    g = affine_layouts(s, 20_000)
+    g = affine_layouts(s, table(s, d, "orders").count())
     return g.select("sequence_number", encode_signature(F.col("cells"), 2).alias("signature"))
 
 
@@ -237,7 +237,7 @@ SQL = {
     "src_table_scan_keyset": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY 1 LIMIT 1000",
     "src_image_files": "WITH i AS (SELECT DISTINCT nullif(regexp_replace(lower(trim(checksum_sha256, ' ' || chr(9) || chr(10) || chr(13))), '^sha256:', ''), '') AS digest, id FROM source_images) SELECT digest, min(id) AS first, count(*) AS copies FROM i WHERE digest IS NOT NULL GROUP BY 1",
     "src_snapshot_open": f"WITH {PAYOUTS} SELECT b.sequence_number, signature, payout FROM boards b JOIN payouts p ON b.sequence_number = p.sequence_number",
-    "src_generator_affine": "WITH g AS (SELECT i AS sequence_number, (((i - 1)::hugeint * 1234567891011 + 987654321) % 4177248169415651) AS code FROM range(1, 20001) r(i)) SELECT sequence_number, array_to_string(list_transform(range(0, 15), lambda k: lpad(((code // power(11::hugeint, 14 - k)::hugeint) % 11 + 1)::varchar, 2, '0')), '') AS signature FROM g",
+    "src_generator_affine": "WITH g AS (SELECT i AS sequence_number, (((i - 1)::hugeint * 1234567891011 + 987654321) % 4177248169415651) AS code FROM range(1, (SELECT count(*) + 1 FROM orders)) r(i)) SELECT sequence_number, array_to_string(list_transform(range(0, 15), lambda k: lpad(((code // power(11::hugeint, 14 - k)::hugeint) % 11 + 1)::varchar, 2, '0')), '') AS signature FROM g",
     "snk_upsert_rows": f"WITH {LAYOUTS}, c AS (SELECT sequence_number + 5 AS sequence_number, 'changed' AS signature FROM boards WHERE sequence_number % 10 = 0) SELECT sequence_number, signature FROM boards WHERE sequence_number NOT IN (SELECT sequence_number FROM c) UNION ALL SELECT * FROM c",
     "snk_insert_ignore": f"WITH {LAYOUTS} SELECT sequence_number + 5 AS sequence_number, 'new' AS signature FROM boards WHERE sequence_number % 10 = 0 AND sequence_number + 5 NOT IN (SELECT sequence_number FROM boards)",
     "snk_insert_select": f"WITH {LAYOUTS} SELECT sequence_number, signature FROM boards",

@@ -9,6 +9,7 @@ from gridloom.functions.signature import cell_width, cyclic_next, decode_signatu
 from gridloom.operators import integrity as I
 from gridloom.operators import relational as R
 from gridloom.operators.bad_rows import load_layout_lines
+from gridloom.operators.ordering import row_numbers
 from gridloom.operators.selection import select_batch
 from gridloom.plans.common import GAME, LAYOUTS, layouts
 from gridloom.plans.evaluation import CELLS, cells
@@ -100,7 +101,7 @@ def _bootstrap(s, d):
     reading says, on the whole."""
     c = cells(s, d).where("predicted is not null")
     k = c.groupBy("predicted").agg(F.count("*").alias("n"), F.count_distinct("recognized_board_id").alias("boards"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
-    return k.withColumn("code", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc("n"), F.asc("predicted"))))
+    return row_numbers(k, F.desc("n"), F.asc("predicted"), name="code")
 
 
 def _suggest(s, d):
@@ -130,7 +131,7 @@ QUERIES = {
     "dom_import_error_counts": lambda s, d: _imported(s, d).where("error_code is not null").groupBy("error_code").agg(F.count("*").alias("n")),
     "dom_dataset_validate": _dataset,
     "dom_continuity": lambda s, d: I.continuity_issues(boards(s, d)),
-    "dom_completeness": lambda s, d: I.completeness(boards(s, d), 500),
+    "dom_completeness": lambda s, d: I.completeness(boards(s, d), _n(s, d)),
     "dom_source_selection": lambda s, d: R.latest_by(boards(s, d).where("sequence_number is not null").select("sequence_number", "id", "board_confidence", "sequence_confidence"), ["sequence_number"], F.col("board_confidence"), F.col("sequence_confidence"), F.col("id")).select("sequence_number", "id"),
     "dom_symbol_bootstrap": _bootstrap,
     "dom_suggest_eval": _suggest,
@@ -162,7 +163,9 @@ _SOFT = "list_transform({v}, lambda x: exp((x - list_max({v})) / 0.5))"
 SQL = {
     "dom_dataset_validate": f"WITH {_DMG} SELECT check_code, issue_count, sample, CASE WHEN issue_count = 0 THEN 'ok' WHEN check_code = 'duplicate_signature' THEN 'warning' ELSE 'blocked' END AS status FROM agg",
     "dom_continuity": f"WITH {BOARDS}, n AS (SELECT sequence_number AS v FROM rb WHERE sequence_number IS NOT NULL) SELECT 'duplicate' AS kind, v AS value, count(*) AS n FROM n GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'gap', p + 1, v - p - 1 FROM (SELECT v, lag(v) OVER (ORDER BY v) AS p FROM (SELECT DISTINCT v FROM n)) WHERE p < v - 1 UNION ALL SELECT 'empty', NULL, 0 WHERE NOT EXISTS (SELECT 1 FROM n)",
-    "dom_completeness": f"WITH {BOARDS} SELECT count(sequence_number) AS accepted, count(DISTINCT sequence_number) FILTER (sequence_number BETWEEN 1 AND 500) AS unique_in_range, count(*) FILTER (NOT sequence_number BETWEEN 1 AND 500) AS out_of_range, (SELECT count(*) FROM (SELECT 1 FROM rb WHERE sequence_number IS NOT NULL GROUP BY sequence_number HAVING count(*) > 1)) AS duplicates, 500 - count(DISTINCT sequence_number) FILTER (sequence_number BETWEEN 1 AND 500) AS missing FROM rb",
+    "dom_completeness": f"""WITH {BOARDS}, e AS (SELECT count(*) AS n FROM orders), m AS (SELECT i FROM e, range(1, e.n + 1) r(i) WHERE i NOT IN (SELECT sequence_number FROM rb WHERE sequence_number IS NOT NULL))
+SELECT count(sequence_number) AS accepted, count(DISTINCT sequence_number) FILTER (sequence_number BETWEEN 1 AND e.n) AS unique_in_range, count(*) FILTER (NOT sequence_number BETWEEN 1 AND e.n) AS out_of_range, (SELECT count(*) FROM (SELECT 1 FROM rb WHERE sequence_number IS NOT NULL GROUP BY sequence_number HAVING count(*) > 1)) AS duplicates,
+ (SELECT count(*) FROM m) AS missing, (SELECT coalesce(string_agg(i::varchar, ',' ORDER BY i), '') FROM (SELECT i FROM m ORDER BY i LIMIT 100)) AS first_missing FROM rb, e""",
     "dom_source_selection": f"WITH {BOARDS} SELECT sequence_number, id FROM (SELECT *, row_number() OVER (PARTITION BY sequence_number ORDER BY board_confidence DESC NULLS LAST, sequence_confidence DESC NULLS LAST, id DESC) AS k FROM rb WHERE sequence_number IS NOT NULL) WHERE k = 1",
     "dom_symbol_bootstrap": f"WITH {CELLS}, k AS (SELECT predicted, count(*) AS n, count(DISTINCT recognized_board_id) AS boards, round(avg(confidence), 6) AS mean_confidence FROM cells WHERE predicted IS NOT NULL GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n DESC, predicted) AS code FROM k",
     "dom_suggest_eval": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS l FROM v),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.measures import natural_key
 from gridloom.operators import relational as R
-from gridloom.operators.ordering import running_sum
+from gridloom.operators.ordering import row_numbers, running_sum
 from gridloom.plans.common import LAYOUTS, PAYOUTS, layouts, payouts
 from gridloom.runtime import table
 
@@ -69,18 +69,18 @@ def _page(s, d, cursor=None, backwards=False):
 
 
 def _cursor_codec(s, d):
-    """The cursor after every 1000th order, coded and read back."""
-    o = table(s, d, "orders").where("o_orderkey % 1000 = 0").select("o_orderkey", "o_custkey")
+    """The cursor after every order, coded and read back; one of another scope reads as null."""
+    o = table(s, d, "orders").select("o_orderkey")
     c = F.to_json(F.struct(F.lit("orders").alias("scope"), F.col("o_orderkey").alias("after")))
     o = o.withColumn("cursor", F.translate(F.base64(F.encode(c, "UTF-8")), "+/", "-_"))
     back = F.decode(F.unbase64(F.translate("cursor", "-_", "+/")), "UTF-8")
-    return o.select("o_orderkey", F.regexp_replace("cursor", "=+$", "").alias("cursor"), F.get_json_object(back, "$.after").cast("bigint").alias("after"))
+    return o.select("o_orderkey", F.regexp_replace("cursor", "=+$", "").alias("cursor"), F.when(F.get_json_object(back, "$.scope") == "orders", F.get_json_object(back, "$.after").cast("bigint")).alias("after"))
 
 
 QUERIES = {
     # windows
     "win_lag_gap": lambda s, d: R.gap_ranges(boards(s, d), "sequence_number"),
-    "win_lag_gap_tail": lambda s, d: R.expand_ranges(R.gap_ranges(boards(s, d), "sequence_number", 100_000), 100),
+    "win_lag_gap_tail": lambda s, d: R.expand_ranges(R.gap_ranges(boards(s, d), "sequence_number", table(s, d, "orders").count()), 100),
     "win_rownum_lines": lambda s, d: R.top_k(boards(s, d).where("sequence_number is not null").join(boards(s, d).groupBy("sequence_number").count().where("count > 1").select("sequence_number"), "sequence_number", "left_semi"), ["sequence_number"], 3, F.asc("id")).select("sequence_number", "id", "rank"),
     "win_rownum_sig": lambda s, d: R.top_k(layouts(s, d).join(layouts(s, d).groupBy("signature").count().where("count > 1").select("signature"), "signature", "left_semi"), ["signature"], 3, F.asc("sequence_number")).select("signature", "sequence_number", "rank"),
     "win_running_sum": lambda s, d: running_sum(payouts(s, d).select("sequence_number", "payout"), F.col("sequence_number"), F.col("payout"), "total"),
@@ -92,9 +92,9 @@ QUERIES = {
     "win_topk_bounded": lambda s, d: R.top_k(table(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], 3, F.desc("value"), F.asc("event_id")),
     "win_dup_range": lambda s, d: layouts(s, d).select("sequence_number", F.substring("signature", 1, 6).alias("range")).withColumn("duplicate_of", F.min("sequence_number").over(Window.partitionBy("range"))).where("duplicate_of < sequence_number"),
     # sorts, limits, pages
-    "sort_multi_key": lambda s, d: R.top_k(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_suppkey"], 5, F.asc("l_partkey"), F.asc("l_orderkey"), F.asc("l_linenumber")),
-    "sort_desc_mixed": lambda s, d: table(s, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.col("o_orderdate").desc_nulls_first(), F.asc("o_orderkey")).limit(50),
-    "sort_natural": lambda s, d: table(s, d, "crop_files").where("crop_relative_path is not null").select("file_id", "crop_relative_path").withColumn("key", natural_key(F.col("crop_relative_path"))).orderBy("key", "file_id").limit(100),
+    "sort_multi_key": lambda s, d: row_numbers(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.asc("l_suppkey"), F.asc("l_partkey"), F.asc("l_orderkey"), F.asc("l_linenumber"), name="rank"),
+    "sort_desc_mixed": lambda s, d: row_numbers(table(s, d, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderdate").desc_nulls_first(), F.asc("o_orderkey"), name="rank"),
+    "sort_natural": lambda s, d: row_numbers(table(s, d, "crop_files").where("crop_relative_path is not null").select("file_id", natural_key(F.col("crop_relative_path")).alias("key")), F.asc("key"), F.asc("file_id"), name="rank"),
     "topk_limit": lambda s, d: table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), F.asc("o_orderkey")).limit(10),
     "page_keyset": lambda s, d: R.page(table(s, d, "orders").select("o_orderkey", "o_custkey"), [("o_orderkey", False)], 25, (1000,)),
     "page_bidirectional": lambda s, d: _page(s, d, (300000.0, 0), True),
@@ -136,7 +136,7 @@ def optional(df, **equal):
 
 SQL = {
     "win_lag_gap": f"WITH {BOARDS}, n AS (SELECT DISTINCT sequence_number AS n FROM rb WHERE sequence_number >= 1) SELECT p + 1 AS gap_from, n - 1 AS gap_to FROM (SELECT n, lag(n, 1, 0) OVER (ORDER BY n) AS p FROM n) WHERE p + 1 < n",
-    "win_lag_gap_tail": f"WITH {BOARDS} SELECT i AS missing FROM range(1, 100001) r(i) WHERE i NOT IN (SELECT sequence_number FROM rb WHERE sequence_number IS NOT NULL) ORDER BY i LIMIT 100",
+    "win_lag_gap_tail": f"WITH {BOARDS} SELECT i AS missing FROM range(1, (SELECT count(*) + 1 FROM orders)) r(i) WHERE i NOT IN (SELECT sequence_number FROM rb WHERE sequence_number IS NOT NULL) ORDER BY i LIMIT 100",
     "win_rownum_lines": f"WITH {BOARDS} SELECT * FROM (SELECT sequence_number, id, row_number() OVER (PARTITION BY sequence_number ORDER BY id) AS rank FROM rb WHERE sequence_number IN (SELECT sequence_number FROM rb GROUP BY 1 HAVING count(*) > 1)) WHERE rank <= 3",
     "win_rownum_sig": f"WITH {LAYOUTS} SELECT * FROM (SELECT signature, sequence_number, row_number() OVER (PARTITION BY signature ORDER BY sequence_number) AS rank FROM boards WHERE signature IN (SELECT signature FROM boards GROUP BY 1 HAVING count(*) > 1)) WHERE rank <= 3",
     "win_running_sum": f"WITH {PAYOUTS} SELECT sequence_number, payout, (sum(payout) OVER (ORDER BY sequence_number))::bigint AS total FROM payouts",
@@ -147,14 +147,14 @@ SQL = {
     "win_latest_event": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "win_topk_bounded": "SELECT * FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 3",
     "win_dup_range": f"WITH {LAYOUTS} SELECT * FROM (SELECT sequence_number, substr(signature, 1, 6) AS range, min(sequence_number) OVER (PARTITION BY substr(signature, 1, 6)) AS duplicate_of FROM boards) WHERE duplicate_of < sequence_number",
-    "sort_multi_key": "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 5",
-    "sort_desc_mixed": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 50",
-    "sort_natural": "SELECT file_id, crop_relative_path, array_to_string(list_transform(regexp_extract_all(lower(crop_relative_path), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN p ~ '^[0-9].*' THEN lpad(ltrim(p, '0'), 12, '0') ELSE p END), '') AS key FROM crop_files WHERE crop_relative_path IS NOT NULL ORDER BY key, file_id LIMIT 100",
+    "sort_multi_key": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_suppkey, l_partkey, l_orderkey, l_linenumber) AS rank FROM lineitem",
+    "sort_desc_mixed": "SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey) AS rank FROM orders",
+    "sort_natural": "SELECT *, row_number() OVER (ORDER BY key, file_id) AS rank FROM (SELECT file_id, array_to_string(list_transform(regexp_extract_all(lower(crop_relative_path), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN p ~ '^[0-9].*' THEN lpad(ltrim(p, '0'), 12, '0') ELSE p END), '') AS key FROM crop_files WHERE crop_relative_path IS NOT NULL)",
     "topk_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "page_keyset": "SELECT o_orderkey, o_custkey, (SELECT count(*) > 25 FROM orders WHERE o_orderkey > 1000) AS has_more FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 25",
     "page_bidirectional": "SELECT o_orderkey, o_totalprice, (SELECT count(*) > 25 FROM orders WHERE o_totalprice > 300000 OR (o_totalprice = 300000 AND o_orderkey < 0)) AS has_more FROM orders WHERE o_totalprice > 300000 OR (o_totalprice = 300000 AND o_orderkey < 0) ORDER BY o_totalprice, o_orderkey DESC LIMIT 25",
     "page_desc_float_cursor": "SELECT o_orderkey, o_totalprice, (SELECT count(*) > 25 FROM orders WHERE o_totalprice < 300000 OR (o_totalprice = 300000 AND o_orderkey > 0)) AS has_more FROM orders WHERE o_totalprice < 300000 OR (o_totalprice = 300000 AND o_orderkey > 0) ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
-    "page_cursor_codec": """SELECT o_orderkey, rtrim(translate(to_base64(encode('{"scope":"orders","after":' || o_orderkey || '}')), '+/', '-_'), '=') AS cursor, o_orderkey AS after FROM orders WHERE o_orderkey % 1000 = 0""",
+    "page_cursor_codec": """SELECT o_orderkey, rtrim(translate(to_base64(encode('{"scope":"orders","after":' || o_orderkey || '}')), '+/', '-_'), '=') AS cursor, o_orderkey AS after FROM orders""",
     "sample_bounded": "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT l_partkey))[1:100], ',') AS sample, count(DISTINCT l_partkey) > 100 AS truncated FROM lineitem GROUP BY 1",
     "set_union_all_cyclic": f"WITH {PAYOUTS} SELECT 0 AS segment, sequence_number, payout FROM payouts WHERE sequence_number > 777 UNION ALL SELECT 1, sequence_number, payout FROM payouts WHERE sequence_number < 777",
     "set_union_all_refs": "WITH r AS (SELECT 'sample' AS kind, crop_relative_path AS path FROM symbol_crop_samples UNION ALL SELECT 'cell', crop_relative_path FROM cell_observations UNION ALL SELECT 'board', board_relative_path FROM recognized_boards) SELECT kind, count(*) AS refs, count(DISTINCT path) AS paths FROM r WHERE path IS NOT NULL GROUP BY 1",

@@ -89,6 +89,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """Time of the last change and length of a file or folder: another one when it was written again."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{fs.getFileStatus(p).getModificationTime()}-{fs.getContentSummary(p).getLength()}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -7,7 +7,7 @@ than ``max_line_bytes`` are passed over without being held; they come out as nul
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, range_start bigint, line_in_range bigint, byte_offset_end bigint, raw_line binary, too_large boolean"
@@ -185,6 +185,11 @@ def stream_lines(spark: SparkSession, path: str, batch_lines: int = 1000, max_li
     return df.select("path", F.col("line_in_range").alias("line_number"), "byte_offset_end", "raw_line", "too_large")
 
 
+def judged_line() -> Column:
+    """What the line contract judges: the line, or for one that is too large a text that no format takes for a record."""
+    return F.when(F.col("too_large"), F.lit(b"too large")).otherwise(F.col("raw_line"))
+
+
 def prefix_chains(lines: DataFrame, file_col: str, order_col: str, line_col: str) -> DataFrame:
     """``(file, lines, chain)``: the chained digest of every file's lines, ``chain = sha256(chain + sha256(line))`` in
     hex, from the empty string on. The chain is sequential, so a file is one task's; its lines are streamed in order,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.bad_rows import load_layout_lines
-from gridloom.sources.lines import stream_lines
+from gridloom.sources.lines import judged_line, stream_lines
 
 
 def import_stream(spark: SparkSession, path: str, file_format: str | None, job_id: str | None, target: str, checkpoint: str, batch_lines: int = 1000):
@@ -21,7 +21,7 @@ def import_stream(spark: SparkSession, path: str, file_format: str | None, job_i
     kind = F.regexp_extract("path", r"\.([a-z]+)$", 1) if file_format is None else F.lit(file_format)
 
     def stage(lines: DataFrame, batch: int) -> None:
-        got = load_layout_lines(lines.select(job.alias("job_id"), "line_number", kind.alias("file_format"), F.when(F.col("too_large"), F.lit(b"too large")).otherwise(F.col("raw_line")).alias("raw_line")))
+        got = load_layout_lines(lines.select(job.alias("job_id"), "line_number", kind.alias("file_format"), judged_line().alias("raw_line")))
         rows = got.valid.withColumn("error_code", F.lit(None).cast("string")).unionByName(got.bad.select("job_id", "line_number", F.col("code").alias("error_code")), allowMissingColumns=True)
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 

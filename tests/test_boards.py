@@ -1,5 +1,6 @@
 """Boards against plain sequential versions."""
 
+import itertools
 import random
 
 import pytest
@@ -127,5 +128,9 @@ def test_matching(spark):
     assert rows(exact_match(df, probes)) == [("0102", "duplicate", 2, [1, 3]), ("0202", "unique", 1, [4]), ("0303", "not_found", 0, None)]
     assert exact_match(df, probes, most=1).where("signature = '0102'").first()["at"] is None
     assert [r["spin"] for r in cyclic_window(df, 3, 4, 2).orderBy("spin").collect()] == [1, 2]
+    numbers = spark.range(1, 12).select(F.col("id").alias("sequence_number"))
+    for start, limit in itertools.product((1, 5, 11), (1, 6, 10, 50, None)):
+        got = [(r["spin"], r["sequence_number"]) for r in cyclic_window(numbers, start, 11, limit).orderBy("spin").collect()]
+        assert got == [(k, (start - 1 + k) % 11 + 1) for k in range(1, min(limit or 99, 10) + 1)]
     assert check_sequence(df, 4).first()["complete"] and not check_sequence(df, 5).first()["complete"]
     assert prefix_match(df.limit(0), "01").first()["candidate_count"] == 0

@@ -1,10 +1,15 @@
+import glob
 import importlib.util
+import os
 import sys
+from decimal import Decimal
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gridloom.plans import registry
 
 
 def test_every_query_has_a_function_and_sql_only_for_queries():
@@ -24,22 +29,23 @@ def test_the_core_does_not_import_the_subpackage():
             assert "gridloom.llm" not in p.read_text(), p
 
 
-@pytest.mark.parametrize("name", ["dom_payout_eval", "win_lag_gap", "agg_candidate_rollup", "join_asof_interpolate", "dom_dataset_validate", "p4_missing"])
-def test_sql_agrees(spark, data, name):
-    import glob
-    import os
-
-    import duckdb
-
+@pytest.fixture(scope="module")
+def duck(data):
     c = duckdb.connect()
     for f in glob.glob(f"{data}/*.parquet"):
         c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql())))
+def test_sql_agrees(spark, data, duck, name):
     df = entry.queries()[name](spark, data)
-    got = sorted(repr(tuple(r[x] for x in sorted(df.columns))) for r in df.collect())
-    cur = c.execute(entry.oracle_sql()[name])
+    columns = sorted(df.columns)
+    plain = lambda rows: sorted(repr(tuple(int(v) if isinstance(v, Decimal) else v for v in r)) for r in rows)
+    got = plain(tuple(r[x] for x in columns) for r in df.collect())
+    cur = duck.execute(registry.oracle_sql()[name])
     names = [x[0] for x in cur.description]
-    at = [names.index(x) for x in sorted(names)]
-    assert sorted(df.columns) == sorted(names) and got == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall())
+    assert columns == sorted(names) and got == plain(tuple(r[names.index(x)] for x in columns) for r in cur.fetchall())
 
 
 def test_bench_names_exist():

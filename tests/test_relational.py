@@ -7,7 +7,7 @@ from gridloom.functions import measures as M
 from gridloom.functions.keys import digest_key, name_key, path_key
 from gridloom.operators import evaluation as E
 from gridloom.operators import relational as R
-from gridloom.operators.ordering import next_set, row_numbers, running_sum
+from gridloom.operators.ordering import block_size, in_ranges, next_set, previous_value, row_numbers, running_sum
 from tests.conftest import rows
 
 
@@ -16,7 +16,7 @@ def test_running_sums_and_ranks_cross_blocks(spark):
     keys = sorted(rng.sample(range(-500, 500), 300))
     vals = [rng.choice((None, 1, 5, -2)) for _ in keys]
     df = spark.createDataFrame(list(zip(keys, vals)), "k bigint, v bigint").repartition(4)
-    got = {r["k"]: r for r in next_set(row_numbers(running_sum(df, F.col("k"), F.col("v"), "s", 16), F.col("k"), "n", 16), F.col("k"), F.col("v"), "x", 16).collect()}
+    got = {r["k"]: r for r in next_set(row_numbers(running_sum(df, F.col("k"), F.col("v"), "s"), F.col("k"), name="n"), F.col("k"), F.col("v"), "x").collect()}
     total = 0
     for i, (k, v) in enumerate(zip(keys, vals)):
         total += v or 0
@@ -24,6 +24,37 @@ def test_running_sums_and_ranks_cross_blocks(spark):
         assert got[k]["x"] == next((w for w in vals[i + 1 :] if w is not None), None)
 
 
+def test_sparse_keys_make_no_more_ranges_than_tasks(spark):
+    df = spark.range(20_000).select((F.col("id") * 1_000_003).alias("k"), (F.col("id") % 7).alias("v")).repartition(5)
+    assert in_ranges(df, F.col("k")).select("_part").distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = previous_value(row_numbers(df, F.col("k"), name="n"), "k", "p")
+    assert got.where("n <> k div 1000003 + 1 or not (p <=> if(k = 0, null, k - 1000003))").count() == 0
+    assert running_sum(df, F.col("k"), F.col("v"), "s").agg(F.max("s")).first()[0] == sum(i % 7 for i in range(20_000))
+    assert block_size(100) == 1 << 14 and 10**12 // block_size(10**12) <= 1 << 18
+
+
+def test_ranks_by_several_keys_and_nulls(spark):
+    rng = random.Random(4)
+    data = [(rng.choice([None, 1, 2]), rng.choice("ab"), i) for i in range(200)]
+    df = spark.createDataFrame(data, "a int, b string, c int").repartition(6)
+    got = [(r["a"], r["b"], r["c"]) for r in row_numbers(df, F.col("a").desc_nulls_first(), F.asc("b"), F.asc("c"), name="n").orderBy("n").collect()]
+    assert got == sorted(data, key=lambda r: (r[0] is not None, -(r[0] or 0), r[1], r[2]))
+    assert row_numbers(df.limit(0), F.col("c"), name="n").count() == 0
+
+
+def test_missing_numbers_in_blocks(spark):
+    from gridloom.operators.integrity import dataset_report, missing_sample
+
+    n = 200_000
+    df = spark.range(1, n + 1).where("id % 50000 not between 1 and 30").select(F.col("id").alias("sequence_number"))
+    want = [i for i in range(1, n + 51) if i > n or 1 <= i % 50_000 <= 30]
+    assert [r[0] for r in missing_sample(df, n + 50).collect()] == want[:100]
+    assert [r[0] for r in missing_sample(df.limit(0), 5).collect()] == [1, 2, 3, 4, 5]
+    b = spark.createDataFrame([(1, [1], "01"), (1, [12], "12"), (9, None, None), (None, [1, 1], "x")], "sequence_number bigint, cells array<int>, signature string")
+    got = {r["check_code"]: (r["issue_count"], r["sample"]) for r in dataset_report(b, 3, 5, 1, [1], 2).collect()}
+    assert got["count"] == (1, "") and got["missing"] == (2, "2,3") and got["out_of_range"] == (1, "9") and got["duplicate_sequence"] == (1, "1") and got["foreign_symbol"] == (1, "1") and got["cell_count"] == (2, "9")
+
+
 def test_gaps(spark):
     df = spark.createDataFrame([(n,) for n in (None, 3, 3, 4, 9, -2)], "n bigint")
     assert rows(R.gap_ranges(df, "n")) == [(1, 2), (5, 8)]

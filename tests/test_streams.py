@@ -11,6 +11,16 @@ from gridloom.streaming.imports import import_stream
 from tests.conftest import rows
 
 
+def test_lines_that_are_too_large_are_errors(spark, tmp_path):
+    from gridloom.operators.bad_rows import load_layout_lines
+    from gridloom.sources.lines import judged_line
+
+    (tmp_path / "j.csv").write_bytes(b'schema_version,sequence_number,cells\n1,5,"[1]"\n1,6,"' + b"x" * (2 << 20) + b'"\n')
+    got = read_lines(spark, str(tmp_path), split_bytes=4096)
+    loaded = load_layout_lines(got.select(F.lit("j").alias("job_id"), "line_number", F.lit("csv").alias("file_format"), judged_line().alias("raw_line")))
+    assert loaded.valid.count() == 1 and [(r["line_number"], r["code"]) for r in loaded.bad.collect()] == [(3, "import_record_invalid")]
+
+
 def test_lines_of_ranges(spark, tmp_path):
     body = b"\n".join([b"first", b"", b"x" * 50, b"tail\r", "łąka".encode(), b"last"])
     (tmp_path / "a.csv").write_bytes(body + b"\n")
