@@ -86,6 +86,70 @@ def insert_missing(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataF
     return target.unionByName(rows.join(target.select(*keys).distinct(), keys, "left_anti"))
 
 
+def delete_returning(target: DataFrame, doomed: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """(deleted, kept) rows of ``target``: those whose ``on`` is among the values of ``doomed``, and the others. Null is
+    among no values."""
+    keys = doomed.where(F.col(on).isNotNull()).select(on).distinct()
+    return target.join(keys, on, "left_semi"), target.join(keys, on, "left_anti")
+
+
+def delete_cascade(tables: dict[str, DataFrame], links: list[tuple[str, str, str | None, str]], roots: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Delete what depends on ``roots(key)``: (kept rows of each table, ``(step, table, deleted, kept)``).
+
+    ``links``: (table, its column, parent table or None for the roots, the parent's key column), parents before their
+    children. Each level is a semi-join with the keys deleted above it. Steps are numbered in the order of the deletes,
+    children first; a table may be named by several links, and loses a row that any of them reaches.
+    """
+    gone: dict[str, DataFrame] = {}
+    for table, column, parent, key in links:
+        above = roots.select("key") if parent is None else gone[parent].select(F.col(key).alias("key"))
+        deleted, _ = delete_returning(tables[table].withColumn("_key", F.col(column)), above.withColumnRenamed("key", "_key"), "_key")
+        deleted = deleted.select(tables[table].columns)
+        gone[table] = deleted if table not in gone else gone[table].unionByName(deleted).distinct()
+    kept, counts = {}, None
+    for step, table in enumerate(reversed(list(gone)), start=1):
+        ways = [(column, parent, key) for t, column, parent, key in links if t == table]
+        rest = tables[table]
+        for column, parent, key in ways:
+            above = roots.select("key") if parent is None else gone[parent].select(F.col(key).alias("key"))
+            rest = delete_returning(rest.withColumn("_key", F.col(column)), above.withColumnRenamed("key", "_key"), "_key")[1].drop("_key")
+        kept[table] = rest
+        one = rest.agg(F.count("*").alias("kept")).join(tables[table].agg(F.count("*").alias("n")))  # a row each
+        one = one.select(F.lit(step).alias("step"), F.lit(table).alias("table"), (F.col("n") - F.col("kept")).alias("deleted"), "kept")
+        counts = one if counts is None else counts.unionByName(one)
+    return kept, counts
+
+
+def prediction_alias(symbols: DataFrame, resolution: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(code, alias)``: under which predicted codes a symbol occurs.
+
+    ``symbols(code)``, ``resolution(code, candidate_ids array)`` and ``candidates(candidate_id, predicted)`` are looked up
+    one after the other; a symbol without a resolution, or whose candidates predict nothing, has its own code.
+    """
+    ids = resolution.select("code", F.explode("candidate_ids").alias("candidate_id"))
+    known = ids.join(candidates, "candidate_id").where("predicted is not null").select("code", F.col("predicted").alias("alias")).distinct()
+    return symbols.select("code").distinct().join(known, "code", "left").select("code", F.coalesce("alias", "code").alias("alias"))
+
+
+def select_sources(candidates: DataFrame, overrides: DataFrame, *order: Column) -> DataFrame:
+    """``(sequence_number, id, manual)``: the best candidate of every number by ``order``, or the one that the latest
+    ``overrides(sequence_number, revision, id)`` names; an override with a null id falls back to the best."""
+    best = latest_by(candidates, ["sequence_number"], *order).select("sequence_number", F.col("id").alias("best"))
+    last = overrides.groupBy("sequence_number").agg(F.max_by("id", "revision").alias("chosen"))
+    return best.join(last, "sequence_number", "left").select("sequence_number", F.coalesce("chosen", "best").alias("id"), F.col("chosen").isNotNull().alias("manual"))
+
+
+def next_stage(done: DataFrame, stages: list[str]) -> DataFrame:
+    """``(file, completed, next_stage, out_of_order)`` of ``done(file, stage)``: how many stages are done from the first one
+    on, the one to run (or run again) next, null when all are, and how many are done beyond it. Unknown stages count
+    nothing; repeated rows count once."""
+    bit = F.coalesce(F.try_element_at(F.create_map(*[x for i, s in enumerate(stages) for x in (F.lit(s), F.lit(1 << i))]), F.col("stage")), F.lit(0))
+    mask = done.groupBy("file").agg(F.bit_or(bit).alias("m"))
+    has = F.array(*[F.col("m").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(stages))])
+    first = F.when(F.array_position(has, F.lit(False)) == 0, len(stages)).otherwise(F.array_position(has, F.lit(False)) - 1).cast("int")
+    return mask.select("file", first.alias("completed"), F.get(F.array(*map(F.lit, stages)), first).alias("next_stage"), (F.bit_count("m") - first).alias("out_of_order"))
+
+
 def nearest_per_class(vectors: DataFrame, queries: DataFrame, k: int = 3, least: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding", class_col: str = "label", block: int = 2048) -> DataFrame:
     """``(query_id, class, similarity, neighbour_id, rank)``: the ``k`` best classes of every query, a class being as
     similar as its most similar member, by cosine; the query itself is left out, as is what is below ``least``.

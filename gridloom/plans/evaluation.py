@@ -76,19 +76,6 @@ def _label_export(s, d):
     return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-def _geometry(s, d):
-    """Detected corners against an even 3x3 grid of the page: position, mean and nearest-rank p95 of the error of a
-    corner as a share of the page's diagonal; a board without four corners counts as 1."""
-    c = table(s, d, "board_candidates").select("observation_id", "board_position", "source_image_width", "source_image_height", "detected_source_quad").where("board_position between 0 and 8 and source_image_width > 0 and source_image_height > 0").distinct()
-    w, h, p = F.col("source_image_width"), F.col("source_image_height"), F.col("board_position")
-    x0, y0 = (p % 3) * w / 3, F.floor(p / 3) * h / 3
-    q = F.col("detected_source_quad")
-    centre = lambda axis: F.aggregate(q, F.lit(0.0), lambda a, k: a + k[axis]) / 4
-    err = F.when(F.coalesce(F.size(q), F.lit(0)) == 4, F.hypot(centre("x") - (x0 + w / 6), centre("y") - (y0 + h / 6)) / F.hypot(w.cast("double"), h.cast("double"))).otherwise(F.lit(1.0))
-    e = c.select(p.alias("board_position"), F.round(err, 6).alias("err"))
-    return e.groupBy("board_position").agg(F.count("*").alias("n"), r(F.avg("err"), 5).alias("mean_error"), E.nearest_rank(0.95, "err").alias("p95"))
-
-
 def _metric_dims(s, d):
     """Confidence by several dimensions at once: overall, by position, by status."""
     b = boards(s, d).where("board_confidence is not null")
@@ -157,11 +144,9 @@ QUERIES = {
     "join_floor_lookup": _floor_lookup,
     "join_lateral_json": lambda s, d: table(s, d, "recognized_boards").select("id", F.posexplode(F.from_json("cells_prediction", "array<string>")).alias("place", "code")).distinct().groupBy("place", "code").agg(F.count("*").alias("n")),
     "join_label_transfer": lambda s, d: _samples(s, d).where("observation_id is not null").select("sample_id", F.col("observation_id").alias("id")).distinct().join(R.latest_by(cells(s, d).select("id", "predicted", "confidence"), ["id"], F.col("confidence"), F.col("predicted")), "id").select("sample_id", "id", "predicted"),
-    "join_prediction_alias": lambda s, d: cells(s, d).select("id", "predicted", "actual").distinct().select("id", F.coalesce("predicted", "actual").alias("code")),
     "join_nn_cosine": lambda s, d: R.nearest_per_class(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id % 50 = 0")).select("query_id", "class", r("similarity").alias("similarity"), "neighbour_id", "rank"),
     "join_asof_interpolate": _asof,
     "join_label_export": _label_export,
-    "join_golden_quality": lambda s, d: table(s, d, "board_candidates").select("observation_id", F.posexplode("detected_source_quad").alias("corner", "q")).distinct().groupBy("corner").agg(F.count("*").alias("n"), r(F.avg(F.hypot("q.x", "q.y")), 3).alias("mean_reach")),
     "join_compatible_versions": lambda s, d: table(s, d, "part").select("p_size", "p_brand").distinct().join(table(s, d, "part").select("p_size", F.col("p_brand").alias("other")).distinct(), "p_size").where("p_brand < other").groupBy("p_size").agg(F.count("*").alias("pairs")),
     # aggregations
     "agg_filtered_multi": lambda s, d: boards(s, d).agg(F.count("*").alias("n"), F.count_if(F.col("sequence_number").isNotNull()).alias("numbered"), F.min(F.when(F.col("board_confidence") > 0.9, F.col("sequence_number"))).alias("lowest"), F.max(F.when(F.col("board_confidence") > 0.9, F.col("sequence_number"))).alias("highest"), F.count_distinct(F.when(F.col("board_confidence") > 0.9, F.col("sequence_number"))).alias("numbers")),
@@ -172,7 +157,6 @@ QUERIES = {
     "agg_conditional_sum": lambda s, d: images(s, d).groupBy("import_job_id").agg(*[F.coalesce(F.sum(F.when(F.col("width") >= w, 1).otherwise(0)), F.lit(0)).alias(f"from_{w}") for w in (1280, 1920, 2560, 4032)]),
     "agg_pivot_status": lambda s, d: boards(s, d).withColumn("kind", F.when(F.col("sequence_number").isNull(), "open").otherwise("numbered")).groupBy("position_index").pivot("kind", ["open", "numbered"]).agg(F.count("id")).fillna(0),
     "agg_bool_or": lambda s, d: _samples(s, d).groupBy(path_key(F.col("crop_relative_path")).alias("path")).agg(F.bool_or(F.col("source_group") != "rig-main-hall").alias("elsewhere")).where("elsewhere").agg(F.count("*").alias("n")),
-    "agg_scalar_subqueries": lambda s, d: table(s, d, "source_images").agg(F.count("*").alias("images")).join(table(s, d, "recognized_boards").agg(F.count("*").alias("boards"))).join(table(s, d, "cell_observations").agg(F.count("*").alias("cells"))).join(table(s, d, "crop_files").agg(F.count("*").alias("files"))),
     "agg_max_plus_one": lambda s, d: boards(s, d).groupBy("source_image_id").agg((F.max("position_index") + 1).alias("next_position")),
     "agg_candidate_rollup": lambda s, d: cells(s, d).where("predicted is not null").groupBy("predicted").agg(F.count("*").alias("n"), r(F.avg("confidence")).alias("mean_confidence"), F.min_by("id", F.struct(-F.coalesce("confidence", F.lit(-1.0)), "id")).alias("representative")),
     "agg_mode_consensus": lambda s, d: E.mode_larger(boards(s, d), ["source_image_id"], "position_index").join(E.mode_larger(boards(s, d).select("source_image_id", F.floor(F.col("board_confidence") * 10).alias("tenth")), ["source_image_id"], "tenth"), "source_image_id"),
@@ -188,16 +172,12 @@ QUERIES = {
     "agg_percentile_linear": lambda s, d: table(s, d, "events").groupBy("event_type").agg(*[r(E.linear_percentile(q, "value")).alias(f"p{round(q * 100)}") for q in (0.5, 0.95)]),
     "agg_metric_by_dims": _metric_dims,
     "agg_complete_groups": lambda s, d: cells(s, d).select("recognized_board_id", (F.col("row_index") * 5 + F.col("column_index")).alias("i"), "correct").groupBy("recognized_board_id").agg(F.count_distinct("i").alias("cells"), F.count_if(F.col("correct") == F.lit(False)).alias("wrong")).groupBy((F.col("cells") == 15).alias("complete"), (F.col("wrong") > 0).alias("corrected")).agg(F.count("*").alias("boards")),
-    "agg_top3_alternatives": lambda s, d: cells(s, d).where("predicted is not null and confidence is not null").groupBy("recognized_board_id").agg(F.concat_ws(",", F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), F.col("predicted").alias("p"), "id"))), 1, 3), lambda x: x["p"])).alias("top3")),
     "agg_boundary_eval": _boundary,
     "agg_argmax_candidate": lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_retailprice", "p_size", -F.col("p_partkey"))).alias("best")),
-    "agg_weighted_projection": lambda s, d: table(s, d, "events").agg(r(3600 * F.count("*") / F.sum(F.when(F.col("event_type") == "error", F.col("value") * 2).otherwise(F.col("value"))), 4).alias("per_hour")),
     "agg_timing_summary": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.min_by("value", "event_id").alias("first"), F.min("value").alias("least"), E.nearest_rank(0.5, "value").alias("p50"), E.nearest_rank(0.95, "value").alias("p95"), F.max("value").alias("most")),
-    "agg_ocr_summary": lambda s, d: cells(s, d).agg(F.count("*").alias("n"), F.count_if(F.col("correct")).alias("exact"), r(F.count_if(F.col("correct")) / F.count("*")).alias("rate"), F.count_if(F.col("predicted").isNull()).alias("to_review")),
     "agg_group_tags": lambda s, d: table(s, d, "board_candidates").select("observation_id", "image_id", F.explode("condition_tags").alias("tag")).where("tag is not null").groupBy(F.replace(F.lower(F.trim("tag")), F.lit("_"), F.lit("-")).alias("tag")).agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("images")),
     "agg_digit_length": lambda s, d: boards(s, d).where("sequence_number is not null").groupBy(F.length(F.col("sequence_number").cast("string")).alias("digits")).agg(F.count("*").alias("n"), r(F.avg("sequence_confidence")).alias("mean_confidence")),
     "agg_error_catalog": lambda s, d: cells(s, d).select(F.when(F.col("predicted").isNull(), "absent").when(F.col("actual").isNull(), "unknown").when(F.col("correct"), "exact").when(F.levenshtein("predicted", "actual") <= 2, "close").otherwise("other").alias("kind")).groupBy("kind").agg(F.count("*").alias("n")),
-    "agg_geometry_quality": _geometry,
     "agg_checksum": _checksum,
     "agg_source_state": _source_state,
     "agg_storage_inventory": lambda s, d: table(s, d, "crop_files").groupBy(F.element_at(F.split(path_key(F.col("crop_relative_path")), "/"), 1).alias("namespace")).agg(F.count("*").alias("files"), F.sum("byte_size").alias("bytes")),
@@ -226,7 +206,6 @@ SQL = {
     "join_floor_lookup": "WITH p AS (SELECT DISTINCT p_size FROM part) SELECT o_orderkey, (o_orderkey % 60)::int AS probe, (SELECT max(p_size) FROM p WHERE p_size <= o_orderkey % 60) AS rule FROM orders",
     "join_lateral_json": "WITH x AS (SELECT DISTINCT id, generate_subscripts(c, 1) - 1 AS place, unnest(c) AS code FROM (SELECT id, from_json(cells_prediction, '[\"VARCHAR\"]') AS c FROM recognized_boards)) SELECT place, code, count(*) AS n FROM x GROUP BY 1, 2",
     "join_label_transfer": f"WITH {CELLS}, l AS (SELECT id, predicted FROM (SELECT id, predicted, row_number() OVER (PARTITION BY id ORDER BY confidence DESC NULLS LAST, predicted DESC NULLS LAST) AS k FROM cells) WHERE k = 1) SELECT DISTINCT sample_id, l.id, predicted FROM symbol_crop_samples s JOIN l ON s.observation_id = l.id",
-    "join_prediction_alias": f"WITH {CELLS}, x AS (SELECT DISTINCT id, predicted, actual FROM cells) SELECT id, coalesce(predicted, actual) AS code FROM x",
     "join_nn_cosine": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS l FROM v),
 s AS (SELECT q.vec_id AS query_id, v.label AS class, v.vec_id AS neighbour_id, round(list_dot_product(q.e, v.e) / (q.l * v.l), 9) AS sim FROM n q JOIN n v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
 b AS (SELECT query_id, class, neighbour_id, sim, row_number() OVER (PARTITION BY query_id, class ORDER BY sim DESC, neighbour_id) AS k FROM s WHERE sim >= 0)
@@ -237,7 +216,6 @@ lo AS (SELECT p.*, a.place AS x0, a.v AS y0 FROM p ASOF LEFT JOIN a ON p.positio
 SELECT position_index, place, round(round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (place - x0) / (x1 - x0) END, 10), 6) AS value FROM hi""",
     "join_label_export": f"""WITH x AS (SELECT DISTINCT sample_id, {_DIG.format(c='crop_checksum_sha256')} AS digest, lower(trim(split_name)) AS label FROM symbol_crop_samples), l AS (SELECT digest, count(DISTINCT label) AS labels FROM x WHERE label IS NOT NULL AND digest IS NOT NULL GROUP BY 1)
 SELECT CASE WHEN labels > 1 THEN 'conflict' WHEN label IS NULL THEN 'pending' ELSE 'labelled' END AS state, count(*) AS n FROM x LEFT JOIN l USING (digest) GROUP BY 1""",
-    "join_golden_quality": "WITH x AS (SELECT DISTINCT observation_id, generate_subscripts(detected_source_quad, 1) - 1 AS corner, unnest(detected_source_quad) AS q FROM board_candidates) SELECT corner, count(*) AS n, round(avg(sqrt(q.x * q.x + q.y * q.y)), 3) AS mean_reach FROM x GROUP BY 1",
     "join_compatible_versions": "WITH p AS (SELECT DISTINCT p_size, p_brand FROM part) SELECT a.p_size, count(*) AS pairs FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_brand < b.p_brand GROUP BY 1",
     "agg_filtered_multi": f"WITH {BOARDS} SELECT count(*) AS n, count(*) FILTER (sequence_number IS NOT NULL) AS numbered, min(sequence_number) FILTER (board_confidence > 0.9) AS lowest, max(sequence_number) FILTER (board_confidence > 0.9) AS highest, count(DISTINCT sequence_number) FILTER (board_confidence > 0.9) AS numbers FROM rb",
     "agg_missing_count": f"WITH {BOARDS} SELECT coalesce(max(sequence_number), 0) - count(DISTINCT sequence_number) AS missing FROM rb WHERE sequence_number >= 1",
@@ -247,7 +225,6 @@ SELECT CASE WHEN labels > 1 THEN 'conflict' WHEN label IS NULL THEN 'pending' EL
     "agg_conditional_sum": f"WITH {IMAGES} SELECT import_job_id, " + ", ".join(f"count(*) FILTER (width >= {w}) AS from_{w}" for w in (1280, 1920, 2560, 4032)) + " FROM si GROUP BY 1",
     "agg_pivot_status": f"WITH {BOARDS} SELECT position_index, count(*) FILTER (sequence_number IS NULL) AS open, count(*) FILTER (sequence_number IS NOT NULL) AS numbered FROM rb GROUP BY 1",
     "agg_bool_or": f"WITH x AS (SELECT {_PLACE.format(c='crop_relative_path')} AS p, source_group <> 'rig-main-hall' AS e FROM symbol_crop_samples) SELECT count(*) AS n FROM (SELECT p FROM x GROUP BY 1 HAVING bool_or(e))",
-    "agg_scalar_subqueries": "SELECT (SELECT count(*) FROM source_images) AS images, (SELECT count(*) FROM recognized_boards) AS boards, (SELECT count(*) FROM cell_observations) AS cells, (SELECT count(*) FROM crop_files) AS files",
     "agg_max_plus_one": f"WITH {BOARDS} SELECT source_image_id, max(position_index) + 1 AS next_position FROM rb GROUP BY 1",
     "agg_candidate_rollup": f"WITH {CELLS} SELECT predicted, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, first(id ORDER BY -coalesce(confidence, -1), id) AS representative FROM cells WHERE predicted IS NOT NULL GROUP BY 1",
     "agg_mode_consensus": f"""WITH {BOARDS}, a AS (SELECT source_image_id, position_index AS v, count(*) AS n FROM rb WHERE position_index IS NOT NULL GROUP BY 1, 2), b AS (SELECT source_image_id, floor(board_confidence * 10) AS v, count(*) AS n FROM rb WHERE board_confidence IS NOT NULL GROUP BY 1, 2),
@@ -269,20 +246,14 @@ SELECT count(*) AS n, (SELECT round(sum(n * gap) / sum(n), 6) FROM bb) AS ece, r
     "agg_percentile_linear": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
     "agg_metric_by_dims": f"WITH {BOARDS}, x AS (SELECT * FROM rb WHERE board_confidence IS NOT NULL) SELECT 'all' AS dim, '' AS value, {_DIM} FROM x UNION ALL SELECT 'position_index', coalesce(position_index::varchar, ''), {_DIM} FROM x GROUP BY 2 UNION ALL SELECT 'status', coalesce(status, ''), {_DIM} FROM x GROUP BY 2",
     "agg_complete_groups": f"WITH {CELLS}, x AS (SELECT recognized_board_id, count(DISTINCT row_index * 5 + column_index) AS cells, count(*) FILTER (NOT correct) AS wrong FROM cells GROUP BY 1) SELECT cells = 15 AS complete, wrong > 0 AS corrected, count(*) AS boards FROM x GROUP BY 1, 2",
-    "agg_top3_alternatives": f"WITH {CELLS}, x AS (SELECT recognized_board_id, predicted, row_number() OVER (PARTITION BY recognized_board_id ORDER BY confidence DESC, predicted, id) AS k FROM cells WHERE predicted IS NOT NULL AND confidence IS NOT NULL) SELECT recognized_board_id, string_agg(predicted, ',' ORDER BY k) AS top3 FROM x WHERE k <= 3 GROUP BY 1",
     "agg_boundary_eval": """WITH e AS (SELECT user_id, row_number() OVER w AS k, coalesce((lag(event_type) OVER w <> event_type)::int, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 g AS (SELECT user_id, k, sum(new) OVER (PARTITION BY user_id ORDER BY k) AS g, max(k) OVER (PARTITION BY user_id) AS n FROM e), a AS (SELECT user_id, max(k) AS b FROM g GROUP BY user_id, g), f AS (SELECT user_id, max(k) AS b FROM g GROUP BY user_id, (k - 1) // 5)
 SELECT coalesce(a.user_id, f.user_id) AS user_id, count(a.b) AS expected, count(f.b) AS found, count(*) FILTER (a.b IS NOT NULL AND f.b IS NOT NULL) AS common, count(a.b) - count(*) FILTER (a.b IS NOT NULL AND f.b IS NOT NULL) AS false_merges, count(f.b) - count(*) FILTER (a.b IS NOT NULL AND f.b IS NOT NULL) AS false_splits FROM a FULL JOIN f ON a.user_id = f.user_id AND a.b = f.b GROUP BY 1""",
     "agg_argmax_candidate": "SELECT p_brand, first(p_partkey ORDER BY p_retailprice DESC, p_size DESC, p_partkey) AS best FROM part GROUP BY 1",
-    "agg_weighted_projection": "SELECT round(3600 * count(*) / sum(CASE WHEN event_type = 'error' THEN value * 2 ELSE value END), 4) AS per_hour FROM events",
     "agg_timing_summary": "SELECT event_type, arg_min(value, event_id) AS first, min(value) AS least, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY 1",
-    "agg_ocr_summary": f"WITH {CELLS} SELECT count(*) AS n, count(*) FILTER (correct) AS exact, round(count(*) FILTER (correct) / count(*), 6) AS rate, count(*) FILTER (predicted IS NULL) AS to_review FROM cells",
     "agg_group_tags": "WITH x AS (SELECT image_id, unnest(condition_tags) AS t FROM board_candidates) SELECT replace(lower(trim(t)), '_', '-') AS tag, count(*) AS n, count(DISTINCT image_id) AS images FROM x WHERE t IS NOT NULL GROUP BY 1",
     "agg_digit_length": f"WITH {BOARDS} SELECT length(sequence_number::varchar)::int AS digits, count(*) AS n, round(avg(sequence_confidence), 6) AS mean_confidence FROM rb WHERE sequence_number IS NOT NULL GROUP BY 1",
     "agg_error_catalog": f"WITH {CELLS} SELECT CASE WHEN predicted IS NULL THEN 'absent' WHEN actual IS NULL THEN 'unknown' WHEN correct THEN 'exact' WHEN levenshtein(predicted, actual) <= 2 THEN 'close' ELSE 'other' END AS kind, count(*) AS n FROM cells GROUP BY 1",
-    "agg_geometry_quality": """WITH c AS (SELECT DISTINCT observation_id, board_position AS p, source_image_width AS w, source_image_height AS h, detected_source_quad AS q FROM board_candidates WHERE board_position BETWEEN 0 AND 8 AND source_image_width > 0 AND source_image_height > 0),
-e AS (SELECT p AS board_position, round(CASE WHEN len(q) = 4 THEN sqrt(power(list_sum(list_transform(q, lambda k: k.x)) / 4 - ((p % 3) * w / 3 + w / 6), 2) + power(list_sum(list_transform(q, lambda k: k.y)) / 4 - ((p // 3) * h / 3 + h / 6), 2)) / sqrt(w * w + h * h) ELSE 1 END, 6) AS err FROM c)
-SELECT board_position, count(*) AS n, round(avg(err), 5) AS mean_error, quantile_disc(err, 0.95) AS p95 FROM e GROUP BY 1""",
     "agg_checksum": f"WITH {PAYOUTS}, h AS (SELECT sha256(sequence_number || ':' || payout) AS h FROM payouts) SELECT count(*) AS rows, {_SET} AS digest FROM h",
     "agg_source_state": f"WITH {IMAGES}, h AS (SELECT import_job_id, sha256(concat_ws('|', id, coalesce(checksum_sha256, ''), coalesce(status, ''), coalesce(width::varchar, ''))) AS h FROM si) SELECT import_job_id, {_SET} AS state FROM h GROUP BY 1",
     "agg_storage_inventory": f"SELECT string_split({_PLACE.format(c='crop_relative_path')}, '/')[1] AS namespace, count(*) AS files, sum(byte_size)::bigint AS bytes FROM crop_files GROUP BY 1",

@@ -103,13 +103,6 @@ def _audit(s, d):
     return path
 
 
-def _feedback(s, d):
-    """Boards with their cells as one row a cell, labelled by the board's reading."""
-    b = table(s, d, "recognized_boards").groupBy("id").agg(F.max("cells_prediction").alias("codes"))
-    cells = F.from_json("codes", "array<string>")
-    return b.select("id", F.posexplode(F.arrays_zip(F.sequence(F.lit(0), F.size(cells) - 1).alias("cell"), cells.alias("code"))).alias("p", "z")).select("id", F.col("z.cell").alias("cell"), F.col("z.code").alias("code"))
-
-
 def _cohort(s, d):
     """The sure boards, frozen: a published version whose manifest has their number."""
     folder = new_path(s, "cohort")
@@ -201,7 +194,6 @@ QUERIES = {
     "src_format_dispatch": _dispatch,
     "src_prefix_chain": lambda s, d: prefix_chains(_raw(s, d), "job_id", "line_number", "raw_line"),
     "snk_upsert_payouts": lambda s, d: _payout_version(s, d),
-    "snk_upsert_normalized": lambda s, d: R.upsert(boards(s, d).where("position_index < 5").select("source_image_id", "position_index", "id"), boards(s, d).where("position_index >= 3").select("source_image_id", "position_index", F.upper("id").alias("id")), ["source_image_id", "position_index"]),
     "stm_microbatch_import": _import,
     "stm_checkpoint_resume": _resume,
     "src_csv_layouts": lambda s, d: _parsed(s, d, "csv"),
@@ -217,11 +209,9 @@ QUERIES = {
     "snk_insert_ignore": _ignored,
     "snk_insert_select": lambda s, d: sinks.open_version(s, _published(s, d), 1),
     "snk_delete_after": _delete_after,
-    "snk_delete_cascade": lambda s, d: table(s, d, "cell_observations").select("id", "recognized_board_id").distinct().join(boards(s, d).where("position_index = 0").select(F.col("id").alias("recognized_board_id")).distinct(), "recognized_board_id", "left_anti").agg(F.count("*").alias("kept")),
     "snk_snapshot": _snapshot_checks,
     "snk_audit_jsonl": lambda s, d: s.read.text(_audit(s, d)).select(F.get_json_object("value", "$.sequence_number").cast("bigint").alias("sequence_number"), F.get_json_object("value", "$.payout").cast("bigint").alias("payout")),
     "snk_audit_verify": lambda s, d: sinks.verify_audit(s, _audit(s, d), payouts(s, d)),
-    "snk_feedback_export": _feedback,
     "snk_cohort_export": _cohort,
     "stm_session_group": lambda s, d: group_observations(_runs(s, d)),
     "stm_late_merge": _late,
@@ -232,7 +222,6 @@ SQL = {
     "src_decode_utf8": "WITH l AS (SELECT job_id, line_number, arg_max(raw_line, (received_at, raw_line)) AS r FROM layout_import_lines GROUP BY 1, 2) SELECT job_id, count(*) AS n, count(*) FILTER (try(decode(r)) IS NULL) AS no_utf8, count(*) FILTER (hex(r) LIKE 'EFBBBF%') AS with_bom FROM l GROUP BY 1",
     "src_prefix_chain": "WITH l AS (SELECT job_id, line_number, arg_max(raw_line, (received_at, raw_line)) AS r FROM layout_import_lines GROUP BY 1, 2) SELECT job_id, count(*) AS lines, list_reduce(list_prepend('', list(sha256(r) ORDER BY line_number)), lambda a, x: sha256(a || x)) AS chain FROM l GROUP BY 1",
     "snk_upsert_payouts": f"WITH {PAYOUTS} SELECT v AS rules_version, count(*) AS n, sum(payout * v)::bigint AS total FROM payouts, (VALUES (1), (2)) t(v) GROUP BY 1",
-    "snk_upsert_normalized": f"WITH {BOARDS} SELECT source_image_id, position_index, id FROM rb a WHERE position_index < 5 AND NOT EXISTS (SELECT 1 FROM rb b WHERE b.source_image_id = a.source_image_id AND b.position_index = a.position_index AND b.position_index >= 3) UNION ALL SELECT source_image_id, position_index, upper(id) FROM rb WHERE position_index >= 3",
     "src_line_stream": "WITH l AS (SELECT job_id, line_number, arg_max(raw_line, (received_at, raw_line)) AS r FROM layout_import_lines WHERE file_format = 'csv' GROUP BY 1, 2) SELECT job_id, count(*) AS n, count(*) AS last_line, sum(octet_length(r) + 1)::bigint AS bytes FROM l GROUP BY 1",
     "src_table_scan_keyset": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY 1 LIMIT 1000",
     "src_image_files": "WITH i AS (SELECT DISTINCT nullif(regexp_replace(lower(trim(checksum_sha256, ' ' || chr(9) || chr(10) || chr(13))), '^sha256:', ''), '') AS digest, id FROM source_images) SELECT digest, min(id) AS first, count(*) AS copies FROM i WHERE digest IS NOT NULL GROUP BY 1",
@@ -242,11 +231,9 @@ SQL = {
     "snk_insert_ignore": f"WITH {LAYOUTS} SELECT sequence_number + 5 AS sequence_number, 'new' AS signature FROM boards WHERE sequence_number % 10 = 0 AND sequence_number + 5 NOT IN (SELECT sequence_number FROM boards)",
     "snk_insert_select": f"WITH {LAYOUTS} SELECT sequence_number, signature FROM boards",
     "snk_delete_after": f"WITH {PAYOUTS} SELECT (sequence_number - 1) // 5000 AS batch, count(*) AS n, sum(payout + CASE WHEN sequence_number > 5000 THEN 1 ELSE 0 END)::bigint AS total FROM payouts GROUP BY 1",
-    "snk_delete_cascade": f"WITH {BOARDS}, c AS (SELECT DISTINCT id, recognized_board_id FROM cell_observations) SELECT count(*) AS kept FROM c WHERE recognized_board_id IS NULL OR recognized_board_id NOT IN (SELECT id FROM rb WHERE position_index = 0)",
     "snk_snapshot": f"WITH {PAYOUTS} SELECT count(*) AS rows, count(*) AS numbers, min(sequence_number) AS lowest, max(sequence_number) AS highest, 0 AS negative, 0 AS undecodable, sum(payout)::bigint AS total, true AS valid FROM payouts",
     "snk_audit_jsonl": f"WITH {PAYOUTS} SELECT sequence_number, payout FROM payouts",
     "snk_audit_verify": f"WITH {PAYOUTS} SELECT count(*) AS audited, 0 AS broken, 0 AS wrong_sums, 0 AS different FROM payouts",
-    "snk_feedback_export": "WITH b AS (SELECT id, max(cells_prediction)::json AS c FROM recognized_boards GROUP BY 1) SELECT id, i::int AS cell, c->>i::int AS code FROM b, range(0, 15) r(i) WHERE i < json_array_length(c)",
     "snk_cohort_export": f"WITH {BOARDS} SELECT id, sequence_number FROM rb WHERE sequence_number IS NOT NULL AND board_confidence >= 0.9",
     "stm_late_merge": f"WITH {LAYOUTS}, g AS (SELECT sequence_number, substr(signature, 1, 4) AS range FROM boards) SELECT * FROM (SELECT sequence_number, min(CASE WHEN sequence_number % 3 = 0 THEN sequence_number END) OVER (PARTITION BY range ORDER BY sequence_number ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closed_by FROM g) WHERE sequence_number % 3 <> 0 AND closed_by IS NOT NULL",
     "stm_finalize_group": f"WITH {BOARDS}, k AS (SELECT *, row_number() OVER (PARTITION BY source_image_id ORDER BY board_confidence DESC NULLS LAST, position_index, id) AS rank FROM rb) SELECT source_image_id, count(*) AS candidates, count(DISTINCT sequence_number) AS numbers, arg_min(id, rank) AS best, count(DISTINCT sequence_number) > 1 AS conflict FROM k WHERE rank <= 3 GROUP BY 1",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gridloom.plans import domain, evaluation, io, repair, reports, windows
+from gridloom.plans import domain, evaluation, io, repair, reports, review, windows
 
-MODULES = [domain, windows, evaluation, reports, io, repair]
+MODULES = [domain, windows, evaluation, reports, review, io, repair]
 
 
 def queries() -> dict[str, Callable]:

@@ -96,14 +96,6 @@ def _hamming(s, d):
     return f.select("f", M.hex_distance(F.col("f"), F.lit(fixed), 32).alias("distance"))
 
 
-def _bootstrap(s, d):
-    """Predicted codes as symbol candidates: kept automatically where every board has the code as often as its own
-    reading says, on the whole."""
-    c = cells(s, d).where("predicted is not null")
-    k = c.groupBy("predicted").agg(F.count("*").alias("n"), F.count_distinct("recognized_board_id").alias("boards"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
-    return row_numbers(k, F.desc("n"), F.asc("predicted"), name="code")
-
-
 def _suggest(s, d):
     """How often the nearest classes of a queried vector hold its own label: coverage, top-1 and top-3."""
     e = table(s, d, "embeddings")
@@ -132,12 +124,8 @@ QUERIES = {
     "dom_dataset_validate": _dataset,
     "dom_continuity": lambda s, d: I.continuity_issues(boards(s, d)),
     "dom_completeness": lambda s, d: I.completeness(boards(s, d), _n(s, d)),
-    "dom_source_selection": lambda s, d: R.latest_by(boards(s, d).where("sequence_number is not null").select("sequence_number", "id", "board_confidence", "sequence_confidence"), ["sequence_number"], F.col("board_confidence"), F.col("sequence_confidence"), F.col("id")).select("sequence_number", "id"),
-    "dom_symbol_bootstrap": _bootstrap,
     "dom_suggest_eval": _suggest,
     "dom_active_learning": _active,
-    "dom_reopen_conflicts": lambda s, d: boards(s, d).join(I.continuity_issues(boards(s, d)).where("kind = 'duplicate'").select(F.col("value").alias("sequence_number")), "sequence_number", "left_semi").select("id", "sequence_number"),
-    "dom_cleanup_preview": lambda s, d: table(s, d, "cell_observations").groupBy("import_job_id").agg(F.count("*").alias("rows"), F.count_distinct("crop_relative_path").alias("paths")),
     "fn_signature": _signatures,
     "fn_vectors": _vectors,
     "fn_strings": _strings,
@@ -166,14 +154,10 @@ SQL = {
     "dom_completeness": f"""WITH {BOARDS}, e AS (SELECT count(*) AS n FROM orders), m AS (SELECT i FROM e, range(1, e.n + 1) r(i) WHERE i NOT IN (SELECT sequence_number FROM rb WHERE sequence_number IS NOT NULL))
 SELECT count(sequence_number) AS accepted, count(DISTINCT sequence_number) FILTER (sequence_number BETWEEN 1 AND e.n) AS unique_in_range, count(*) FILTER (NOT sequence_number BETWEEN 1 AND e.n) AS out_of_range, (SELECT count(*) FROM (SELECT 1 FROM rb WHERE sequence_number IS NOT NULL GROUP BY sequence_number HAVING count(*) > 1)) AS duplicates,
  (SELECT count(*) FROM m) AS missing, (SELECT coalesce(string_agg(i::varchar, ',' ORDER BY i), '') FROM (SELECT i FROM m ORDER BY i LIMIT 100)) AS first_missing FROM rb, e""",
-    "dom_source_selection": f"WITH {BOARDS} SELECT sequence_number, id FROM (SELECT *, row_number() OVER (PARTITION BY sequence_number ORDER BY board_confidence DESC NULLS LAST, sequence_confidence DESC NULLS LAST, id DESC) AS k FROM rb WHERE sequence_number IS NOT NULL) WHERE k = 1",
-    "dom_symbol_bootstrap": f"WITH {CELLS}, k AS (SELECT predicted, count(*) AS n, count(DISTINCT recognized_board_id) AS boards, round(avg(confidence), 6) AS mean_confidence FROM cells WHERE predicted IS NOT NULL GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n DESC, predicted) AS code FROM k",
     "dom_suggest_eval": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS l FROM v),
 s AS (SELECT q.vec_id AS query_id, q.label AS own, v.label AS class, max(round(list_dot_product(q.e, v.e) / (q.l * v.l), 9)) AS sim FROM n q JOIN n v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, class) AS rank FROM s WHERE sim >= 0.2), o AS (SELECT query_id, bool_or(class = own AND rank = 1) AS t1, bool_or(class = own) AS t3 FROM r WHERE rank <= 3 GROUP BY 1)
 SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS queries, count(*) AS covered, count(*) FILTER (t1) AS top1, count(*) FILTER (t3) AS top3 FROM o""",
-    "dom_reopen_conflicts": f"WITH {BOARDS} SELECT id, sequence_number FROM rb WHERE sequence_number IN (SELECT sequence_number FROM rb WHERE sequence_number IS NOT NULL GROUP BY 1 HAVING count(*) > 1)",
-    "dom_cleanup_preview": "SELECT import_job_id, count(*) AS rows, count(DISTINCT crop_relative_path) AS paths FROM cell_observations GROUP BY 1",
     "fn_signature": f"WITH {LAYOUTS} SELECT sequence_number, signature, true AS round_trip, substr(signature, 1, (2 * (sequence_number % 15))::int) AS prefix, CASE WHEN list_max(cells) <= 9 THEN array_to_string(list_transform(cells, lambda c: (c * 10)::varchar), '') END AS too_wide, 2 AS width, true AS zero_refused FROM boards",
     "fn_vectors": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings), j AS (SELECT v.vec_id, v.v, z.v AS z FROM v, (SELECT v FROM v WHERE vec_id = 0) z),
 e AS (SELECT *, {_SOFT.format(v='v')} AS a, {_SOFT.format(v='z')} AS b FROM j), p AS (SELECT *, list_transform(a, lambda x: x / list_sum(a)) AS p, list_transform(b, lambda x: x / list_sum(b)) AS q FROM e)

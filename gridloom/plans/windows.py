@@ -103,21 +103,17 @@ QUERIES = {
     "sample_bounded": lambda s, d: R.top_k(table(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct(), ["l_suppkey"], 101, F.asc("l_partkey")).groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("p")).select("l_suppkey", F.concat_ws(",", F.transform(F.slice("p", 1, 100), lambda x: x.cast("string"))).alias("sample"), (F.size("p") > 100).alias("truncated")),
     # sets
     "set_union_all_cyclic": lambda s, d: payouts(s, d).where("sequence_number > 777").select(F.lit(0).alias("segment"), "sequence_number", "payout").unionByName(payouts(s, d).where("sequence_number < 777").select(F.lit(1).alias("segment"), "sequence_number", "payout")),
-    "set_union_all_refs": lambda s, d: table(s, d, "symbol_crop_samples").select(F.lit("sample").alias("kind"), F.col("crop_relative_path").alias("path")).unionByName(table(s, d, "cell_observations").select(F.lit("cell").alias("kind"), F.col("crop_relative_path").alias("path"))).unionByName(table(s, d, "recognized_boards").select(F.lit("board").alias("kind"), F.col("board_relative_path").alias("path"))).where("path is not null").groupBy("kind").agg(F.count("*").alias("refs"), F.count_distinct("path").alias("paths")),
     "set_distinct": lambda s, d: boards(s, d).select("sequence_number").distinct(),
     "set_group_distinct_limit2": lambda s, d: layouts(s, d).where(F.col("signature").startswith("0102")).select("signature").distinct().orderBy("signature").limit(2),
     "set_difference_py": lambda s, d: table(s, d, "symbol_crop_samples").select("observation_id").where("observation_id is not null").subtract(table(s, d, "cell_observations").select("id")),
-    "set_cte_dml": lambda s, d: table(s, d, "orders").join(table(s, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("most")).where("most < 200000").select("o_custkey"), "o_custkey", "left_semi").select("o_custkey", "o_orderkey"),
     # filters
     "flt_range_between": lambda s, d: boards(s, d).where("sequence_number is not null").groupBy(F.col("sequence_number").between(1, N_BOARDS).alias("inside")).agg(F.count("*").alias("n")),
     "flt_prefix_range": lambda s, d: layouts(s, d).where((F.col("signature") >= "0305") & (F.col("signature") < "0305:")).select("sequence_number", "signature"),
     "flt_equality": lambda s, d: table(s, d, "customer").where("c_custkey = 77").select("c_custkey", "c_name"),
     "flt_in_list": lambda s, d: table(s, d, "events").where(F.col("event_type").isin("error", "signup")).groupBy("event_type").agg(F.count("*").alias("n")),
     "flt_null_variant": lambda s, d: table(s, d, "source_images").groupBy(F.col("error_code").isNull().alias("fine"), F.col("processed_at").isNull().alias("open")).agg(F.count("*").alias("n")),
-    "flt_json_contains": lambda s, d: table(s, d, "board_candidates").where(F.array_contains("condition_tags", "glare")).select("observation_id").distinct(),
     "flt_optional_conjuncts": lambda s, d: optional(table(s, d, "orders"), o_orderstatus="F", o_orderpriority=None, o_custkey=None).agg(F.count("*").alias("n")),
     "flt_lexicographic": lambda s, d: table(s, d, "lineitem").where(F.struct("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber") > F.struct(F.lit(50).cast("bigint"), F.lit(1000).cast("bigint"), F.lit(7000).cast("bigint"), F.lit(2))).agg(F.count("*").alias("n")),
-    "flt_natural_reject": lambda s, d: table(s, d, "part").select("p_partkey").join(table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").agg(F.count("*").alias("referenced")),
     # projections
     "prj_case_stage": lambda s, d: boards(s, d).select("id", F.when(F.col("sequence_number").isNull(), "unnumbered").when(F.col("sequence_confidence") < 0.8, "doubtful").when(F.col("board_confidence") >= 0.9, "sure").otherwise(F.coalesce("status", F.lit("none"))).alias("stage")),
     "prj_json_extract": lambda s, d: table(s, d, "cell_observations").select("id", "prediction").distinct().select("id", F.get_json_object("prediction", "$.symbolCode").alias("symbol"), F.get_json_object("prediction", "$.confidence").try_cast("double").alias("confidence")),
@@ -157,20 +153,16 @@ SQL = {
     "page_cursor_codec": """SELECT o_orderkey, rtrim(translate(to_base64(encode('{"scope":"orders","after":' || o_orderkey || '}')), '+/', '-_'), '=') AS cursor, o_orderkey AS after FROM orders""",
     "sample_bounded": "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT l_partkey))[1:100], ',') AS sample, count(DISTINCT l_partkey) > 100 AS truncated FROM lineitem GROUP BY 1",
     "set_union_all_cyclic": f"WITH {PAYOUTS} SELECT 0 AS segment, sequence_number, payout FROM payouts WHERE sequence_number > 777 UNION ALL SELECT 1, sequence_number, payout FROM payouts WHERE sequence_number < 777",
-    "set_union_all_refs": "WITH r AS (SELECT 'sample' AS kind, crop_relative_path AS path FROM symbol_crop_samples UNION ALL SELECT 'cell', crop_relative_path FROM cell_observations UNION ALL SELECT 'board', board_relative_path FROM recognized_boards) SELECT kind, count(*) AS refs, count(DISTINCT path) AS paths FROM r WHERE path IS NOT NULL GROUP BY 1",
     "set_distinct": f"WITH {BOARDS} SELECT DISTINCT sequence_number FROM rb",
     "set_group_distinct_limit2": f"WITH {LAYOUTS} SELECT signature FROM boards WHERE starts_with(signature, '0102') GROUP BY 1 ORDER BY 1 LIMIT 2",
     "set_difference_py": "SELECT observation_id FROM symbol_crop_samples WHERE observation_id IS NOT NULL EXCEPT SELECT id FROM cell_observations",
-    "set_cte_dml": "WITH gone AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING max(o_totalprice) < 200000) SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM gone)",
     "flt_range_between": f"WITH {BOARDS} SELECT sequence_number BETWEEN 1 AND {N_BOARDS} AS inside, count(*) AS n FROM rb WHERE sequence_number IS NOT NULL GROUP BY 1",
     "flt_prefix_range": f"WITH {LAYOUTS} SELECT sequence_number, signature FROM boards WHERE signature >= '0305' AND signature < '0305:'",
     "flt_equality": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 77",
     "flt_in_list": "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1",
     "flt_null_variant": "SELECT error_code IS NULL AS fine, processed_at IS NULL AS open, count(*) AS n FROM source_images GROUP BY 1, 2",
-    "flt_json_contains": "SELECT DISTINCT observation_id FROM board_candidates WHERE list_contains(condition_tags, 'glare')",
     "flt_optional_conjuncts": "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'",
     "flt_lexicographic": "SELECT count(*) AS n FROM lineitem WHERE (l_suppkey, l_partkey, l_orderkey, l_linenumber) > (50, 1000, 7000, 2)",
-    "flt_natural_reject": "SELECT count(*) AS referenced FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)",
     "prj_case_stage": f"WITH {BOARDS} SELECT id, CASE WHEN sequence_number IS NULL THEN 'unnumbered' WHEN sequence_confidence < 0.8 THEN 'doubtful' WHEN board_confidence >= 0.9 THEN 'sure' ELSE coalesce(status, 'none') END AS stage FROM rb",
     "prj_json_extract": "SELECT id, prediction->>'$.symbolCode' AS symbol, (prediction->>'$.confidence')::double AS confidence FROM (SELECT DISTINCT id, prediction FROM cell_observations)",
     "prj_coalesce_resolved": f"WITH {BOARDS}, m AS (SELECT source_image_id, min(sequence_number) AS lowest FROM rb GROUP BY 1) SELECT DISTINCT id, coalesce(sequence_number, lowest) AS resolved FROM rb JOIN m USING (source_image_id)",

@@ -70,6 +70,28 @@ def insert_version(spark: SparkSession, folder: str, version: int, rows: DataFra
     return publish(insert_missing(open_version(spark, folder, version), rows, keys), folder, version + 1)
 
 
+def export_once(df: DataFrame, folder: str, state: str) -> bool:
+    """Write ``df`` as the export of the source state ``state`` (a digest), unless there is one: (whether it was written).
+    The manifest comes last, so an export that was broken off does not count and is written again."""
+    spark = df.sparkSession
+    if read_text(spark, f"{folder}/export-{state}.json") is not None:
+        return False
+    df.write.mode("overwrite").parquet(f"{folder}/state={state}")
+    rows = spark.read.parquet(f"{folder}/state={state}").count()
+    write_text(spark, f"{folder}/export-{state}.json", json.dumps({"rows": rows, "state": state, "schema": json.loads(df.schema.json())}, sort_keys=True))
+    return True
+
+
+def open_export(spark: SparkSession, folder: str, state: str) -> DataFrame:
+    """The export of a source state; an error where there is none."""
+    from pyspark.sql.types import StructType
+
+    text = read_text(spark, f"{folder}/export-{state}.json")
+    if text is None:
+        raise ValueError(f"there is no export of {state}")
+    return spark.read.schema(StructType.fromJson(json.loads(text)["schema"])).parquet(f"{folder}/state={state}")
+
+
 def write_audit(evaluated: DataFrame, path: str) -> None:
     """One JSON line a layout, with all matches, in files by range of the number."""
     line = F.to_json(F.struct("sequence_number", "payout", "matches"))
