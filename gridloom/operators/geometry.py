@@ -41,15 +41,15 @@ def golden_join(golden: DataFrame, detected: DataFrame) -> DataFrame:
 def geometry_quality(golden: DataFrame, detected: DataFrame) -> DataFrame:
     """One row over ``golden(image, position, quad, diagonal)``: images, shares of images with any detection and with
     exactly the expected positions, the share of positions found, and the nearest-rank p95 of the corner error as a share
-    of the page's diagonal, where each corner of a board that is not matched counts as 1."""
+    of the page's diagonal, where each corner of a board that is not matched counts as 1. Shares of nothing are null."""
     j = golden_join(golden, detected)
     extra = detected.select("image", "position").distinct().join(golden.select("image", "position"), ["image", "position"], "left_anti").groupBy("image").agg(F.count("*").alias("extra"))
     any_ = detected.select("image").distinct().withColumn("_any", F.lit(True))
     per = j.groupBy("image").agg(F.count("*").alias("n"), F.count_if(F.col("matches") >= 1).alias("found")).join(extra, "image", "left").join(any_, "image", "left")
     shares = per.agg(
-        F.count("*").alias("images"), F.round(F.count("_any") / F.count("*"), 6).alias("detected_share"),
-        F.round(F.count_if((F.col("n") == F.col("found")) & F.col("extra").isNull()) / F.count("*"), 6).alias("expected_share"),
-        F.round(F.sum("found") / F.sum("n"), 6).alias("position_accuracy"),
+        F.count("*").alias("images"), F.round(F.try_divide(F.count("_any"), F.count("*")), 6).alias("detected_share"),
+        F.round(F.try_divide(F.count_if((F.col("n") == F.col("found")) & F.col("extra").isNull()), F.count("*")), 6).alias("expected_share"),
+        F.round(F.try_divide(F.sum("found"), F.sum("n")), 6).alias("position_accuracy"),
     )
     share = F.coalesce(F.transform("errors", lambda e: F.round(e / F.col("diagonal"), 6)), F.array_repeat(F.lit(1.0), 4))
     errors = j.select(F.explode(share).alias("error")).agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY error)").alias("p95"))

@@ -1,4 +1,4 @@
-"""Picking a batch of records that are uncertain, different from each other, from unseen sources and rare."""
+"""Picking boards to look at: uncertain, unlike each other, from unseen sources, of rare classes."""
 
 from __future__ import annotations
 
@@ -7,39 +7,60 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.measures import dot, norm
+from gridloom.functions.measures import entropy, jensen_shannon
 from gridloom.runtime import cut
 
-# The weights of the four parts of the score.
+# The weights of the four parts of the score, and how many of a board's cells make its uncertainty.
 UNCERTAINTY, DIVERSITY, NOVELTY, RARITY = 0.65, 0.15, 0.15, 0.05
+WORST_CELLS = 5
 
 
-def select_batch(candidates: DataFrame, k: int) -> DataFrame:
-    """``(round, id, score)``: ``k`` records of ``candidates(id, vector, source, uncertainty, rarity)``, one a round.
+def board_features(cells: DataFrame, per_board: int = 15) -> DataFrame:
+    """``(id, source, sequence_number, base, mean)`` of ``cells(id, source, sequence_number, cell, probabilities)``.
 
-    A round is one pass over the candidates: it scores all of them, takes the best (of equals the smallest id), and
-    brings every candidate's distance to the nearest taken one up to date. Taken are at most ``k`` vectors, so only
-    those are literals. Diversity is one minus the largest cosine with a taken record (1 in the first round), novelty
-    1 for a source nothing was taken of. Null and zero vectors have the diversity 0; null numbers count as 0.
+    ``base`` is the weighted sum of what does not depend on the choice: the mean entropy of the least certain cells, and
+    how rare the board's likeliest classes are among all cells. ``mean`` is the mean of the probabilities. Only boards of
+    exactly ``per_board`` distinct cells with probabilities come out; repeated cells with equal content count once.
     """
-    z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    vector = F.transform("vector", lambda x: x.cast("double"))
-    pool = candidates.select("id", vector.alias("v"), "source", (UNCERTAINTY * z("uncertainty") + RARITY * z("rarity")).alias("base"))
-    pool = pool.withColumn("norm", norm(F.col("v"))).select("id", "source", "base", F.when(F.col("norm") > 0, F.transform("v", lambda x: x / F.col("norm"))).alias("vector"))
-    pool = cut(pool, "selection-pool")
+    p = F.col("probabilities")
+    c = cells.where(p.isNotNull()).select("id", "source", "sequence_number", "cell", p, entropy(p).alias("h"), (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("top")).distinct()
+    whole = c.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("cell").alias("k")).where((F.col("n") == per_board) & (F.col("k") == per_board)).select("id")
+    c = cut(c.join(whole, "id", "left_semi"), "selection-cells")
+    often = c.groupBy("top").agg(F.count("*").alias("often"))  # a row a class
+    most = often.agg(F.max("often").alias("most"))
+    c = c.join(often.join(most), "top").withColumn("rare", 1 - F.col("often") / F.col("most"))
+    b = c.groupBy("id").agg(
+        F.first("source").alias("source"), F.first("sequence_number").alias("sequence_number"), F.avg("rare").alias("rare"),
+        F.sort_array(F.collect_list("h"), asc=False).alias("h"), F.collect_list("probabilities").alias("p"),  # per_board rows at most
+    )
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    mean = F.aggregate(F.slice("p", 2, per_board - 1), F.get("p", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda u, v: u + v))
+    sure = total(F.slice("h", 1, WORST_CELLS)) / F.least(F.size("h"), F.lit(WORST_CELLS))
+    return b.select("id", "source", "sequence_number", (UNCERTAINTY * sure + RARITY * F.col("rare")).alias("base"), F.transform(mean, lambda x: x / per_board).alias("mean"))
+
+
+def select_boards(cells: DataFrame, k: int, per_board: int = 15) -> DataFrame:
+    """``(rank, id, score)``: ``k`` boards, one after the other.
+
+    Each time the board of the highest score is taken: its base, how far its mean is from those taken (the smallest
+    Jensen-Shannon divergence, 1 for the first), and whether its source is new. While there is a board of a source of which
+    none was taken, boards of other sources are passed over. Of equal scores the smaller number, then the smaller id.
+    A round is one pass over the boards with one row back, so the boards taken (at most ``k``) are all that is a literal.
+    A null source is a source of its own; without boards there are no rows.
+    """
+    pool = cut(board_features(cells, per_board).withColumn("source", F.coalesce("source", F.lit(""))), "selection-pool")
     taken: list = []
     for _ in range(k):
-        # A vector is one literal; all vectors are of length one, so their product is the cosine.
-        literal = lambda v: F.from_json(F.lit(json.dumps(v)), "array<double>")
-        near = [dot(F.col("vector"), literal(r["vector"])) for r in taken if r["vector"] is not None]
-        far = F.lit(1.0) if not near else F.lit(1.0) - (F.greatest(*near) if len(near) > 1 else near[0])
-        diversity = F.when(F.col("vector").isNull(), 0.0).otherwise(far)
-        seen = list({r["source"] for r in taken if r["source"] is not None})
-        novelty = F.when(F.col("source").isNull() | F.col("source").isin(seen), 0.0).otherwise(1.0) if seen else F.when(F.col("source").isNull(), 0.0).otherwise(1.0)
+        far = [jensen_shannon(F.col("mean"), F.from_json(F.lit(json.dumps(r["mean"])), "array<double>")) for r in taken]
+        diversity = F.lit(1.0) if not far else far[0] if len(far) == 1 else F.least(*far)
+        new = ~F.col("source").isin(sorted({r["source"] for r in taken})) if taken else F.lit(True)
         left = pool.where(~F.col("id").isin([r["id"] for r in taken])) if taken else pool
-        scored = left.withColumn("score", F.round(F.col("base") + DIVERSITY * diversity + NOVELTY * novelty, 9))
-        best = scored.agg(F.max_by(F.struct("id", "vector", "source", "score"), F.struct("score", -F.col("id"))).alias("r")).first()["r"]
-        if best is None:
+        scored = left.withColumn("score", F.col("base") + DIVERSITY * diversity + F.when(new, NOVELTY).otherwise(0.0)).withColumn("new", new)
+        row, key = F.struct("id", "source", "mean", "score"), F.struct(-F.col("score"), "sequence_number", "id")
+        best = scored.agg(F.min_by(row, F.when(F.col("new"), key)).alias("unseen"), F.min_by(row, key).alias("any"), F.count_if("new").alias("n")).first()
+        one = best["unseen"] if best["n"] else best["any"]
+        if one is None:
             break
-        taken.append(best)
-    return candidates.sparkSession.createDataFrame([(i + 1, r["id"], r["score"]) for i, r in enumerate(taken)], "round int, id bigint, score double")
+        taken.append(one)
+    kind = cells.schema["id"].dataType.simpleString()
+    return cells.sparkSession.createDataFrame([(i + 1, r["id"], r["score"]) for i, r in enumerate(taken)], f"rank int, id {kind}, score double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import digest_key, path_key
+from gridloom.functions.measures import set_digest
 from gridloom.operators import evaluation as E
 from gridloom.operators import relational as R
 from gridloom.operators.boards import check_sequence
@@ -99,15 +100,6 @@ def _boundary(s, d):
     return E.compare_boundaries(expected, found, ["user_id"])
 
 
-def set_digest(row):
-    """Aggregates of a digest of all rows that does not depend on their order: the SHA-256 of each row's text is cut into
-    five numbers, which are summed; the sums and the count are hashed again. Sums have partial steps, so no rows are
-    brought together."""
-    h = F.sha2(row, 256)
-    parts = [F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(5)]
-    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256)
-
-
 def _checksum(s, d):
     """A digest of all payouts, and their number."""
     row = F.concat_ws(":", F.col("sequence_number").cast("string"), F.col("payout").cast("string"))
@@ -120,10 +112,6 @@ def _source_state(s, d):
     return images(s, d).groupBy("import_job_id").agg(set_digest(row).alias("state"))
 
 
-def _ext(c):
-    return F.when(c.contains("."), F.element_at(F.split(c, r"\."), -1)).otherwise("")
-
-
 def _samples(s, d):
     return table(s, d, "symbol_crop_samples")
 

@@ -9,10 +9,10 @@ from gridloom.functions.signature import cell_width, cyclic_next, decode_signatu
 from gridloom.operators import integrity as I
 from gridloom.operators import relational as R
 from gridloom.operators.bad_rows import load_layout_lines
-from gridloom.operators.ordering import row_numbers
-from gridloom.operators.selection import select_batch
+from gridloom.operators.evaluation import fit_temperature
+from gridloom.operators.selection import select_boards
 from gridloom.plans.common import GAME, LAYOUTS, layouts
-from gridloom.plans.evaluation import CELLS, cells
+from gridloom.plans.evaluation import cells
 from gridloom.plans.windows import BOARDS, boards
 from gridloom.runtime import cut, table
 
@@ -106,11 +106,21 @@ def _suggest(s, d):
 
 
 def _active(s, d):
-    """Ten vectors by uncertainty (entropy of their softmax), diversity, unseen label and rarity of the label."""
-    e = table(s, d, "embeddings")
-    rare = e.groupBy("label").agg((1.0 / F.count("*")).alias("rarity"))
-    c = e.join(rare, "label").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("source"), F.round(M.entropy(M.softmax(F.transform("embedding", lambda x: x.cast("double")), 0.1)), 9).alias("uncertainty"), "rarity")
-    return select_batch(c, 10)
+    """Ten boards to look at. A cell's probabilities are its confidence for the predicted code and the rest in equal parts
+    for all others; a cell without a prediction is even."""
+    c = R.latest_by(cells(s, d).select("recognized_board_id", (F.col("row_index") * 5 + F.col("column_index")).alias("cell"), "predicted", "confidence"), ["recognized_board_id", "cell"], F.col("confidence"), F.col("predicted"))
+    codes = sorted(r[0] for r in c.where("predicted is not null").select("predicted").distinct().collect())  # of a game, 32,767 at most
+    n, sure = len(codes), F.coalesce("confidence", F.lit(1.0 / max(1, len(codes))))
+    p = F.transform(F.array(*map(F.lit, codes)), lambda x: F.when(F.col("predicted").isNull(), 1.0 / n).when(x == F.col("predicted"), sure).otherwise((1 - sure) / (n - 1)))
+    b = boards(s, d).groupBy(F.col("id").alias("recognized_board_id")).agg(F.min("source_image_id").alias("source"), F.max("sequence_number").alias("sequence_number"))
+    j = c.join(b, "recognized_board_id").where("sequence_number > 0")
+    return select_boards(j.select(F.col("recognized_board_id").alias("id"), "source", "sequence_number", "cell", p.alias("probabilities")), 10).withColumn("score", F.round("score", 6))
+
+
+def _temperature(s, d):
+    """The temperature at which the embeddings, read as logits, are calibrated for their labels."""
+    e = table(s, d, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"))
+    return s.createDataFrame([(round(fit_temperature(e), 6),)], "temperature double")
 
 
 def _n(s, d):
@@ -126,6 +136,7 @@ QUERIES = {
     "dom_completeness": lambda s, d: I.completeness(boards(s, d), _n(s, d)),
     "dom_suggest_eval": _suggest,
     "dom_active_learning": _active,
+    "fn_temperature": _temperature,
     "fn_signature": _signatures,
     "fn_vectors": _vectors,
     "fn_strings": _strings,

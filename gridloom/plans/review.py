@@ -12,7 +12,7 @@ from gridloom.operators import integrity as I
 from gridloom.operators import relational as R
 from gridloom.operators.boards import evaluate_payouts
 from gridloom.plans.common import GAME, LAYOUTS, PAYOUTS, layouts
-from gridloom.plans.evaluation import CELLS, cells, set_digest
+from gridloom.plans.evaluation import CELLS, cells
 from gridloom.plans.windows import BOARDS, IMAGES, boards, images
 from gridloom.runtime import new_path, table
 from gridloom.sources import sinks
@@ -180,7 +180,7 @@ def _feedback(s, d):
     """Boards with their cells as one row a cell, labelled by the board's reading. The export is known by the state of its
     source, so asking for it twice writes it once."""
     b = table(s, d, "recognized_boards").groupBy("id").agg(F.max("cells_prediction").alias("codes"))
-    state = b.agg(set_digest(F.concat_ws("|", "id", "codes"))).first()[0]
+    state = b.agg(M.set_digest(F.concat_ws("|", "id", "codes"))).first()[0]
     codes = F.from_json("codes", "array<string>")
     rows = b.select("id", F.posexplode(F.arrays_zip(F.sequence(F.lit(0), F.size(codes) - 1).alias("cell"), codes.alias("code"))).alias("p", "z")).select("id", F.col("z.cell").alias("cell"), F.col("z.code").alias("code"))
     folder = new_path(s, "feedback")

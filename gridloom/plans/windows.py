@@ -31,10 +31,6 @@ LINES = "ll AS (SELECT DISTINCT job_id, line_number, file_format FROM layout_imp
 N_BOARDS = 500
 
 
-def _lines(s, d):
-    return table(s, d, "layout_import_lines").select("job_id", "line_number", "file_format").distinct()
-
-
 def _rank_source(s, d):
     b = boards(s, d).where("sequence_number is not null").join(images(s, d).select(F.col("id").alias("source_image_id"), "width", "height").groupBy("source_image_id").agg(F.max(F.col("width") * F.col("height")).alias("area")), "source_image_id")
     return R.top_k(b, ["sequence_number"], 1 << 30, F.col("board_confidence").desc_nulls_last(), F.col("sequence_confidence").desc_nulls_last(), F.desc("area"), F.asc("id")).select("sequence_number", "id", "rank")

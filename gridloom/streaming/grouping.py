@@ -82,7 +82,7 @@ class Grouper:
         return done
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
     types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in OUT.split(", ")])
 
@@ -93,37 +93,24 @@ def group_observations(df: DataFrame) -> DataFrame:
     A run is sequential by nature, so it is one task's; but it is streamed through it, sorted by the shuffle, and
     never held. Null fingerprints differ from every other; null qualities and geometries are 0.
     """
-    return _grouped(df, None)
-
-
-def resumed(df: DataFrame) -> DataFrame:
-    """As :func:`group_observations`, but beyond ``middle`` (a column) the state is stored and loaded again for every
-    observation, as after interruptions."""
-    return _grouped(df, "middle")
-
-
-def _grouped(df: DataFrame, stop: str | None) -> DataFrame:
-    import pickle
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, grouper, out = None, None, []
         for batch in batches:
-            for r, order, print_, quality, geometry, middle in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if grouper is not None and r == name and middle is not None and order > middle:
-                    grouper = Grouper(pickle.loads(pickle.dumps(grouper.state)))
+            for r, order, print_, quality, geometry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if grouper is None or r != name:
                     if grouper is not None:
                         out += [(name, *g) for g in grouper.finish()]
                     name, grouper = r, Grouper()
                 out += [(name, *g) for g in grouper.feed((order, print_ or "", quality or 0.0, geometry or 0.0))]
             if len(out) > 5000:
-                yield _batch(out)
+                yield rows_of(out)
                 out = []
         if grouper is not None:
             out += [(name, *g) for g in grouper.finish()]
-        yield _batch(out)
+        yield rows_of(out)
 
-    src = df.selectExpr("cast(run as string) run", "cast(`order` as bigint) `order`", "fingerprint", "cast(quality as double) quality", "cast(geometry as double) geometry", f"cast({stop or 'null'} as bigint) middle")
+    src = df.selectExpr("cast(run as string) run", "cast(`order` as bigint) `order`", "fingerprint", "cast(quality as double) quality", "cast(geometry as double) geometry")
     return src.repartition("run").sortWithinPartitions("run", "order").mapInArrow(run, OUT)
 
 

@@ -1,5 +1,8 @@
 import math
 import random
+from collections import Counter
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
@@ -143,24 +146,60 @@ def test_keys_and_measures(spark):
     assert [x[0] for x in names.orderBy(M.natural_key(F.col("n"))).collect()] == ["B1", "b9", "b10"]
 
 
-def test_batch_selection_against_plain_greedy(spark):
-    from gridloom.operators.selection import select_batch
-
-    rng = random.Random(5)
-    pool = [(i, [rng.gauss(0, 1) for _ in range(3)], rng.choice(["a", "b", None]), rng.random(), rng.random()) for i in range(30)] + [(30, None, "c", None, None)]
-    got = [(r["id"]) for r in select_batch(spark.createDataFrame(pool, "id bigint, vector array<double>, source string, uncertainty double, rarity double"), 6).orderBy("round").collect()]
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
-    taken = []
-    for _ in range(6):
-        def score(r):
-            div = 0.0 if r[1] is None else 1.0 - max([cos(r[1], t[1]) for t in taken if t[1]], default=0.0)
-            nov = 0.0 if r[2] is None or r[2] in {t[2] for t in taken} else 1.0
-            return 0.65 * (r[3] or 0) + 0.15 * div + 0.15 * nov + 0.05 * (r[4] or 0)
-        taken.append(max((r for r in pool if r not in taken), key=lambda r: (round(score(r), 9), -r[0])))
-    assert got == [t[0] for t in taken]
-    assert select_batch(spark.createDataFrame([], "id bigint, vector array<double>, source string, uncertainty double, rarity double"), 3).count() == 0
-
-
+def shannon(p, q):
+    m = (p + q) / 2
+    part = lambda a: float(sum(x * math.log2(x / y) for x, y in zip(a, m) if x > 0))
+    return (part(p) + part(q)) / 2
+
+
+def plain_boards(boards, k):
+    """(id, score) one after the other; boards: id -> (source, number, 15 x classes)."""
+    top = {i: b[2].argmax(1) for i, b in boards.items()}
+    often = Counter(int(x) for t in top.values() for x in t)
+    base = {}
+    for i, (_, _, p) in boards.items():
+        h = sorted((-(np.where(r > 0, r * np.log(np.maximum(r, 1e-15)), 0)).sum() / math.log(len(r)) for r in p), reverse=True)
+        base[i] = 0.65 * sum(h[:5]) / 5 + 0.05 * sum(1 - often[int(x)] / max(often.values()) for x in top[i]) / 15
+    out, left = [], dict(boards)
+    while left and len(out) < k:
+        seen = {boards[i][0] for i, _ in out}
+        fresh = {i: b for i, b in left.items() if b[0] not in seen} or left
+        score = {i: base[i] + 0.15 * min([shannon(b[2].mean(0), boards[j][2].mean(0)) for j, _ in out], default=1.0) + (0.15 if b[0] not in seen else 0) for i, b in fresh.items()}
+        best = min(fresh, key=lambda i: (-round(score[i], 9), boards[i][1], i))
+        out.append((best, score[best]))
+        del left[best]
+    return out
+
+
+def test_boards_to_look_at_one_after_the_other(spark):
+    from gridloom.operators.selection import select_boards
+
+    rng = np.random.default_rng(7)
+    boards = {f"b{i:02d}": (f"s{i % 6}", i + 1, rng.dirichlet(np.ones(4) * 0.4, 15)) for i in range(20)}
+    cells = [(i, s, n, c, [float(x) for x in p[c]]) for i, (s, n, p) in boards.items() for c in range(15)]
+    cells += [("short", "s9", 99, c, [0.25] * 4) for c in range(14)] + [("none", "s9", 98, c, None) for c in range(15)] + cells[:20]
+    schema = "id string, source string, sequence_number bigint, cell int, probabilities array<double>"
+    got = [(r["id"], r["score"]) for r in select_boards(spark.createDataFrame(cells, schema), 12).orderBy("rank").collect()]
+    want = plain_boards(boards, 12)
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, want))
+    assert len({boards[i][0] for i, _ in got[:6]}) == 6  # every source comes before one comes twice
+    assert select_boards(spark.createDataFrame([], schema), 3).count() == 0
+
+
+def test_temperature_is_that_of_a_fine_search(spark):
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(300, 4)) * 3
+    label = [int(rng.choice(4, p=np.exp(r / 2.5) / np.exp(r / 2.5).sum())) for r in z]
+
+    def loss(t):
+        y = z / t
+        return float(np.mean(np.log(np.exp(y - y.max(1, keepdims=True)).sum(1)) - (y - y.max(1, keepdims=True))[np.arange(300), label]))
+
+    best = min(np.exp(np.linspace(math.log(0.05), math.log(20), 20_001)), key=loss)
+    df = spark.createDataFrame([([float(x) for x in r], y) for r, y in zip(z, label)] + [(None, 1), ([1.0], 0), ([1.0, 2.0], 7)], "logits array<double>, label int")
+    t = E.fit_temperature(df)
+    assert abs(t - best) < 2e-3 and loss(t) <= loss(best) + 1e-9
+    assert E.fit_temperature(df.limit(0)) == 1.0
 def test_natural_keys_of_long_numbers(spark):
     from gridloom.functions.measures import natural_key
 
