@@ -64,6 +64,29 @@ def write_files(files: DataFrame, folder: str, path_col: str = "path", content_c
     files.select(path_col, content_col).mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
 
 
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(path)`` of the files without content below ``root``, which Spark's own scans pass over. The folders of the first
+    level are walked by a task each."""
+    from pyarrow import fs
+
+    where, top = fs.FileSystem.from_uri(root)
+    first = [f for f in where.get_file_info(fs.FileSelector(top, allow_not_found=True)) if not f.base_name.startswith((".", "_"))]
+    folders = [(f.path,) for f in first if f.type == fs.FileType.Directory]
+    found = [(f.base_name,) for f in first if f.type == fs.FileType.File and f.size == 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                names = [f.path[len(top) + 1 :] for f in where.get_file_info(fs.FileSelector(folder, recursive=True)) if f.type == fs.FileType.File and f.size == 0]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n in names if not any(x[:1] in "._" for x in n.split("/"))], pa.string())], names=["path"])
+
+    walked = spark.createDataFrame(folders, "path string").repartition(max(1, min(len(folders), spark.sparkContext.defaultParallelism))).mapInArrow(run, "path string")
+    return walked.unionByName(spark.createDataFrame(found, "path string"))
+
+
 def discover_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, issues, ignored) of all files below ``folder``.
 
@@ -78,7 +101,8 @@ def discover_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
     supported = extension.isin(*SUPPORTED)
-    heads = scan.select(path.alias("path"), extension.alias("extension"))
+    empty = empty_files(spark, root)
+    heads = scan.select(path.alias("path"), extension.alias("extension")).unionByName(empty.select("path", extension.alias("extension")))
     ignored = heads.agg(F.count_if(~F.col("extension").isin(*SUPPORTED, *IMAGE_LIKE)).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +114,9 @@ def discover_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     read = scan.where(supported).select(path.alias("path"), "content").mapInArrow(run, "path string, sha256 string, width int, height int")
     files = F.transform(F.array_sort(F.collect_list(F.struct(F.lower("path").alias("k"), "path"))), lambda x: x["path"])
     images = read.where("width is not null").groupBy("sha256").agg(F.first("width").alias("width"), F.first("height").alias("height"), files.alias("files"))
-    issues = heads.where(F.col("extension").isin(*IMAGE_LIKE)).select("path", F.lit(UNSUPPORTED).alias("code")).unionByName(read.where("width is null").select("path", F.lit(UNREADABLE).alias("code")))
+    issues = heads.where(F.col("extension").isin(*IMAGE_LIKE)).select("path", F.lit(UNSUPPORTED).alias("code"))
+    broken = read.where("width is null").select("path").unionByName(empty.where(supported))
+    issues = issues.unionByName(broken.select("path", F.lit(UNREADABLE).alias("code")))
     return images, issues, ignored
 
 
