@@ -13,7 +13,7 @@ from gridloom.operators.boards import evaluate_payouts
 from gridloom.plans.common import GAME, LAYOUTS, PAYOUTS, layouts, payouts
 from gridloom.plans.repair import _PLACE
 from gridloom.plans.windows import BOARDS, boards
-from gridloom.runtime import cut, new_path, table
+from gridloom.runtime import cut, new_path, qualified, table
 from gridloom.sources import sinks
 from gridloom.sources.files import attest_files, discover_images, publish_curated, write_files
 from gridloom.sources.generators import affine_layouts, mock_layouts
@@ -24,21 +24,17 @@ from gridloom.streaming.imports import import_stream
 from gridloom.streaming.validation import validation_progress, validation_stream
 
 
-def _local(path):
-    return path.removeprefix("file://")
-
-
 def _files(s, d, kind, folder=None):
     """The import files of the table as real files, one a job, and their lines read back by the line source."""
     lines = table(s, d, "layout_import_lines").where(F.col("file_format") == kind)
     lines = R.latest_by(lines.select("job_id", "line_number", "raw_line", "received_at"), ["job_id", "line_number"], F.col("received_at"), F.col("raw_line"))
-    folder = folder or _local(new_path(s, f"files-{kind}"))
+    folder = folder or qualified(s, new_path(s, f"files-{kind}"))
     sinks.write_line_files(lines, folder, "job_id", "line_number", "raw_line", kind)
     return folder
 
 
 def _parsed(s, d, kind):
-    got = read_lines(s, _files(s, d, kind), split_bytes=4096)
+    got = read_lines(s, _files(s, d, kind), split_bytes=1 << 16)
     job = F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1)
     loaded = load_layout_lines(got.select(job.alias("job_id"), "line_number", F.lit(kind).alias("file_format"), judged_line().alias("raw_line")))
     ok = loaded.valid.select("job_id", "line_number", "sequence_number", F.concat_ws(",", F.transform("cells", lambda c: c.cast("string"))).alias("cells"), F.lit(None).cast("string").alias("error_code"))
@@ -186,11 +182,10 @@ def _dispatch(s, d):
 
 
 def _import(s, d):
-    """Every job of both formats imported as one stream of micro-batches, of each file 100 lines, and what is staged
-    then."""
+    """Every job of both formats imported as one stream of micro-batches, of each file a megabyte, and what is staged then."""
     target, folder = new_path(s, "staged"), _files(s, d, "csv")
     _files(s, d, "jsonl", folder)
-    q = import_stream(s, folder, None, None, target, new_path(s, "stream-checkpoint"), batch_lines=100)
+    q = import_stream(s, folder, None, None, target, new_path(s, "stream-checkpoint"), batch_bytes=1 << 20)
     try:
         q.processAllAvailable()
     finally:
@@ -275,7 +270,7 @@ QUERIES = {
     "stm_checkpoint_resume": _resume,
     "src_csv_layouts": lambda s, d: _parsed(s, d, "csv"),
     "src_jsonl_layouts": lambda s, d: _parsed(s, d, "jsonl"),
-    "src_line_stream": lambda s, d: read_lines(s, _files(s, d, "csv"), split_bytes=1000).groupBy(F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1).alias("job_id")).agg(F.count("*").alias("n"), F.max("line_number").alias("last_line"), F.max("byte_offset_end").alias("bytes")),
+    "src_line_stream": lambda s, d: read_lines(s, _files(s, d, "csv"), split_bytes=1 << 16).groupBy(F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1).alias("job_id")).agg(F.count("*").alias("n"), F.max("line_number").alias("last_line"), F.max("byte_offset_end").alias("bytes")),
     "src_file_attest": _attest,
     "snk_curated_output": _curated,
     "stm_validation_cursor": _validation,

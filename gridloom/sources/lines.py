@@ -1,149 +1,206 @@
 """Physical lines of files as a data source, with their numbers and byte offsets, in batch and as a stream.
 
-A file is cut into byte ranges that are read in parallel; a line belongs to the range in which it begins. Numbers
-within a range become numbers of the file by adding the lines of the ranges before, a small table. Lines longer
-than ``max_line_bytes`` are passed over without being held; they come out as null with ``too_large``.
+A file is cut into byte ranges that tasks read in large pieces; a line belongs to the range in which it begins. Numbers
+within a range become numbers of the file by adding the lines of the ranges before, a small table that comes from counting
+newlines. Lines longer than ``max_line_bytes`` are passed over without being held; they come out as null with
+``too_large``. The stream's offsets are byte positions, so the driver looks at sizes and the ends of files only.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, range_start bigint, line_in_range bigint, byte_offset_end bigint, raw_line binary, too_large boolean"
 MAX_LINE_BYTES = 1 << 20
+SPLIT_BYTES = 64 << 20
 
 
 def line_source() -> type:
     """The data source class. It is made in here, so that it is pickled by value and needs nothing on a worker."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+    import json
+
+    from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-    HELD = 64 << 20
+    PIECE, BATCH_ROWS, BATCH_BYTES = 1 << 20, 4096, 8 << 20
 
     class Range(InputPartition):
-        def __init__(self, path: str, start: int, end: int):
-            self.path, self.start, self.end = path, start, end
-
-    def physical(f, most: int):
-        """(line without its newline or None, whether it is too large, bytes used) until the end of the file."""
-        while True:
-            line = f.readline(most + 1)
-            if not line:
+        """Bytes ``start`` to ``end`` of a file; ``fresh``: a line begins at ``start`` whatever stands before it."""
+
+        def __init__(self, path: str, start: int, end: int, fresh: bool = False):
+            self.path, self.start, self.end, self.fresh = path, start, end, fresh
+
+    def opened(path: str):
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        return where.open_input_file(name)
+
+    def files(path: str) -> dict[str, int]:
+        """Sizes of the files that ``path``, a file, a folder or a pattern, names."""
+        import fnmatch
+
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        scheme = path[: len(path) - len(name)] if "://" in path else ""
+        shown = lambda f: not any(x[:1] in ("_", ".") for x in f.path[len(base) :].split("/"))
+        one, base = where.get_file_info(name), name
+        if one.type == fs.FileType.File:
+            return {path: one.size}
+        if one.type == fs.FileType.Directory:
+            found = where.get_file_info(fs.FileSelector(name, recursive=True))
+        else:
+            base = name[: min([i for i in (name.find(c) for c in "*?[") if i >= 0], default=len(name))].rpartition("/")[0]
+            found = [f for f in where.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if fnmatch.fnmatchcase(f.path, name) and f.path.count("/") == name.count("/")]
+        return {scheme + f.path: f.size for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and shown(f)}
+
+    def after_newline(f, at: int, size: int) -> int:
+        """The place behind the first newline at ``at`` or later; the end of the file if there is none."""
+        f.seek(at)
+        while at < size:
+            piece = f.read(PIECE)
+            found = piece.find(b"\n")
+            if found >= 0:
+                return at + found + 1
+            if not piece:
+                break
+            at += len(piece)
+        return size
+
+    def last_newline(f, low: int, size: int) -> int:
+        """The place behind the last newline before ``size``; ``low`` if there is none after it."""
+        at = size
+        while at > low:
+            start = max(low, at - PIECE)
+            f.seek(start)
+            found = f.read(at - start).rfind(b"\n")
+            if found >= 0:
+                return start + found + 1
+            at = start
+        return low
+
+    def physical(f, start: int, end: int, most: int):
+        """(line without its newline or None, whether it is too large, its end) of the lines that begin before ``end``."""
+        f.seek(start)
+        held, dropped = b"", 0
+        while start < end:
+            piece, i = f.read(PIECE), 0
+            if not piece:
+                if held or dropped:
+                    yield (None, True, start + dropped + len(held)) if dropped else (held, False, start + len(held))
                 return
-            used = len(line)
-            if line[-1:] != b"\n" and used > most:
-                while line and line[-1:] != b"\n":
-                    line = f.readline(1 << 16)
-                    used += len(line)
-                yield None, True, used
-            else:
-                yield line[:-1] if line[-1:] == b"\n" else line, False, used
-
-    def files(path: str) -> list[str]:
-        import glob
-        import os
-
-        if os.path.isfile(path):
-            return [path]
-        found = [p for p in sorted(glob.glob(path)) if os.path.isfile(p)] if not os.path.isdir(path) else []
-        if os.path.isdir(path):
-            found = sorted(os.path.join(r, n) for r, _, names in os.walk(path) for n in names if not n.startswith(("_", ".")))
-        return found
+            while True:
+                j = piece.find(b"\n", i)
+                if j < 0:
+                    rest = piece[i:]
+                    if dropped or len(held) + len(rest) > most:
+                        held, dropped = b"", dropped + len(held) + len(rest)
+                    else:
+                        held += rest
+                    break
+                size = dropped + len(held) + j - i
+                large = dropped > 0 or size > most
+                start += size + 1
+                yield (None if large else held + piece[i:j]), large, start
+                held, dropped, i = b"", 0, j + 1
+                if start >= end:
+                    return
+
+    def batches(part: Range, most: int):
+        import pyarrow as pa
+
+        def made(rows: list[tuple]):
+            n = len(rows)
+            columns = [pa.array([part.path] * n, pa.string()), pa.array([part.start] * n, pa.int64()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.bool_()))]]
+            return pa.RecordBatch.from_arrays(columns, names=["path", "range_start", "line_in_range", "byte_offset_end", "raw_line", "too_large"])
+
+        with opened(part.path) as f:
+            at = part.start if part.fresh or not part.start else after_newline(f, part.start - 1, f.size())
+            rows, held = [], 0
+            for n, (line, large, end) in enumerate(physical(f, at, min(part.end, f.size()), most), start=1):
+                rows.append((n, end, line, large))
+                held += len(line or b"")
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
+
+    def counted(part: Range):
+        """One row: how many lines begin in the range, which is how many newlines come right before one of its bytes."""
+        import pyarrow as pa
+
+        n, at = int(part.start == 0), max(0, part.start - 1)
+        with opened(part.path) as f:
+            f.seek(at)
+            while at < part.end - 1:
+                piece = f.read(min(PIECE, part.end - 1 - at))
+                if not piece:
+                    break
+                n, at = n + piece.count(b"\n"), at + len(piece)
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part.path, part.start, n, None, None, None), types, strict=True)], names=["path", "range_start", "line_in_range", "byte_offset_end", "raw_line", "too_large"])
 
     class Reader(DataSourceReader):
         def __init__(self, options):
             self.path, self.split = options["path"], int(options.get("split_bytes", 64 << 20))
-            self.most = int(options.get("max_line_bytes", 1 << 20))
+            self.most, self.count = int(options.get("max_line_bytes", 1 << 20)), options.get("count_only", "false") == "true"
 
         def partitions(self):
-            import os
-
-            out = []
-            for p in files(self.path):
-                size = os.path.getsize(p)
-                out += [Range(p, at, min(size, at + self.split)) for at in range(0, size, self.split)]
+            out = [Range(p, at, min(size, at + self.split)) for p, size in files(self.path).items() for at in range(0, size, self.split)]
             return out or [Range("", 0, 0)]
 
         def read(self, partition):
-            if not partition.path:
-                return
-            with open(partition.path, "rb") as f:
-                at = partition.start
-                if at:  # a line that began before belongs to the range before
-                    f.seek(at - 1)
-                    at += sum(used for _, _, used in [next(physical(f, self.most), (None, False, 0))]) - 1
-                    f.seek(at)
-                n = 0
-                if at >= partition.end:
-                    return
-                for line, large, used in physical(f, self.most):
-                    n, at = n + 1, at + used
-                    yield partition.path, partition.start, n, at, line, large
-                    if at >= partition.end:
-                        return
+            if partition.path:
+                yield from [counted(partition)] if self.count else batches(partition, self.most)
 
-    class Stream(SimpleDataSourceStreamReader):
-        """Micro-batches of growing files, of each ``batch_lines`` lines; past ``HELD`` bytes the rest waits for the next
-        batch. The offset holds, for every file, the chained digest of all lines before it: a file that was changed
-        before the offset is noticed when the stream is resumed."""
+    class Stream(DataSourceStreamReader):
+        """Micro-batches of growing files, of each about ``batch_bytes`` from where the stream stands, up to the end of a line.
+        A last line without a newline is taken when the file has not grown since the look before. Where the stream stands
+        when it is started comes from the option ``stands``; without it, it takes all that is there at first, as Spark
+        tells it only then. Either way tasks share a batch by ranges."""
 
         def __init__(self, options):
-            self.path, self.size = options["path"], int(options.get("batch_lines", 1000))
-            self.most, self.checked = int(options.get("max_line_bytes", 1 << 20)), set()
+            self.path, self.split = options["path"], int(options.get("split_bytes", 64 << 20))
+            self.most, self.size = int(options.get("max_line_bytes", 1 << 20)), int(options.get("batch_bytes", 256 << 20))
+            self.at, self.sizes = json.loads(options["stands"]) if "stands" in options else None, {}
 
         def initialOffset(self):
             return {"files": {}}
 
-        def _chain(self, chain: str, line, used: int) -> str:
-            import hashlib
-
-            return hashlib.sha256(f"{chain}|{used}|".encode() + (line if line is not None else b"")).hexdigest()
-
-        def _places(self, offset) -> dict:
-            """(bytes, lines, chain) by file; offsets of one file were stored without its name."""
-            return offset["files"] if "files" in offset else {self.path: [offset["bytes"], offset["line"], offset["chain"]]}
+        def latestOffset(self):
+            stops = dict(self.at or {})
+            for path, size in files(self.path).items():
+                at = 0 if self.at is None else self.at.get(path, 0)
+                if size <= at:
+                    continue
+                stop = size if self.at is None else min(size, at + self.size)
+                with opened(path) as f:
+                    if stop < size:
+                        stop = after_newline(f, stop - 1, size)
+                    if stop == size and self.sizes.get(path) != size:
+                        stop = last_newline(f, at, size)
+                self.sizes[path] = size
+                if stop > at:
+                    stops[path] = stop
+            self.at = stops
+            return {"files": stops}
+
+        def partitions(self, start, end):
+            began, stops = start["files"], end["files"]
+            self.at = {**(self.at or {}), **{p: max(stop, (self.at or {}).get(p, 0)) for p, stop in stops.items()}}
+            out = [Range(p, at, min(stop, at + self.split), at == began.get(p, 0)) for p, stop in stops.items() for at in range(began.get(p, 0), stop, self.split)]
+            return out or [Range("", 0, 0)]
 
-        def _read(self, start, end=None):
-            import os
+        def read(self, partition):
+            if partition.path:
+                yield from batches(partition, self.most)
 
-            places = dict(self._places(start))
-            stops = None if end is None else self._places(end)
-            names = (files(self.path) or ([] if os.path.isdir(self.path) else [self.path])) if stops is None else stops
-            rows, held = [], 0
-            for name in sorted({*names, *places} if end is None else names):
-                if end is None and held >= HELD:
-                    break
-                at, number, chain = places.get(name, (0, 0, ""))
-                stop, taken = None if stops is None else stops[name][0], 0
-                with open(name, "rb") as f:
-                    if name not in self.checked and at:
-                        known, seen = "", 0
-                        for line, _, used in physical(f, self.most):
-                            if seen >= at:
-                                break
-                            known, seen = self._chain(known, line, used), seen + used
-                        if known != chain:
-                            raise ValueError("the file was changed before the checkpoint; import it again from its beginning")
-                    self.checked.add(name)
-                    f.seek(at)
-                    lines = physical(f, self.most)
-                    while (taken < self.size and held < HELD) if stop is None else at < stop:
-                        line, large, used = next(lines, (None, False, 0))
-                        if not used:
-                            break
-                        number, at, chain = number + 1, at + used, self._chain(chain, line, used)
-                        taken, held = taken + 1, held + len(line or b"")
-                        rows.append((name, 0, number, at, line, large))
-                if at:
-                    places[name] = [at, number, chain]
-            return rows, {"files": places}
-
-        def read(self, start):
-            rows, end = self._read(start)
-            return iter(rows), end if rows else start
-
-        def readBetweenOffsets(self, start, end):
-            return iter(self._read(start, end)[0])
+        def commit(self, end):
+            pass
 
     class PhysicalLines(DataSource):
         @classmethod
@@ -156,7 +213,7 @@ def line_source() -> type:
         def reader(self, schema):
             return Reader(self.options)
 
-        def simpleStreamReader(self, schema):
+        def streamReader(self, schema):
             return Stream(self.options)
 
     return PhysicalLines
@@ -166,23 +223,30 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(line_source())
 
 
-def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """``(path, line_number, byte_offset_end, raw_line, too_large)`` of all files below ``path`` (a file, a folder
-    or a pattern on a file system that all executors mount)."""
+def numbered(lines: DataFrame, counts: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """``lines`` with their ``line_number`` in the file: the lines of the ranges before (``counts(path, range_start, n)``,
+    a row a range), and of what was read before (``base(path, lines)``)."""
+    back = Window.partitionBy("path").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("path", "range_start", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("before"))
+    if base is not None:
+        counts = counts.join(base, "path", "left").select("path", "range_start", (F.col("before") + F.coalesce("lines", F.lit(0))).alias("before"))
+    j = lines.join(counts, ["path", "range_start"])
+    return j.select("path", (F.col("before") + F.col("line_in_range")).alias("line_number"), "byte_offset_end", "raw_line", "too_large")
+
+
+def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+    """``(path, line_number, byte_offset_end, raw_line, too_large)`` of all files below ``path`` (a file, a folder or a
+    pattern; a URI of any file system that Arrow knows, else a path that all executors mount)."""
     register(spark)
-    df = spark.read.format("physical_lines").option("split_bytes", split_bytes).option("max_line_bytes", max_line_bytes).load(path)
-    counts = df.groupBy("path", "range_start").agg(F.max("line_in_range").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("before", before).drop("n")
-    return df.join(counts, ["path", "range_start"]).select("path", (F.col("before") + F.col("line_in_range")).alias("line_number"), "byte_offset_end", "raw_line", "too_large")
+    load = lambda count: spark.read.format("physical_lines").option("split_bytes", split_bytes).option("max_line_bytes", max_line_bytes).option("count_only", count).load(path)
+    return numbered(load("false"), load("true").select("path", "range_start", F.col("line_in_range").alias("n")))
 
 
-def stream_lines(spark: SparkSession, path: str, batch_lines: int = 1000, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """The lines of growing files (a file, a folder or a pattern) as a stream of micro-batches, each with up to
-    ``batch_lines`` lines of every file. Files that come later are read from their beginning."""
+def stream_lines(spark: SparkSession, path: str, batch_bytes: int = 256 << 20, split_bytes: int = SPLIT_BYTES, max_line_bytes: int = MAX_LINE_BYTES, stands: dict[str, int] | None = None) -> DataFrame:
+    """The lines of growing files as a stream, as ``SCHEMA``: with their numbers in the byte range that a task read. Files
+    that come later are read from their beginning. ``stands``: how far each file was read when the stream is started."""
     register(spark)
-    df = spark.readStream.format("physical_lines").option("batch_lines", batch_lines).option("max_line_bytes", max_line_bytes).load(path)
-    return df.select("path", F.col("line_in_range").alias("line_number"), "byte_offset_end", "raw_line", "too_large")
+    return spark.readStream.option("stands", json.dumps(stands or {})).format("physical_lines").option("batch_bytes", batch_bytes).option("split_bytes", split_bytes).option("max_line_bytes", max_line_bytes).load(path)
 
 
 def judged_line() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.relational import insert_missing, upsert
+from gridloom.runtime import qualified
 
 
 def _file(spark: SparkSession, path: str):
@@ -111,26 +112,29 @@ def verify_audit(spark: SparkSession, path: str, payouts: DataFrame) -> DataFram
 
 
 def write_line_files(lines: DataFrame, folder: str, file_col: str, order_col: str, line_col: str, extension: str) -> None:
-    """``folder/<file>.<extension>`` for every value of ``file_col``, its lines in order, each with a newline. The
-    folder must be on a file system that all executors mount; a file is written under another name and renamed."""
-    import os
-
+    """``folder/<file>.<extension>`` for every value of ``file_col``, its lines in order, each with a newline. A file is
+    written under another name and renamed when it is complete."""
     import pyarrow as pa
 
+    root = qualified(lines.sparkSession, folder)
+
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(root)
+        where.create_dir(base, recursive=True)
         name, out = None, None
 
         def done() -> None:
             if out is not None:
                 out.close()
-                os.replace(f"{folder}/.{name}.part", f"{folder}/{name}.{extension}")
+                where.move(f"{base}/.{name}.part", f"{base}/{name}.{extension}")
 
         for batch in batches:
             for file, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if file != name:
                     done()
-                    name, out = file, open(f"{folder}/.{file}.part", "wb")
+                    name, out = file, where.open_output_stream(f"{base}/.{file}.part")
                 out.write((line or b"") + b"\n")
         done()
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], names=["done"])

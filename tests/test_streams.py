@@ -1,6 +1,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.sources import sinks
@@ -37,11 +38,38 @@ def test_lines_of_ranges(spark, tmp_path):
     assert [x["line_number"] for x in large] == [3] and large[0]["raw_line"] is None
 
 
+def test_patterns_and_uris(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in ("a.csv", "b.csv", "c.txt", "_x.csv", ".y.csv", "d/e.csv"):
+        (tmp_path / name).write_bytes(b"1\n2\n3")
+    names = lambda path: sorted({r["path"].rsplit("/", 1)[1] for r in read_lines(spark, path).collect()})
+    assert names(str(tmp_path)) == ["a.csv", "b.csv", "c.txt", "e.csv"] and names(f"file://{tmp_path}/*.csv") == ["a.csv", "b.csv"] and names(f"{tmp_path}/a.csv") == ["a.csv"]
+    assert names(f"{tmp_path}/none") == [] and read_lines(spark, str(tmp_path / "*.txt"), split_bytes=2).count() == 3
+
+
+def test_a_file_that_was_changed_is_not_imported_further(spark, tmp_path):
+    path = tmp_path / "j.csv"
+    path.write_bytes(b"schema_version,sequence_number,cells\n" + b"".join(b'1,%d,"[1]"\n' % i for i in range(1, 9)))
+
+    def run():
+        q = import_stream(spark, str(path), "csv", None, str(tmp_path / "out"), str(tmp_path / "ck"), batch_bytes=50)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted(r["line_number"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == list(range(2, 10)) and run() == list(range(2, 10))
+    path.write_bytes(path.read_bytes().replace(b"1,3,", b"1,4,") + b'1,9,"[1]"\n')
+    with pytest.raises(ValueError, match="changed before"):
+        run()
+
+
 def test_stream_import_resumes(spark, tmp_path):
     path = tmp_path / "in.csv"
     lines = [b"schema_version,sequence_number,cells"] + [b'1,%d,"[1,2]"' % i for i in range(1, 24)] + [b"broken"]
     path.write_bytes(b"\n".join(lines[:10]) + b"\n")
-    run = lambda: import_stream(spark, str(path), "csv", "job", str(tmp_path / "out"), str(tmp_path / "ck"), batch_lines=4)
+    run = lambda: import_stream(spark, str(path), "csv", "job", str(tmp_path / "out"), str(tmp_path / "ck"), batch_bytes=60)
 
     def until(n):
         q = run()
@@ -74,7 +102,7 @@ def test_stream_import_of_a_folder_takes_every_file(spark, tmp_path):
         (folder / f"{name}.csv").write_bytes(head + b"".join(map(line, range(1, n + 1))))
 
     def run():
-        q = import_stream(spark, str(folder), "csv", None, str(tmp_path / "out"), str(tmp_path / "ck"), batch_lines=4)
+        q = import_stream(spark, str(folder), "csv", None, str(tmp_path / "out"), str(tmp_path / "ck"), batch_bytes=60)
         try:
             q.processAllAvailable()
         finally:
