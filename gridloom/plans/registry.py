@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gridloom.plans import domain, evaluation, io, repair, reports, review, windows
+from gridloom.plans import contract_sql, domain, evaluation, io, repair, reports, review, windows
 
 MODULES = [domain, windows, evaluation, reports, review, io, repair]
 
@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+    return {k: v for m in [*MODULES, contract_sql] for k, v in m.SQL.items()}
