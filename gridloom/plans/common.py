@@ -13,7 +13,7 @@ GAME = Game()
 _STORED: dict[tuple[str, str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+def stored(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
     """A derived table, written once an application and state of the input, as a published data set would be; the queries
     then scan it with pushed-down filters and pruned columns."""
     key = (spark.sparkContext.applicationId, sf, name, stamp(spark, f"{sf}/orders.parquet"))
@@ -26,12 +26,12 @@ def _stored(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
 
 def layouts(spark: SparkSession, sf: str) -> DataFrame:
     """(sequence_number, cells, signature)"""
-    return _stored(spark, sf, "layouts", lambda: derive_layouts(table(spark, sf, "orders"), GAME))
+    return stored(spark, sf, "layouts", lambda: derive_layouts(table(spark, sf, "orders"), GAME))
 
 
 def payouts(spark: SparkSession, sf: str) -> DataFrame:
     """(sequence_number, payout, match_count)"""
-    return _stored(spark, sf, "payouts", lambda: evaluate_payouts(layouts(spark, sf), GAME).select("sequence_number", "payout", "match_count"))
+    return stored(spark, sf, "payouts", lambda: evaluate_payouts(layouts(spark, sf), GAME).select("sequence_number", "payout", "match_count"))
 
 
 LAYOUTS = """layouts AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS sequence_number, list_transform(range(0, 15), lambda i: cast(((o_orderkey*7919 + i*i*104729 + o_orderkey*i*31) % 1000003) % 11 + 1 AS int)) AS cells FROM orders),

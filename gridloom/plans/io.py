@@ -18,6 +18,7 @@ from gridloom.sources import sinks
 from gridloom.sources.files import attest_files, discover_images, publish_curated, write_files
 from gridloom.sources.generators import affine_layouts, mock_layouts
 from gridloom.sources.lines import judged_line, prefix_chains, read_lines
+from gridloom.sources.snapshots import read_snapshot, validate_snapshot, write_snapshot
 from gridloom.streaming.checkpoints import group_with_checkpoints, late_merge
 from gridloom.streaming.grouping import OUT, group_observations, group_stream
 from gridloom.streaming.imports import import_stream
@@ -86,6 +87,13 @@ def _snapshot_checks(s, d):
     return good.withColumn("valid", (F.col("rows") == F.col("numbers")) & (F.col("lowest") == 1) & (F.col("highest") == F.col("rows")) & (F.col("negative") == 0) & (F.col("undecodable") == 0))
 
 
+def _device_snapshot(s, d):
+    path = new_path(s, "device") + "/snapshot.sqlite"
+    full = layouts(s, d).select("sequence_number", "signature").join(payouts(s, d).select("sequence_number", "payout"), "sequence_number")
+    write_snapshot(full, path, GAME)
+    return path
+
+
 def _upserted(s, d):
     folder = _published(s, d)
     change = layouts(s, d).where("sequence_number % 10 = 0").select((F.col("sequence_number") + 5).alias("sequence_number"), F.lit("changed").alias("signature"))
@@ -286,6 +294,8 @@ QUERIES = {
     "snk_insert_select": lambda s, d: sinks.open_version(s, _published(s, d), 1),
     "snk_delete_after": _delete_after,
     "snk_snapshot": _snapshot_checks,
+    "snk_snapshot_sqlite": lambda s, d: read_snapshot(s, _device_snapshot(s, d)),
+    "dom_snapshot_validate": lambda s, d: validate_snapshot(s, _device_snapshot(s, d)),
     "snk_audit_jsonl": lambda s, d: s.read.text(_audit(s, d)).select(F.get_json_object("value", "$.sequence_number").cast("bigint").alias("sequence_number"), F.get_json_object("value", "$.payout").cast("bigint").alias("payout")),
     "snk_audit_verify": lambda s, d: sinks.verify_audit(s, _audit(s, d), payouts(s, d)),
     "snk_cohort_export": _cohort,
@@ -328,6 +338,8 @@ s AS (SELECT *, sha256('page:' || id) AS h FROM o) SELECT a AS range_start, b AS
     "snk_insert_select": f"WITH {LAYOUTS} SELECT sequence_number, signature FROM boards",
     "snk_delete_after": f"WITH {PAYOUTS} SELECT (sequence_number - 1) // 5000 AS batch, count(*) AS n, sum(payout + CASE WHEN sequence_number > 5000 THEN 1 ELSE 0 END)::bigint AS total FROM payouts GROUP BY 1",
     "snk_snapshot": f"WITH {PAYOUTS} SELECT count(*) AS rows, count(*) AS numbers, min(sequence_number) AS lowest, max(sequence_number) AS highest, 0 AS negative, 0 AS undecodable, sum(payout)::bigint AS total, true AS valid FROM payouts",
+    "snk_snapshot_sqlite": f"WITH {PAYOUTS} SELECT b.sequence_number, signature, payout FROM boards b JOIN payouts p ON b.sequence_number = p.sequence_number",
+    "dom_snapshot_validate": "SELECT count(*) AS layouts, count(*) AS declared, 1 AS first, count(*) AS last, true AS contiguous, 0 AS negative, 0 AS undecodable, 0 AS unknown_symbols, true AS checksum_equal, true AS valid FROM orders",
     "snk_audit_jsonl": f"WITH {PAYOUTS} SELECT sequence_number, payout FROM payouts",
     "snk_audit_verify": f"WITH {PAYOUTS} SELECT count(*) AS audited, 0 AS broken, 0 AS wrong_sums, 0 AS different FROM payouts",
     "snk_cohort_export": f"WITH {BOARDS} SELECT id, sequence_number FROM rb WHERE sequence_number IS NOT NULL AND board_confidence >= 0.9",

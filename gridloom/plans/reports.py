@@ -11,7 +11,7 @@ from gridloom.operators import relational as R
 from gridloom.operators.bad_rows import load_layout_lines
 from gridloom.operators.evaluation import fit_temperature
 from gridloom.operators.selection import select_boards
-from gridloom.plans.common import GAME, LAYOUTS, layouts
+from gridloom.plans.common import GAME, LAYOUTS, layouts, stored
 from gridloom.plans.evaluation import cells
 from gridloom.plans.windows import BOARDS, boards
 from gridloom.runtime import cut, table
@@ -32,7 +32,7 @@ def _damaged(s, d):
     kept = b.where("sequence_number % 97 <> 0")
     twice = b.where("sequence_number % 89 = 0")
     cells_ = F.when(F.col("sequence_number") % 83 == 0, F.slice("cells", 1, 14)).when(F.col("sequence_number") % 79 == 0, F.concat(F.slice("cells", 1, 14), F.array(F.lit(12)))).otherwise(F.col("cells"))
-    return cut(kept.unionByName(twice).withColumn("cells", cells_), "damaged")
+    return stored(s, d, "damaged", lambda: kept.unionByName(twice).withColumn("cells", cells_))
 
 
 def _dataset(s, d):

@@ -11,6 +11,7 @@ from gridloom.operators import geometry as G
 from gridloom.operators import integrity as I
 from gridloom.operators import relational as R
 from gridloom.operators.boards import evaluate_payouts
+from gridloom.operators.images import measure_pictures
 from gridloom.plans.common import GAME, LAYOUTS, PAYOUTS, layouts
 from gridloom.plans.evaluation import CELLS, cells
 from gridloom.plans.windows import BOARDS, IMAGES, boards, images
@@ -280,6 +281,12 @@ def _hashes(s, d):
     return table(s, d, "part").select("p_partkey", median_hash(pixels).alias("hash"))
 
 
+def _pictures(s, d):
+    """Measures of a made-up picture of 16 x 16 pixels for every supplier."""
+    rgb = F.unhex(F.concat(*[F.sha2(F.concat_ws("/", F.col("s_suppkey").cast("string"), F.lit(str(i))), 256) for i in range(24)]))
+    return measure_pictures(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(16).alias("width"), F.lit(16).alias("height"), rgb.alias("rgb")))
+
+
 QUERIES = {
     "join_golden_quality": _golden_quality,
     "join_golden_lines": _line_quality,
@@ -306,6 +313,7 @@ QUERIES = {
     "fn_jokers": _jokers,
     "fn_rule_map": _rule_map,
     "fn_median_hash": _hashes,
+    "fn_image_quality": _pictures,
 }
 
 _GOLDEN = f"""{BOARDS}, {IMAGES},
@@ -389,4 +397,13 @@ SELECT symbol, count(*)::int AS lengths, (max(c) FILTER (n = 5))::int AS longest
     "fn_median_hash": """WITH p AS (SELECT p_partkey, list_transform(range(0, 256), lambda i: (p_partkey * 31 + i * i * 7919 + i * p_partkey) % 251) AS v FROM part), m AS (SELECT *, list_sort(v) AS o FROM p),
 b AS (SELECT p_partkey, list_transform(v, lambda x: CASE WHEN 2 * x > o[128] + o[129] THEN 1 ELSE 0 END) AS b FROM m)
 SELECT p_partkey, array_to_string(list_transform(range(0, 64), lambda j: substr('0123456789abcdef', (b[4 * j + 1] * 8 + b[4 * j + 2] * 4 + b[4 * j + 3] * 2 + b[4 * j + 4] + 1)::int, 1)), '') AS hash FROM b""",
+    "fn_image_quality": """WITH h AS (SELECT s_suppkey AS id, array_to_string(list_transform(range(0, 24), lambda i: sha256(s_suppkey || '/' || i)), '') AS h FROM supplier),
+b AS (SELECT id, list_transform(range(0, 768), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::int) AS b FROM h),
+p AS (SELECT id, list_transform(range(0, 256), lambda i: (b[3 * i + 1] * 4899 + b[3 * i + 2] * 9617 + b[3 * i + 3] * 1868 + 8192) >> 14) AS g,
+ list_transform(range(0, 256), lambda i: greatest(b[3 * i + 1], b[3 * i + 2], b[3 * i + 3])) AS v, list_transform(range(0, 256), lambda i: least(b[3 * i + 1], b[3 * i + 2], b[3 * i + 3])) AS w FROM b),
+e AS (SELECT id, g, v, w, list_transform(range(0, 256), lambda i: g[CASE WHEN i < 16 THEN i + 17 ELSE i - 15 END] + g[CASE WHEN i >= 240 THEN i - 15 ELSE i + 17 END] + g[CASE WHEN i % 16 = 0 THEN i + 2 ELSE i END] + g[CASE WHEN i % 16 = 15 THEN i ELSE i + 2 END] - 4 * g[i + 1]) AS l, list_sort(g) AS o FROM p),
+m AS (SELECT id, list_avg(list_transform(l, lambda x: x * x)) - power(list_avg(l), 2) AS s, greatest(0, 1 - abs(list_avg(g) - 127.5) / 127.5) AS x, greatest(0, 1 - len(list_filter(g, lambda y: y <= 4 OR y >= 251)) / 256 * 2.5) AS c,
+ greatest(0, 1 - len(list_filter(range(1, 257), lambda i: v[i] >= 242 AND round_even(255.0 * (v[i] - w[i]) / v[i], 0) <= 45)) / 256 * 6) AS r, list_transform(g, lambda y: CASE WHEN 2 * y > o[128] + o[129] THEN 1 ELSE 0 END) AS t FROM e)
+SELECT id, array_to_string(list_transform(range(0, 64), lambda j: substr('0123456789abcdef', (t[4 * j + 1] * 8 + t[4 * j + 2] * 4 + t[4 * j + 3] * 2 + t[4 * j + 4] + 1)::int, 1)), '') AS hash, round_even(s / (s + 500), 6) AS sharpness, round_even(x, 6) AS exposure,
+ round_even(c, 6) AS highlight_retention, round_even(r, 6) AS glare_resistance, round_even(least(1, 0.4 * s / (s + 500) + 0.2 * x + 0.2 * c + 0.2 * r), 6) AS score FROM m""",
 }

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 _OWN_TEMP: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_CUT: dict[int, tuple] = {}  # tables that are still referred to, by identity: (reference, path)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -73,7 +75,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     lost later costs nothing, since every executor can read the files."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _CUT[id(out)] = (weakref.ref(out, lambda _, key=id(out): _CUT.pop(key, None)), path)
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove the files of tables that :func:`cut` made and that nothing will be read from again."""
+    for t in tables:
+        path = _CUT.pop(id(t), (None, None))[1] if t is not None else None
+        if path:
+            drop_path(t.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once its results have been read or written elsewhere."""
+    drop_path(spark, f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}")
+    _CUT.clear()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

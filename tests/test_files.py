@@ -62,3 +62,54 @@ def test_curated_pictures_are_published_once(spark, tmp_path):
     with pytest.raises(Exception, match="differs"):
         publish_curated(df.withColumn("sha256", F.sha2(F.lit("x"), 256)), str(tmp_path / "out"))
     assert len(os.listdir(tmp_path / "out")) == 1
+
+
+def test_device_snapshots(spark, tmp_path):
+    import sqlite3
+
+    from gridloom.operators.boards import Game
+    from gridloom.sources.snapshots import read_snapshot, validate_snapshot, write_snapshot
+
+    rows_ = [(i, f"{i % 11 + 1:02d}" * 15, i % 7) for i in range(1, 60)]
+    df = spark.createDataFrame(rows_, "sequence_number bigint, signature string, payout bigint").repartition(5)
+    path = str(tmp_path / "s" / "a.sqlite")
+    write_snapshot(df, path, Game())
+    assert rows(read_snapshot(spark, path)) == sorted(rows_, key=repr)
+    facts = validate_snapshot(spark, path).first().asDict()
+    assert facts["valid"] and (facts["layouts"], facts["first"], facts["last"]) == (59, 1, 59)
+    with pytest.raises(ValueError, match="already"):
+        write_snapshot(df, path, Game())
+    for wrong in (df.where("sequence_number <> 9"), df.unionByName(df.limit(1)), df.withColumn("payout", F.lit(-1).cast("bigint")), df.withColumn("signature", F.lit(None).cast("string"))):
+        with pytest.raises(Exception, match="not the next one"):
+            write_snapshot(wrong, str(tmp_path / "s" / "b.sqlite"), Game())
+    assert sorted(os.listdir(tmp_path / "s")) == ["a.sqlite"]
+    for change, fact in (("UPDATE layouts SET payout = -3 WHERE sequence_number = 4", "negative"), ("UPDATE layouts SET signature = '9' WHERE sequence_number = 4", "undecodable"), (f"UPDATE layouts SET signature = '{'99' * 15}' WHERE sequence_number = 4", "unknown_symbols")):
+        db = sqlite3.connect(path)
+        before = db.execute("SELECT payout, signature FROM layouts WHERE sequence_number = 4").fetchone()
+        db.execute(change)
+        db.commit()
+        got = validate_snapshot(spark, path).first().asDict()
+        assert not got["valid"] and not got["checksum_equal"] and got[fact] == 1
+        db.execute("UPDATE layouts SET payout = ?, signature = ? WHERE sequence_number = 4", before)
+        db.commit()
+        db.close()
+    assert validate_snapshot(spark, path).first()["valid"]
+
+
+def test_measures_of_pictures(spark):
+    import numpy as np
+
+    from gridloom.operators.images import grey, measure_pictures, median_hash_of, quality, shrunk
+
+    rng = np.random.default_rng(4)
+    noisy, flat, white = rng.integers(0, 256, (40, 30, 3), dtype=np.uint8), np.full((20, 20, 3), 120, np.uint8), np.full((16, 16, 3), 255, np.uint8)
+    assert quality(flat) == (0.0, pytest.approx(1 - 7.5 / 127.5), 1.0, 1.0) and quality(white)[1:] == (0.0, 0.0, 0.0) and quality(noisy)[0] > 0.9
+    g = grey(noisy)
+    assert abs(shrunk(g.astype(float), 10)[0, 0] - g[:4, :3].mean()) <= 0.5 and shrunk(g.astype(float), 40).shape == (40, 40)
+    assert abs(shrunk(np.arange(7.0)[None, :].repeat(7, 0), 3)[0, 0] - (0 * 1 + 1 * 1 + 2 / 3) / (7 / 3)) <= 0.5
+    top = np.zeros((32, 32), int)
+    top[:16] = 9
+    assert median_hash_of(top) == "f" * 32 + "0" * 32
+    data = [(i, a.shape[1], a.shape[0], a.tobytes()) for i, a in enumerate((noisy, flat, white))] + [(7, 3, 3, b"short"), (8, None, 2, b""), (9, 1, 1, b"\x01\x02\x03")]
+    got = {r["id"]: r for r in measure_pictures(spark.createDataFrame(data, "id bigint, width int, height int, rgb binary")).collect()}
+    assert got[7]["score"] is None and got[8]["hash"] is None and got[9]["sharpness"] == 0.0 and got[0]["sharpness"] == round(quality(noisy)[0], 6)
