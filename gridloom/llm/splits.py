@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import name_key
-from gridloom.runtime import cut, new_path, pick
+from gridloom.runtime import cut, new_path, pick, release
 
 PROPORTIONS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 SIZE_CLASSES, LOTS = 64, 4096
@@ -55,11 +55,14 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         near = open_.unionByName(open_.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("v"))
         parent = cut(near.select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "components-parents")
+        jumped = None
         for _ in range(MAX_ROUNDS):
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
             step = cut(parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "components-jump")
-            parent = step.select("node", "root")
-            if step.where("moved").isEmpty():
+            settled = step.where("moved").isEmpty()
+            release(jumped or parent)
+            jumped, parent = step, step.select("node", "root")
+            if settled:
                 break
         else:
             raise RuntimeError(f"pointer jumping has not ended after {MAX_ROUNDS} steps")
@@ -68,9 +71,13 @@ def connected(edges: DataFrame) -> DataFrame:
             labels = parent.select("node", F.col("root").alias("label"))
         else:
             over = parent.select(F.col("node").alias("label"), "root")
-            labels = cut(labels.join(over, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "components-labels")
+            newer = cut(labels.join(over, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "components-labels")
+            release(labels)
+            labels = newer
         moved = open_.join(to("u"), "u").join(to("v"), "v").where("ru <> rv")
-        open_ = cut(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "components-edges")
+        fewer = cut(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "components-edges")
+        release(open_)
+        open_ = fewer
     else:
         raise RuntimeError(f"the components are not found after {MAX_ROUNDS} rounds")
     if labels is None:
