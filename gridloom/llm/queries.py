@@ -74,11 +74,12 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    """The sample's size, its distinct ids and those that are no observation, and attainable minima that it misses."""
+    """The sample's size, its distinct ids and those that are no observation, and categories whose report
+    has a deviation below the bound that no sample can be below."""
     q = _quota(spark, sf)
     there = table(spark, sf, "board_candidates").select("observation_id").distinct().withColumn("_there", F.lit(True))
     drawn = q.sample.select("observation_id").join(there, "observation_id", "left").agg(F.count("*").alias("drawn"), F.count_distinct("observation_id").alias("ids"), F.count_if(F.col("_there").isNull()).alias("foreign"))
-    return drawn.join(q.report.agg(F.count_if((F.col("available") >= F.col("min_count")) & (F.col("drawn") < F.col("min_count"))).alias("missed_minima")))  # a row each
+    return drawn.join(q.report.agg(F.count_if(F.col("deviation") < F.col("least_deviation")).alias("below_bound")))  # a row each
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +161,7 @@ _SIDES = f"""
 SQL = {
     "p1_invariants": f"SELECT count(DISTINCT {_NAME.format(c='sample_id')}) AS samples, count(DISTINCT {_NAME.format(c='sample_id')}) AS ids, 0 AS torn, 0 AS wrong_counts FROM symbol_crop_samples",
     "p5_invariants": """
-WITH n AS (SELECT count(DISTINCT observation_id) // (SELECT max(sample_divisor) FROM candidate_targets) AS n FROM board_candidates) SELECT n AS drawn, n AS ids, 0 AS foreign, 0 AS missed_minima FROM n""",
+WITH n AS (SELECT count(DISTINCT observation_id) // (SELECT max(sample_divisor) FROM candidate_targets) AS n FROM board_candidates) SELECT n AS drawn, n AS ids, 0 AS foreign, 0 AS below_bound FROM n""",
     "p6_invariants": "SELECT source, count(*) AS docs, count(*) FILTER (coalesce(text, '') = '') AS empty, 0 AS changed FROM documents GROUP BY 1",
     "p7_invariants": """
 SELECT t.source, t.target_share, t.max_repeats, count(d.doc_id) AS docs, true AS within_cap, true AS near_goal FROM source_targets t LEFT JOIN documents d ON d.source = t.source GROUP BY ALL""",
