@@ -1 +1 @@
-"""See the package README section on ``functions``."""
+"""Column expressions."""

@@ -1 +1 @@
-"""See the package README section on ``operators``."""
+"""Operators from DataFrame to DataFrame."""

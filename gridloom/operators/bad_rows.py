@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.runtime import cut, pick
@@ -203,10 +203,6 @@ def _once(lines: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.max_by(F.struct(*content), order).alias("_c")).select(*keys, *[F.col(f"_c.{c}").alias(c) for c in content])
 
 
-def _plain_ints(text: Column) -> Column:
-    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<int>")
-
-
 def load_layout_lines(lines: DataFrame, table: str = "layout_import_lines") -> Loaded:
     """Strict load of ``(job_id, line_number, file_format, raw_line binary)``.
 
@@ -221,17 +217,21 @@ def load_layout_lines(lines: DataFrame, table: str = "layout_import_lines") -> L
     lines = lines.select("job_id", "line_number", "file_format", raw.alias("raw_line"), *[c for c in ["received_at"] if c in lines.columns])
     lines = cut(_once(lines.where(~text.rlike(r"^[ \t\n\r\x0b\x0c\x1c-\x1f]*\z")), ["job_id", "line_number"], ["file_format", "raw_line"]), "lines")
 
-    plain = F.decode(F.col("raw_line"), "ISO-8859-1")
-    body = F.regexp_extract
+    # One regular expression a line: what matches becomes its two parts behind a mark, all else stays as it is. Nothing is
+    # filtered before the table is written, as a filter would work all of this out once more.
+    line, mark = F.decode(F.col("raw_line"), "ISO-8859-1"), "\x01"
     csv_form = r'^1,([1-9][0-9]{0,17}),"\[([1-9][0-9]{0,4}(?:,[1-9][0-9]{0,4})*)\]"[\r\n]*\z'
     json_form = r'^\{"schemaVersion":1,"sequenceNumber":([1-9][0-9]{0,17}),"cells":\[([1-9][0-9]{0,4}(?:,[1-9][0-9]{0,4})*)\]\}[\r\n]*\z'
     header = (F.col("file_format") == "csv") & (F.col("line_number") == 1)
-    form = F.when(header, F.lit(None)).when(F.col("file_format") == "csv", F.lit("csv")).when(F.col("file_format") == "jsonl", F.lit("jsonl"))
-    first = lines.withColumn("_form", form).withColumn("_line", plain)
-    part = lambda n: F.when(F.col("_form") == "csv", body("_line", csv_form, n)).when(F.col("_form") == "jsonl", body("_line", json_form, n))
-    first = first.select("job_id", "line_number", part(1).alias("_s"), part(2).alias("_c")).where("_s <> ''")
-    first = first.select("job_id", "line_number", F.col("_s").cast("bigint").alias("sequence_number"), _plain_ints(F.col("_c")).alias("cells"))
-    first = cut(first.where(F.forall("cells", lambda c: c <= MAX_CODE)), "lines-loaded")
+    parts = lambda form: F.regexp_replace(line, form, mark + "$1;$2")
+    first = lines.select("job_id", "line_number", F.when(header, F.lit(None)).when(F.col("file_format") == "csv", parts(csv_form)).when(F.col("file_format") == "jsonl", parts(json_form)).alias("_x"))
+    hit = F.startswith("_x", F.lit(mark))
+    number = F.when(hit, F.substring_index(F.substring("_x", 2, 19), ";", 1).try_cast("bigint"))
+    cells = F.when(hit, F.split(F.substring_index("_x", ";", -1), ",").try_cast("array<int>"))
+    first = first.select("job_id", "line_number", number.alias("_s"), cells.alias("cells"))
+    good = F.array_max("cells") <= MAX_CODE
+    first = cut(first.select("job_id", "line_number", F.when(good, F.col("_s")).alias("sequence_number"), F.when(good, F.col("cells")).alias("cells")), "lines-loaded")
+    first = first.where("sequence_number is not null")
 
     here = [F.col("r.job_id").eqNullSafe(F.col("l.job_id")), F.col("r.line_number").eqNullSafe(F.col("l.line_number"))]
     rest = lines.alias("r").join(first.select("job_id", "line_number").alias("l"), here, "left_anti")

@@ -1 +1 @@
-"""See the package README section on ``plans``."""
+"""The registered queries and their SQL."""

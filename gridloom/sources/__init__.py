@@ -1 +1 @@
-"""See the package README section on ``sources``."""
+"""Sources and sinks."""

@@ -1 +1 @@
-"""See the package README section on ``streaming``."""
+"""Grouping, import and validation of streams."""
