@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ordering import previous_value
+from gridloom.operators.ordering import in_ranges, previous_value
 
 
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -76,6 +76,22 @@ def asof_interpolate(probes: DataFrame, anchors: DataFrame, keys: list[str], at:
     return out.withColumn(value, F.round(line, 10)).drop("_a", "_b", "_probe")
 
 
+def floor_lookup(probes: DataFrame, rules: DataFrame, at: str, name: str) -> DataFrame:
+    """``probes`` with ``name``: the largest ``at`` of ``rules`` that is not above their own; null where there is none.
+
+    Each distinct value is looked up once, in ranges of the values of both sides, and what a range inherits from those
+    before is one row of a small table; the probes are then joined by value. Null values find nothing.
+    """
+    values = probes.where(F.col(at).isNotNull()).select(at).distinct().withColumn("_rule", F.lit(False)).unionByName(rules.where(F.col(at).isNotNull()).select(at).distinct().withColumn("_rule", F.lit(True)))
+    both = in_ranges(values.groupBy(at).agg(F.bool_or("_rule").alias("_rule"), F.bool_or(~F.col("_rule")).alias("_probe")), F.col(at))
+    own = F.when(F.col("_rule"), F.col(at))
+    tops = both.groupBy("_part").agg(F.max(own).alias("_top"))
+    tops = tops.select("_part", F.last("_top", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row a range
+    inside = F.last(own, ignorenulls=True).over(Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_inside", inside).join(tops, "_part").where("_probe").select(at, F.coalesce("_inside", "_before").alias(name))
+    return probes.join(found, at, "left")
+
+
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``target`` with ``rows`` put in their places: a row of the same keys is replaced, others are added."""
     return target.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)

@@ -53,11 +53,9 @@ def _rounded_sweep(df):
 
 
 def _floor_lookup(s, d):
-    """For every order the largest part size not beyond its key modulo 60, as a rule table: broadcast-free, the rules
-    are aggregated into an array of a bounded domain (sizes are below 64)."""
-    sizes = table(s, d, "part").select("p_size").distinct().agg(F.array_sort(F.collect_set("p_size")).alias("sizes"))
-    o = table(s, d, "orders").select("o_orderkey", F.pmod(F.col("o_orderkey"), F.lit(60)).cast("int").alias("probe")).join(sizes)
-    return o.select("o_orderkey", "probe", F.array_max(F.filter("sizes", lambda x: x <= F.col("probe"))).alias("rule"))
+    """For every order the largest part size not beyond its key modulo 60, as a rule table."""
+    o = table(s, d, "orders").select("o_orderkey", F.pmod(F.col("o_orderkey"), F.lit(60)).cast("int").alias("probe"))
+    return R.floor_lookup(o, table(s, d, "part").select(F.col("p_size").alias("probe")), "probe", "rule").select("o_orderkey", "probe", "rule")
 
 
 def _asof(s, d):

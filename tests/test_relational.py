@@ -58,6 +58,16 @@ def test_missing_numbers_in_blocks(spark):
     assert got["count"] == (1, "") and got["missing"] == (2, "2,3") and got["out_of_range"] == (1, "9") and got["duplicate_sequence"] == (1, "1") and got["foreign_symbol"] == (1, "1") and got["cell_count"] == (2, "9")
 
 
+def test_floor_lookup(spark):
+    rng = random.Random(9)
+    rules = sorted({rng.randrange(1000) for _ in range(40)})
+    probes = [(i, rng.choice([None, -5, 2000, 500, *range(0, 1000, 7)])) for i in range(400)] + [(i, 500) for i in range(400, 600)]
+    df = spark.createDataFrame(probes, "i int, at int").repartition(4)
+    got = {r["i"]: r["rule"] for r in R.floor_lookup(df, spark.createDataFrame([(r,) for r in [*rules, *rules[:3]]] + [(None,)], "at int"), "at", "rule").collect()}
+    assert got == {i: max((r for r in rules if v is not None and r <= v), default=None) for i, v in probes}
+    assert R.floor_lookup(df, df.select("at").limit(0), "at", "rule").where("rule is not null").count() == 0
+
+
 def test_gaps(spark):
     df = spark.createDataFrame([(n,) for n in (None, 3, 3, 4, 9, -2)], "n bigint")
     assert rows(R.gap_ranges(df, "n")) == [(1, 2), (5, 8)]
