@@ -1,4 +1,4 @@
-"""The line contracts as SQL, for the comparison with another engine."""
+"""The line contracts, and the grouping of a run, as SQL for the comparison with another engine."""
 
 from __future__ import annotations
 
@@ -80,7 +80,30 @@ checked AS (SELECT *, CASE WHEN code IS NOT NULL THEN code WHEN len(cells) <> 15
 normalized AS (SELECT job_id, line_number, sequence_number, error_code, CASE WHEN error_code = 'import_symbol_not_in_rules' THEN list_filter(cells, lambda v: v > 11)[1] END AS foreign_,
   CASE WHEN error_code IS NULL THEN array_to_string(list_transform(cells, lambda v: lpad(v::varchar, 2, '0')), '') END AS signature FROM checked)"""
 
+
+
+def _share(a: str, b: str) -> str:
+    """The share of bits in which two fingerprints of four words differ."""
+    return "((" + " + ".join(f"bit_count(xor({a}[{i}], {b}[{i}]))" for i in range(1, 5)) + ") / 128.0)"
+
+
+# One step of the recursion is one observation of every run: the open group, the one held back, and the closed groups.
+GROUPS = f"""WITH RECURSIVE e AS (SELECT user_id::varchar AS run, event_id AS o, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value / 500 AS q, CASE WHEN event_type = 'signup' THEN 0.5 ELSE 0.9 END AS g,
+  list_transform(range(0, 4), lambda i: ('0x' || substr(substr(md5(event_type), 1, 30) || '0' || floor(value)::bigint % 4, (1 + 8 * i)::int, 8))::bigint) AS w FROM events),
+s AS (SELECT run, k, 0 AS num, o AS f, o AS l, 1 AS n, o AS bo, w AS bw, q AS bq, g AS bg, NULL::STRUCT(o BIGINT, w BIGINT[], q DOUBLE, g DOUBLE) AS h,
+  []::STRUCT(num INTEGER, f BIGINT, l BIGINT, n INTEGER, bo BIGINT, bq DOUBLE)[] AS done FROM e WHERE k = 1
+ UNION ALL SELECT run, k, CASE WHEN h IS NULL THEN num WHEN near THEN num + 1 ELSE num + 2 END, CASE WHEN h IS NULL THEN f WHEN near THEN h.o ELSE xo END, CASE WHEN hold THEN l ELSE xo END, CASE WHEN hold THEN n WHEN h IS NULL THEN n + 1 WHEN near THEN 2 ELSE 1 END,
+  CASE WHEN hold THEN bo WHEN h IS NULL THEN CASE WHEN xq > bq THEN xo ELSE bo END WHEN near AND xq <= h.q THEN h.o ELSE xo END, CASE WHEN hold THEN bw WHEN h IS NULL THEN CASE WHEN xq > bq THEN xw ELSE bw END WHEN near AND xq <= h.q THEN h.w ELSE xw END,
+  CASE WHEN hold THEN bq WHEN h IS NULL THEN CASE WHEN xq > bq THEN xq ELSE bq END WHEN near AND xq <= h.q THEN h.q ELSE xq END, CASE WHEN hold THEN bg WHEN h IS NULL THEN CASE WHEN xq > bq THEN xg ELSE bg END WHEN near AND xq <= h.q THEN h.g ELSE xg END,
+  CASE WHEN hold THEN {{'o': xo, 'w': xw, 'q': xq, 'g': xg}} END,
+  CASE WHEN h IS NULL THEN done WHEN near THEN list_append(done, {{'num': num, 'f': f, 'l': l, 'n': n, 'bo': bo, 'bq': bq}})
+   ELSE list_concat(done, [{{'num': num, 'f': f, 'l': l, 'n': n, 'bo': bo, 'bq': bq}}, {{'num': num + 1, 'f': h.o, 'l': h.o, 'n': 1, 'bo': h.o, 'bq': h.q}}]) END
+ FROM (SELECT s.run, e.k, num, f, l, n, bo, bw, bq, bg, h, done, e.o AS xo, e.w AS xw, e.q AS xq, e.g AS xg, coalesce({_share('h.w', 'e.w')} <= 0.16, false) AS near, h IS NULL AND least(bg, e.g) >= 0.64 AND {_share('bw', 'e.w')} >= 0.22 AS hold FROM s JOIN e ON e.run = s.run AND e.k = s.k + 1)),
+last_ AS (SELECT run, unnest(list_concat(done, [{{'num': num, 'f': f, 'l': l, 'n': n, 'bo': bo, 'bq': bq}}], CASE WHEN h IS NULL THEN [] ELSE [{{'num': num + 1, 'f': h.o, 'l': h.o, 'n': 1, 'bo': h.o, 'bq': h.q}}] END)) AS r FROM (SELECT * FROM s QUALIFY k = max(k) OVER (PARTITION BY run)))
+SELECT run, r.num AS group_order, r.f AS first_order, r.l AS last_order, r.n::bigint AS source_count, r.bo AS reference_order, r.bq AS reference_quality FROM last_"""
+
 SQL = {
+    "stm_session_group": GROUPS,
     "p2_found": f"""WITH {judged()}, {REPORTED} SELECT 'layout_import_lines' AS raw_table, job_id, line_number, code FROM judged WHERE code IS NOT NULL
 UNION ALL SELECT 'import_report_lines', job_id, line_number, code FROM reported WHERE code IS NOT NULL""",
     "p2_layouts": f"WITH {judged()} SELECT job_id, line_number, s AS sequence_number, array_to_string(cells, ',') AS cells FROM judged WHERE code IS NULL AND NOT coalesce(header, false)",
