@@ -65,15 +65,42 @@ def page(df: DataFrame, keys: list[tuple[str, bool]], size: int, cursor: tuple |
 def asof_interpolate(probes: DataFrame, anchors: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """``probes`` with ``value``: linear between the nearest anchors below and above ``at`` of the same ``keys``, the
     anchor itself on an exact hit, the outermost anchor outside of them, null without anchors. Rounded to 10 digits.
+
+    Both sides are sorted together in ranges, so one key may hold any part of the rows. Inside a range the nearest anchors
+    are found by windows; what the first key of a range has before it, and the last one behind it, comes from a table with
+    two rows a range. Null keys are keys of their own.
     """
     both = probes.select(*keys, at, F.lit(None).cast("double").alias(value), F.lit(1).alias("_probe")).unionByName(anchors.groupBy(*keys, at).agg(F.avg(value).alias(value)).withColumn("_probe", F.lit(0)))
+    key = F.struct(*keys)
+    src = in_ranges(both, *[F.asc(k) for k in keys], F.asc(at), F.asc("_probe"))
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("x"), F.col(value).alias("y")))
-    back = Window.partitionBy(*keys).orderBy(at, "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(at).desc(), "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_a", F.last(point, ignorenulls=True).over(back)).withColumn("_b", F.last(point, ignorenulls=True).over(ahead)).where("_probe = 1")
+    src = src.withColumn("_point", point)
+    grow = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    near = lambda order: F.last("_point", ignorenulls=True).over(grow(Window.partitionBy("_part", *keys).orderBy(order)))
+
+    edges = src.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    marked = src.join(edges, "_part")
+    place = F.when(F.col("_point").isNotNull(), F.col("_pos"))
+    ends = marked.groupBy("_part").agg(
+        F.first("_first").alias("_first"), F.first("_last").alias("_last"),
+        F.min_by("_point", F.when(key.eqNullSafe(F.col("_first")), place)).alias("_head"), F.max_by("_point", F.when(key.eqNullSafe(F.col("_last")), place)).alias("_tail"),
+    )
+
+    def carried(own: str, of: str, what: str, order, name: str) -> DataFrame:
+        """For every range: the point that other ranges in ``order`` have nearest before it for its key ``own``."""
+        asks = ends.select("_part", F.col(own).alias("_k"), F.lit(0).alias("_turn"), F.lit(None).cast(ends.schema[what].dataType).alias("_p"))
+        tells = ends.select("_part", F.col(of).alias("_k"), F.lit(1).alias("_turn"), F.col(what).alias("_p"))
+        w = Window.partitionBy("_k").orderBy(order, "_turn")  # two rows a range
+        return asks.unionByName(tells).withColumn("_p", F.last("_p", ignorenulls=True).over(grow(w))).where("_turn = 0").select("_part", F.col("_p").alias(name))
+
+    extra = edges.join(carried("_first", "_last", "_tail", F.asc("_part"), "_above"), "_part").join(carried("_last", "_first", "_head", F.desc("_part"), "_below"), "_part")
+    out = src.withColumn("_a", near(F.asc("_pos"))).withColumn("_b", near(F.desc("_pos"))).where("_probe = 1").join(extra, "_part")
+    a = F.coalesce("_a", F.when(key.eqNullSafe(F.col("_first")), F.col("_above")))
+    b = F.coalesce("_b", F.when(key.eqNullSafe(F.col("_last")), F.col("_below")))
+    out = out.select(*keys, at, a.alias("_a"), b.alias("_b"))
     a, b = F.col("_a"), F.col("_b")
     line = F.when(a.isNull(), b["y"]).when(b.isNull() | (a["x"] == b["x"]), a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col(at) - a["x"]) / (b["x"] - a["x"]))
-    return out.withColumn(value, F.round(line, 10)).drop("_a", "_b", "_probe")
+    return out.select(*keys, at, F.round(line, 10).alias(value))
 
 
 def floor_lookup(probes: DataFrame, rules: DataFrame, at: str, name: str) -> DataFrame:

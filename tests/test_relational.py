@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,14 @@ from gridloom.operators.ordering import block_size, in_ranges, next_set, previou
 from tests.conftest import rows
 
 
+@pytest.fixture(autouse=True)
+def many_ranges(spark):
+    """Small tables stay in several ranges, so that what passes between ranges is tested too."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_running_sums_and_ranks_cross_blocks(spark):
     rng = random.Random(1)
     keys = sorted(rng.sample(range(-500, 500), 300))
@@ -95,6 +104,29 @@ def test_asof_interpolation(spark):
     assert got == {("g", 5.0): 1.0, ("g", 10.0): 1.0, ("g", 15.0): 2.5, ("g", 20.0): 4.0, ("g", 30.0): 4.0, ("h", 1.0): None}
 
 
+def test_asof_interpolation_across_ranges(spark):
+    rng = random.Random(6)
+    anchors = {(k, float(rng.randrange(4000))): float(rng.randrange(100)) for k in ("hot", "b", None) for _ in range(60 if k == "hot" else 9)}
+    anchors = {kv: v for kv, v in anchors.items() if not (kv[0] == "hot" and 700 < kv[1] < 2900)}  # a wide hole in the hot key
+    probes = sorted({("hot", float(rng.randrange(4000))) for _ in range(1500)} | {(k, float(rng.randrange(4000))) for k in ("b", "c") for _ in range(20)}, key=repr) + [(None, 17.0)]
+
+    def plain(k, x):
+        own = sorted((u, v) for (j, u), v in anchors.items() if j == k)
+        low, high = [p for p in own if p[0] <= x][-1:], [p for p in own if p[0] >= x][:1]
+        if not own:
+            return None
+        if not low or not high or low == high:
+            return (low or high)[0][1]
+        (u, v), (w, z) = low[0], high[0]
+        return round(v + (z - v) * (x - u) / (w - u), 10)
+
+    schema = "k string, x double"
+    assert in_ranges(spark.createDataFrame(probes, schema), F.col("x")).select("_part").distinct().count() > 2
+    got = R.asof_interpolate(spark.createDataFrame(probes, schema).repartition(3), spark.createDataFrame([(*kx, v) for kx, v in anchors.items()], schema + ", y double"), ["k"], "x", "y")
+    assert {(r["k"], r["x"]): r["y"] for r in got.collect()} == {p: plain(*p) for p in probes}
+    assert R.asof_interpolate(spark.createDataFrame([], schema), spark.createDataFrame([], schema + ", y double"), ["k"], "x", "y").count() == 0
+
+
 def test_upsert_latest_topk(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
     n = spark.createDataFrame([(2, "c"), (3, "d")], "k bigint, v string")
