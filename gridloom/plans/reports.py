@@ -12,7 +12,7 @@ from gridloom.operators.bad_rows import load_layout_lines
 from gridloom.operators.evaluation import fit_temperature
 from gridloom.operators.selection import select_boards
 from gridloom.plans.common import GAME, LAYOUTS, layouts, stored
-from gridloom.plans.evaluation import cells
+from gridloom.plans.evaluation import CELLS, cells
 from gridloom.plans.windows import BOARDS, boards
 from gridloom.runtime import cut, table
 
@@ -159,7 +159,33 @@ agg AS (SELECT codes.c AS check_code, count(s) AS issue_count, coalesce(string_a
  UNION ALL SELECT 'count', (SELECT abs(count(*) - any_value(n)) FROM damaged, n), '' UNION ALL SELECT 'duplicate_signature', (SELECT count(*) FROM (SELECT 1 FROM damaged GROUP BY signature HAVING count(*) > 1)), '')"""
 _SOFT = "list_transform({v}, lambda x: exp((x - list_max({v})) / 0.5))"
 
+
+
+def _shannon(a: str, b: str) -> str:
+    """The Jensen-Shannon divergence of two lists."""
+    half = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: CASE WHEN {a}[i] > 0 THEN {a}[i] * log2(2 * {a}[i] / ({a}[i] + {b}[i])) ELSE 0 END))"
+    return f"({half.format(a=a, b=b)} + {half.format(a=b, b=a)}) / 2"
+
+
+# One step of the recursion is one board.
+_ACTIVE = f"""WITH RECURSIVE {BOARDS}, {CELLS},
+c AS (SELECT recognized_board_id AS id, row_index * 5 + column_index AS cell, predicted, confidence FROM cells QUALIFY row_number() OVER (PARTITION BY recognized_board_id, row_index * 5 + column_index ORDER BY confidence DESC NULLS LAST, predicted DESC NULLS LAST) = 1),
+k AS (SELECT list(DISTINCT predicted ORDER BY predicted) AS codes, count(DISTINCT predicted) AS n FROM c WHERE predicted IS NOT NULL),
+bd AS (SELECT id, min(source_image_id) AS source, max(sequence_number) AS seq FROM rb GROUP BY 1 HAVING max(sequence_number) > 0),
+p AS (SELECT c.id, source, seq, cell, list_transform(codes, lambda x: CASE WHEN predicted IS NULL THEN 1.0::double / n WHEN x = predicted THEN coalesce(confidence, 1.0::double / n) ELSE (1 - coalesce(confidence, 1.0::double / n)) / (n - 1) END) AS p FROM c JOIN bd ON bd.id = c.id, k),
+w AS (SELECT *, -list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln(len(p)) AS h, list_position(p, list_max(p)) AS top FROM p WHERE id IN (SELECT id FROM p GROUP BY 1 HAVING count(DISTINCT cell) = 15)),
+often AS (SELECT top, count(*) AS n FROM w GROUP BY 1),
+means AS (SELECT id, i, avg(p[i]) AS m FROM w, range(1, (SELECT n + 1 FROM k)) r(i) GROUP BY 1, 2), mean AS (SELECT id, list(m ORDER BY i) AS mean FROM means GROUP BY 1),
+pool AS (SELECT w.id, any_value(source) AS source, any_value(seq) AS seq, 0.65 * list_avg(list_reverse_sort(list(h))[1:5]) + 0.05 * avg(1 - often.n / (SELECT max(n) FROM often)) AS base, any_value(mean) AS mean FROM w JOIN often USING (top) JOIN mean ON mean.id = w.id GROUP BY 1),
+pick AS (SELECT 0 AS rank, NULL::VARCHAR AS id, 0.0::double AS score, []::DOUBLE[][] AS means, []::VARCHAR[] AS sources, []::VARCHAR[] AS ids
+ UNION ALL SELECT rank + 1, b.id, b.score, list_append(means, b.mean), list_append(sources, b.source), list_append(ids, b.id) FROM (
+  SELECT rank, means, sources, ids, arg_min({{'id': id, 'score': score, 'mean': mean, 'source': source}}, (list_contains(sources, source), -score, seq, id)) AS b FROM (
+   SELECT pick.rank, pick.means, pick.sources, pick.ids, pool.id, pool.source, pool.seq, pool.mean, base + 0.15 * coalesce(list_min(list_transform(pick.means, lambda o: {_shannon('pool.mean', 'o')})), 1) + CASE WHEN list_contains(pick.sources, pool.source) THEN 0 ELSE 0.15 END AS score
+   FROM pick, pool WHERE pick.rank < 10 AND NOT list_contains(pick.ids, pool.id)) GROUP BY ALL))
+SELECT rank, id, round(score, 6) AS score FROM pick WHERE rank > 0"""
+
 SQL = {
+    "dom_active_learning": _ACTIVE,
     "dom_dataset_validate": f"WITH {_DMG} SELECT check_code, issue_count, sample, CASE WHEN issue_count = 0 THEN 'ok' WHEN check_code = 'duplicate_signature' THEN 'warning' ELSE 'blocked' END AS status FROM agg",
     "dom_continuity": f"WITH {BOARDS}, n AS (SELECT sequence_number AS v FROM rb WHERE sequence_number IS NOT NULL) SELECT 'duplicate' AS kind, v AS value, count(*) AS n FROM n GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'gap', p + 1, v - p - 1 FROM (SELECT v, lag(v) OVER (ORDER BY v) AS p FROM (SELECT DISTINCT v FROM n)) WHERE p < v - 1 UNION ALL SELECT 'empty', NULL, 0 WHERE NOT EXISTS (SELECT 1 FROM n)",
     "dom_completeness": f"""WITH {BOARDS}, e AS (SELECT count(*) AS n FROM orders), m AS (SELECT i FROM e, range(1, e.n + 1) r(i) WHERE i NOT IN (SELECT sequence_number FROM rb WHERE sequence_number IS NOT NULL))
