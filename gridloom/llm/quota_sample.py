@@ -185,7 +185,8 @@ def solve_cells(members: np.ndarray, counts: np.ndarray, targets: list[Target],
         pairs.setdefault(key, []).append(i)
     pairs = {k: np.array(v) for k, v in pairs.items()}
     price = np.zeros(len(tags))
-    best, best_cost, bound = None, math.inf, 0.0
+    best, best_cost = None, math.inf
+    bound = float(np.maximum(0, goal - members.T @ counts).sum())  # what there is not cannot be drawn
     placed = [i for i in range(len(targets)) if i not in tags]
 
     def costs(x: np.ndarray) -> np.ndarray:
