@@ -27,9 +27,11 @@ def digest_key(c: Column) -> Column:
 
 
 def digest_bytes(c: Column) -> Column:
-    """:func:`digest_key` packed: 32 bytes of a SHA-256, and other spellings as they are behind a zero byte."""
+    """:func:`digest_key` packed: 32 bytes of a SHA-256, and other spellings as they are behind a zero byte. What is spelt
+    plainly is packed as it stands."""
     k = digest_key(c)
-    return F.when(k.rlike("^[0-9a-f]{64}$"), F.unhex(k)).otherwise(F.concat(F.lit(b"\x00"), F.encode(k, "UTF-8")))
+    other = F.when(k.rlike("^[0-9a-f]{64}$"), F.unhex(k)).otherwise(F.concat(F.lit(b"\x00"), F.encode(k, "UTF-8")))
+    return F.when((F.length(c) == 64) & c.rlike(r"^[0-9a-f]{64}\z"), F.unhex(c)).otherwise(other)
 
 
 def hex_word(c: Column, start: int, digits: int) -> Column:
