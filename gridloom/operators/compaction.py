@@ -40,7 +40,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gridloom.runtime import cut, new_path, pick, qualified
+from gridloom.runtime import cut, new_path, pick, put_in_place, qualified
 
 MAGIC = b"\x28\xb5\x2f\xfd"
 TARGET_BYTES = 128 << 20
@@ -192,7 +192,7 @@ class _Packs:
         for k in [key] if key else list(self.open):
             name, stream, _, part = self.open.pop(k)
             stream.close()
-            self.fs.move(part, f"{self.root}/{name}")
+            put_in_place(self.fs, part, f"{self.root}/{name}")
 
 
 @dataclass(frozen=True)

@@ -66,6 +66,16 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file:///") else full
 
 
+def put_in_place(fs, part: str, name: str) -> None:
+    """Rename a file that was written completely, on an Arrow file system. An attempt of the same task that was lost may have
+    left the same file; not every file system renames over one."""
+    try:
+        fs.move(part, name)
+    except OSError:
+        fs.delete_file(name)
+        fs.move(part, name)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.measures import set_digest
-from gridloom.runtime import new_path, qualified
+from gridloom.runtime import new_path, put_in_place, qualified
 
 # The extensions that are read, and those of pictures that are not.
 SUPPORTED = (".jpg", ".jpeg")
@@ -58,7 +58,7 @@ def write_files(files: DataFrame, folder: str, path_col: str = "path", content_c
                 where.create_dir(posixpath.dirname(name), recursive=True)
                 with where.open_output_stream(name + ".part") as f:
                     f.write(data or b"")
-                where.move(name + ".part", name)
+                put_in_place(where, name + ".part", name)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     files.select(path_col, content_col).mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.relational import insert_missing, upsert
-from gridloom.runtime import qualified
+from gridloom.runtime import put_in_place, qualified
 
 
 def _file(spark: SparkSession, path: str):
@@ -128,7 +128,7 @@ def write_line_files(lines: DataFrame, folder: str, file_col: str, order_col: st
         def done() -> None:
             if out is not None:
                 out.close()
-                where.move(f"{base}/.{name}.part", f"{base}/{name}.{extension}")
+                put_in_place(where, f"{base}/.{name}.part", f"{base}/{name}.{extension}")
 
         for batch in batches:
             for file, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

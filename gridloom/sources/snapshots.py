@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.boards import Game
-from gridloom.runtime import exists, qualified
+from gridloom.runtime import exists, put_in_place, qualified
 
 # The tables of the format.
 TABLES = """
@@ -67,7 +67,7 @@ def write_snapshot(layouts: DataFrame, path: str, game: Game = Game(), code: str
         where.create_dir(name.rpartition("/")[0], recursive=True)
         with where.open_output_stream(name + ".part") as f:
             f.write(db.serialize())
-        where.move(name + ".part", name)
+        put_in_place(where, name + ".part", name)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     ordered = layouts.select("sequence_number", "signature", "payout").repartition(1).sortWithinPartitions("sequence_number")

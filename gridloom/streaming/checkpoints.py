@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.runtime import qualified
+from gridloom.runtime import put_in_place, qualified
 from gridloom.streaming.grouping import CHANGE, GEOMETRY, OUT, SAME, Grouper, distance, rows_of
 
 EVERY = 32
@@ -67,7 +67,7 @@ class _Store:
         name = f"{folder}/{state['processed']:012d}.json"
         with self.fs.open_output_stream(name + ".part") as f:
             f.write(json.dumps({**state, "closed": closed}).encode())
-        self.fs.move(name + ".part", name)
+        put_in_place(self.fs, name + ".part", name)
 
 
 def group_with_checkpoints(df: DataFrame, folder: str, stop_after: int | None = None) -> DataFrame:
